@@ -193,3 +193,33 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+
+
+# -- files in the shared folder ------------------------------------------------------------------------
+
+
+def make_dir(uri: str) -> None:
+    from pyarrow import fs
+
+    at, path = fs.FileSystem.from_uri(uri)
+    at.create_dir(path, recursive=True)
+
+
+def open_out(uri: str):
+    """A binary stream to a new file at a URI that every executor reaches (file, hdfs, s3, gs, abfs)."""
+    from pyarrow import fs
+
+    at, path = fs.FileSystem.from_uri(uri)
+    return at.open_output_stream(path, compression=None)
+
+
+def open_in(uri: str):
+    from pyarrow import fs
+
+    at, path = fs.FileSystem.from_uri(uri)
+    return at.open_input_file(path)
+
+
+def dealt_files(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """One row a file, a task for every few files; the rows are a manifest, so their number is that of the files."""
+    return spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))

@@ -5,17 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import bitplane, minhash, packing, warc
 from .common import table
+from .tokens import vocabulary_path
+
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.read_warc(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_bitplane_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = bitplane.write_ids(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY), end_id=2)
+    return bitplane.read_ids(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY), end_id=1, size=2048)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_duplicates": op1_minhash_near_duplicates,
+    "op4_warc_round_trip": op4_warc_round_trip,
+    "op7_bitplane_round_trip": op7_bitplane_round_trip,
+    "op9_packing": op9_packing,
 }
 
 _NEAR = """
@@ -24,7 +46,7 @@ WITH RECURSIVE words AS (
   FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
   FROM words
 ), each AS (
   SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
@@ -44,4 +66,20 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least ON sets.doc_id = least.a
 """
 
-SQL: dict[str, str] = {"op1_minhash_near_duplicates": _NEAR}
+_WARC = """
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS p FROM pages
+), hashed AS (
+  SELECT page_id, CAST(octet_length(p) AS BIGINT) AS payload_bytes, sha1(p) AS h FROM payloads
+), digests AS (
+  SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY h) AS main
+  FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = main THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> main THEN main END AS refers_to
+FROM digests
+"""
+
+SQL: dict[str, str] = {"op1_minhash_near_duplicates": _NEAR, "op4_warc_round_trip": _WARC}
