@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, minhash, packing, warc
+from . import ann, bitplane, minhash, packing, warc
 from .common import table
 from .tokens import vocabulary_path
 
@@ -23,6 +23,11 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op7_bitplane_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = bitplane.write_ids(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY), end_id=2)
     return bitplane.read_ids(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -36,6 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_duplicates": op1_minhash_near_duplicates,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_cross_polytope_neighbours": op5_cross_polytope_neighbours,
     "op7_bitplane_round_trip": op7_bitplane_round_trip,
     "op9_packing": op9_packing,
 }
