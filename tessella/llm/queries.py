@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitplane, minhash, packing, warc
-from .common import table
+from . import ann, bitplane, minhash, packing, toxicity, warc
+from .common import fold, table
 from .tokens import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,14 @@ def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(toxicity.sample(docs.where(~out).select("doc_id", "text"), labels.where(~out)))
+    scored = toxicity.score(docs, model).withColumnRenamed("row", "doc_id")
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "near")
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.read_warc(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,6 +48,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_duplicates": op1_minhash_near_duplicates,
+    "op3_toxicity_neighbours": op3_toxicity_neighbours,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_cross_polytope_neighbours": op5_cross_polytope_neighbours,
     "op7_bitplane_round_trip": op7_bitplane_round_trip,
