@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitplane, minhash, packing, toxicity, warc
+from . import ann, bitplane, langid, minhash, packing, toxicity, warc
 from .common import fold, table
 from .tokens import vocabulary_path
 
@@ -41,6 +41,12 @@ def op7_bitplane_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_ids(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
+    known = langid.profiles(docs.where(~out))
+    return langid.identify(docs, known).withColumnRenamed("id", "doc_id").select("doc_id", out.alias("held_out"), "lang_pred", "score", "distance")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY), end_id=1, size=2048)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_cross_polytope_neighbours": op5_cross_polytope_neighbours,
     "op7_bitplane_round_trip": op7_bitplane_round_trip,
+    "op8_language_profiles": op8_language_profiles,
     "op9_packing": op9_packing,
 }
 
