@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitplane, langid, minhash, packing, toxicity, warc
+from . import ann, bitplane, langid, lm, minhash, packing, toxicity, warc
 from .common import fold, table
 from .tokens import vocabulary_path
 
@@ -36,6 +36,12 @@ def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
     return ann.neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op6_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fold(F.col("doc_id"), 7) == 2
+    scored = lm.score(table(spark, sf_dir, "documents"), ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_bitplane_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = bitplane.write_ids(table(spark, sf_dir, "documents"), vocabulary_path(VOCABULARY), end_id=2)
     return bitplane.read_ids(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity_neighbours": op3_toxicity_neighbours,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_cross_polytope_neighbours": op5_cross_polytope_neighbours,
+    "op6_log_bilinear_scores": op6_log_bilinear_scores,
     "op7_bitplane_round_trip": op7_bitplane_round_trip,
     "op8_language_profiles": op8_language_profiles,
     "op9_packing": op9_packing,
