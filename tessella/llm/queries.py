@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitplane, langid, lm, minhash, packing, toxicity, warc
+from . import ann, bitplane, chroma, langid, lm, minhash, mixing, packing, toxicity, warc
 from .common import fold, table
 from .tokens import vocabulary_path
 
@@ -18,6 +18,21 @@ def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Domains of the labelled table, and the shares of the mix's tokens that each should have.
+TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op2_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, domains = mixing.mix(table(spark, sf_dir, "documents"), labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
+    each = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)]
+    return mixed.select(F.col("id").alias("doc_id"), "n_tokens", *each, "rate", "copies")
+
+
 def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = fold(F.col("doc_id"), 5) == 0
@@ -58,8 +73,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", decode=chroma.rendered)
+    return chroma.align(prints, table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("id"))).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_duplicates": op1_minhash_near_duplicates,
+    "op2_soft_membership_mixing": op2_soft_membership_mixing,
     "op3_toxicity_neighbours": op3_toxicity_neighbours,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_cross_polytope_neighbours": op5_cross_polytope_neighbours,
@@ -67,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bitplane_round_trip": op7_bitplane_round_trip,
     "op8_language_profiles": op8_language_profiles,
     "op9_packing": op9_packing,
+    "op10_chroma_alignment": op10_chroma_alignment,
 }
 
 _NEAR = """
