@@ -48,7 +48,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     for batch in pieces(batches, "text", 2 << 20):
         sets = shingle_sets(*flat(batch.column("text")), size)
         sig = _signatures(sets)
-        yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_set_key(sets)), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n", "key", "sig"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_set_key(sets)), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "text_hash", "n", "key", "sig"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     share = threshold / 100
     least = TOKENS * (share - 5 * (share * (1 - share) / TOKENS) ** 0.5)
-    sketch = written(docs.mapInArrow(partial(_sketch, size=shingle_words), "doc_id long, n long, key long, sig binary"), "sketch")
+    sketch = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sketch, size=shingle_words), "doc_id long, text_hash long, n long, key long, sig binary"), "sketch")
     rows = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     rows = written(rows.withColumn("label", F.col("key")), "classes")
     links = None
@@ -237,4 +237,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = written(alone, "groups").withColumnRenamed("key", "of")
     out = sketch.drop("sig").join(alone, (sketch.key == alone.of) & (sketch.n > 0) & sketch.doc_id.isNotNull(), "left")
     group = F.coalesce(F.col("group_id"), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"), "text_hash")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs of which one for each group of near duplicates stays: that with the smallest id.
+
+    Of several rows with that id, the one whose text has the smallest hash stays, once. Rows without shingles or without
+    id all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    found = written(found.select("doc_id", "text_hash", "component_id", "kept"), "decided")
+    stay = found.where("kept").groupBy("component_id").agg(F.min("text_hash").alias("least"), F.count("*").alias("rows"))
+    several = stay.where("rows > 1")
+    gone = found.where("NOT kept").select("doc_id", "text_hash")
+    gone = gone.union(found.where("kept").join(several.select("component_id", "least"), "component_id").where("text_hash <> least").select("doc_id", "text_hash")).distinct()
+    gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "gone")
+    twice = written(several.select(F.col("component_id").alias("twice_id")), "twice")
+    small = gone.count() <= BROADCAST_ROWS
+    ident, text_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
+    left = docs.join(F.broadcast(gone) if small else gone, (ident == F.col("gone_id")) & (text_hash == F.col("gone_hash")), "left_anti")
+    n = twice.count()
+    if not n:
+        return left
+    of = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+    same = left[id_col].cast("long") == F.col("twice_id")
+    return left.join(of, same, "left_anti").union(left.join(of, same, "left_semi").dropDuplicates([id_col, text_col]))

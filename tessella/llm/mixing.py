@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, flat, pieces, word_hashes, word_spans, written
+from .common import flat, pieces, word_hashes, word_spans, written
 
 #: Labelled texts of each domain that the classifier is fitted on at most, those whose ids have the smallest hashes; longer
 #: texts than EXAMPLE_BYTES are no examples.
@@ -20,8 +20,8 @@ SAMPLE, EXAMPLE_BYTES = 2500, 1 << 18
 BUCKETS, STYLE = 1 << 15, 8
 #: Full passes of the classifier's training, and the weight of its penalty.
 PASSES, PENALTY = 60, 1e-4
-#: Gradient steps at most, steps between written tables, and the relative miss of the targets that ends them.
-STEPS, WRITE_EVERY, CLOSE = 60, 10, 1e-6
+#: Gradient steps at most, and the relative miss of the targets that ends them.
+STEPS, CLOSE = 60, 1e-6
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
@@ -142,7 +142,8 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], tot
 
     Minimises |sum over rows of rate * n_tokens * p - targets|^2 in the metric of the memberships' own scatter
     S = sum of n p p', by projected gradient from rate 1: rate = max(0, rate + p . S^-1 (targets - sums)). A step is one
-    aggregate of a number for each domain; the rows never leave their partitions. Targets are shares of `total` tokens
+    aggregate of a number for each domain over two columns; the rows never leave their partitions, and a row's rate is
+    computed from its posteriors and the steps so far. Targets are shares of `total` tokens
     (all there are, if not given); a domain without a target has 0. Where targets can't be met with rates of 0 or more,
     the steps end at the nearest mix. Rows without tokens keep the rate that their posteriors give.
     """
@@ -157,19 +158,14 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], tot
     inverse = np.linalg.pinv(s, rcond=1e-9)
     weight = np.array([targets.get(d, 0.0) for d in domains])
     want = weight / weight.sum() * (total or row["all"])
-    now, tables = members.withColumn("rate", F.lit(1.0)), []
-    for step in range(STEPS):
+    now = members.withColumn("rate", F.lit(1.0))
+    for _ in range(STEPS):
         sums = now.agg(*(F.sum(F.col("rate") * n * at(i)).alias(str(i)) for i in range(k))).first()
         miss = want - np.array([sums[str(i)] for i in range(k)])
         if np.abs(miss).max() <= CLOSE * row["all"]:
             break
         g = inverse @ miss
         now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + sum(at(i) * float(g[i]) for i in range(k))))
-        if step % WRITE_EVERY == WRITE_EVERY - 1:
-            now = written(now, "rates")
-            tables.append(now.path)
-    if len(tables) > 1:
-        drop(members.sparkSession, *tables[:-1])
     return now
 
 

@@ -15,7 +15,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 #: Domains of the labelled table, and the shares of the mix's tokens that each should have.
@@ -37,7 +37,7 @@ def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = fold(F.col("doc_id"), 5) == 0
     model = toxicity.fit(toxicity.sample(docs.where(~out).select("doc_id", "text"), labels.where(~out)))
-    scored = toxicity.score(docs, model).withColumnRenamed("row", "doc_id")
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "near")
 
 

@@ -118,7 +118,7 @@ class Model:
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
         terms, w = self.vector(self.known(text))
         if not len(terms):
-            return self.calibrated(math.log(0.5 / (0.5 + 1 / 1.05 * NEIGHBOURS))), terms, w
+            return self.calibrated(math.log(0.5 / (0.5 + 1 / 1.05 * NEIGHBOURS))), terms, np.zeros(0)
         who, near = self.nearest(terms, w)
         return self.calibrated(self.evidence(who, near)), who, near
 
@@ -195,14 +195,17 @@ def fit(examples: list[tuple[int, str, int]]) -> Model:
     x, y = np.array(x), np.array(y, float)
     if len(set(y.tolist())) == 2:
         weight = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
-        a, b = 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            g = np.array([(weight * (p - y) * x).sum() + 1e-3 * (a - 1), (weight * (p - y)).sum()])
-            h = weight * p * (1 - p)
-            hess = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
-            a, b = np.array([a, b]) - np.linalg.solve(hess, g)
-        model.slope, model.shift = (a, b) if a > 0 else (1.0, 0.0)
+        point, ones = np.array([1.0, 0.0]), np.stack((x, np.ones(len(x))), 1)
+        loss = lambda v: (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (ones @ v))).sum() + 5e-3 * (v[0] - 1) ** 2 + 5e-4 * v[1] ** 2
+        for _ in range(50):  # Newton's method, halving steps that don't help
+            p = 1 / (1 + np.exp(-np.clip(ones @ point, -30, 30)))
+            g = ones.T @ (weight * (p - y)) + np.array([1e-2 * (point[0] - 1), 1e-3 * point[1]])
+            step = np.linalg.solve(ones.T @ (ones * (weight * p * (1 - p))[:, None]) + np.diag([1e-2, 1e-3]), g)
+            while np.abs(step).max() > 1e-9 and loss(point - step) > loss(point):
+                step = step / 2
+            point = point - step
+        a, b = point
+        model.slope, model.shift = (float(a), float(b)) if a > 0 else (1.0, 0.0)
     elif len(y):
         model.shift = 50.0 if y[0] == 1 else -50.0
     return model
@@ -222,10 +225,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
     return sorted((r["doc_id"], r["text"], int(r["toxic"])) for r in texts.toLocalIterator())
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", neighbours: int = 3) -> DataFrame:
-    """(row, score, near): each row's score and its nearest examples (id, cosine, label) as evidence; row is the id column's value.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), neighbours: int = 3) -> DataFrame:
+    """(id, *keep, score, near): each row's score and its nearest examples (id, cosine, label) as evidence.
 
-    A null or empty text, or one without a telling feature, gets the score of no evidence and no neighbours.
+    A null or empty text, or one without a telling feature, gets the score of no evidence and no neighbours. Whole texts
+    count, however long; rows that repeat an id are scored each by itself; an empty table gives an empty result. Without
+    examples of both classes, the score is near 0, or near 1 if all examples are toxic.
     """
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
@@ -237,8 +242,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for text in batch.column("text").to_pylist():
                 s, who, cosine = own.score(text or "")
                 scores.append(s)
-                found.append([{"doc_id": int(own.example[w]), "cosine": float(c), "toxic": int(own.toxic[w])} for w, c in zip(who[:neighbours], cosine[:neighbours])] if len(who) and len(own.example) else [])
-            yield pa.record_batch([batch.column("row"), pa.array(scores, pa.float64()), pa.array(found, near)], ["row", "score", "near"])
+                found.append([{"doc_id": int(own.example[w]), "cosine": float(c), "toxic": int(own.toxic[w])} for w, c in zip(who[:neighbours], cosine[:neighbours])])
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(scores, pa.float64()), pa.array(found, near)], [*names, "score", "near"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "row long, score double, near array<struct<doc_id: long, cosine: double, toxic: int>>")
+    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
+    return rows.mapInArrow(run, f"{schema}, score double, near array<struct<doc_id: long, cosine: double, toxic: int>>")
