@@ -1,12 +1,69 @@
-"""From raw documents to packed sequences: each stage calls one operator of tessella.llm."""
+"""From raw documents to packed sequences: each stage calls one operator of tessella.llm on all that the stage before kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import langid, minhash, mixing, packing, toxicity
+from tessella.llm.common import table, written
+from tessella.llm.tokens import vocabulary_path
+
+#: A text of this score or more is rejected as toxic.
+TOXIC = 0.5
+#: Shares of the mix's tokens by predicted quality.
+TARGETS = {"good": 0.98, "poor": 0.02}
+VOCABULARY, END_ID, WINDOW = "byte_bpe_50k.json", 1, 2048
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """The rows as one column beside id and text, so that no name can clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(toxicity.sample(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
+    return toxicity.score(_held(docs), model, keep=("held",)).where(F.col("score") < TOXIC).select("held.*")
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters go: no language can be told."""
+    found = langid.identify(_held(docs), langid.profiles(docs), keep=("held",))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("held.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.distinct_documents(docs)
+
+
+def mix_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as its rate says: poor ones mostly go, a few good ones stand twice."""
+    labels = table(spark, sf_dir, "labels")
+    labelled = labels.select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain"))
+    mixed, _ = mixing.mix(_held(docs), labelled, TARGETS, keep=("held",))
+    return mixed.where("copies > 0").select("held", F.explode(F.sequence(F.lit(1), "copies"))).select("held.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary_path(VOCABULARY), END_ID, WINDOW)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("language", keep_known_languages),
+    ("near duplicates", drop_near_duplicates),
+    ("mixing", mix_by_quality),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Learnt models and a tokenizer decide; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
