@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: Words that a worker remembers; beyond that, new words are encoded each time they come.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Bytes of a longer word are not worth remembering.
 LONGEST = 64
 
@@ -18,7 +18,6 @@ LONGEST = 64
 #: ends, letters of Latin-1 and Latin Extended-A, and common punctuation. A text with any other is encoded whole by the library.
 _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7E¡§«°»¿-ÖØ-öø-ſ–—‘-„…€]")
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(r" [^\W\d_]+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -42,8 +41,9 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words not met before, each as it would be inside a text."""
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        rest = [w for w in words if not _PLAIN.fullmatch(w)]
+        plain, rest = [], []
+        for w in words:
+            (plain if w[0] == " " and w[1:].isalpha() else rest).append(w)
         new = dict(zip(rest, self._library(rest))) if rest else {}
         for at in range(0, len(plain), 2000):  # words that begin with a space stay apart when joined
             some = plain[at : at + 2000]
@@ -71,34 +71,20 @@ class Encoder:
         even = [i for i in range(len(texts)) if out[i] is None]
         split = [_WORDS.findall(texts[i]) for i in even]
         new = set(chain.from_iterable(split)).difference(self.known)
-        found = self.known
+        known, past = self.known, []
         if new:
             learnt = self._learn(new)
-            room = REMEMBERED - len(self.known)
-            short = {w: b for w, b in learnt.items() if len(w) <= LONGEST} if room else {}
-            if len(short) <= room:
-                self.known.update(short)
-            else:
-                self.known.update(list(short.items())[:room])
-            if len(short) < len(learnt) or len(short) > room:
-                found = _Both(learnt, self.known)
-        get = found.__getitem__
+            room = REMEMBERED - len(known)
+            past = [w for w in learnt if len(w) > LONGEST] if len(learnt) <= room else list(learnt)[max(0, room) :]
+            known.update(learnt)
+        get = known.__getitem__
         for i, words in zip(even, split):
             out[i] = np.frombuffer(b"".join(map(get, words)), np.uint32)
+        for w in past:
+            del known[w]
         return out
 
 
-class _Both:
-    """Looks a word up among the new ones, then among the remembered."""
-
-    def __init__(self, new: dict[str, bytes], old: dict[str, bytes]) -> None:
-        self.new, self.old = new, old
-
-    def __getitem__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        return self.new[word] if ids is None else ids
-
-
 _encoders: dict[str, Encoder] = {}
 
 
