@@ -235,7 +235,7 @@ def n32(t: Tables) -> DataFrame:
     return t("orders").select(C("o_orderkey").alias("id"), bills.status(F.expr(ACTION), (C("o_orderkey") % 3).cast("int"), (C("o_orderkey") % 13).cast("int"), F.year("o_orderdate"), F.lit("1997-06-30").cast("date")).alias("status"))
 
 
-LAST = "arg_max(struct_pack(a := l_returnflag, d := CAST(CAST(l_shipdate AS DATE) AS VARCHAR), c := l_linestatus), l_linenumber)"
+LAST = "max(struct_pack(n := l_linenumber, d := CAST(CAST(l_shipdate AS DATE) AS VARCHAR), c := l_linestatus, a := l_returnflag))"
 
 
 @query("n33_latest_action", f"""SELECT l_orderkey AS id, x.d || ' - ' || x.c || ': ' || x.a AS latest, list_extract({list(bills.PROGRESSION)}, 1 + l_orderkey % 13) AS progression,
@@ -247,7 +247,7 @@ def n33(t: Tables) -> DataFrame:
     return history.select("id", bills.latest_action(C("h")).alias("latest"), bills.progression(C("id") % 13).alias("progression"), bills.chamber(body).alias("chamber"))
 
 
-@query("n34_sponsor_names", "SELECT l_orderkey AS id, string_agg('Supplier ' || CAST(l_suppkey AS VARCHAR) || ' (' || l_returnflag || ')', ', ' ORDER BY l_linenumber) AS sponsors FROM lineitem GROUP BY 1")
+@query("n34_sponsor_names", "SELECT l_orderkey AS id, string_agg('Supplier ' || CAST(l_suppkey AS VARCHAR) || ' (' || l_returnflag || ')', ', ' ORDER BY l_linenumber, l_suppkey, l_returnflag) AS sponsors FROM lineitem GROUP BY 1")
 def n34(t: Tables) -> DataFrame:
     people = t("lineitem").groupBy(C("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_returnflag"))).alias("s"))
     return people.select("id", F.array_join(F.transform("s", lambda x: F.format_string("Supplier %d (%s)", x["l_suppkey"], x["l_returnflag"])), ", ").alias("sponsors"))
@@ -277,8 +277,8 @@ def n38(t: Tables) -> DataFrame:
     return t("in_docs").select("doc_id", F.sha2("text", 256).alias("text_hash"), F.substring(key, 1, 16).alias("cache_key"))
 
 
-@query("n39_page_urls", rf"""WITH {PARTS}, n AS (SELECT page_id, url, qry, greatest(1, coalesce(CAST(nullif(regexp_extract('&' || qry, '(?i)&(?:page|pageno|pagenum|pagenumber|pg|p)=([0-9]+)(?:&|$)', 1), '') AS INTEGER), CAST(nullif(regexp_extract(pth, '(?i)/page/([0-9]+)/?$', 1), '') AS INTEGER), 1)) AS page FROM parts)
-SELECT page_id, page, CASE WHEN contains(qry, 'page=') THEN regexp_replace(url, 'page=[0-9]+', 'page=' || CAST(page + 1 AS VARCHAR)) WHEN regexp_matches(url, '(?i)/page/[0-9]+/?$') THEN regexp_replace(url, '(?i)(/page/)[0-9]+(/?)$', '\1' || CAST(page + 1 AS VARCHAR) || '\2') ELSE '' END AS next FROM n""")
+@query("n39_page_urls", rf"""WITH {PARTS}, n AS (SELECT page_id, url, qry, pth, greatest(1, coalesce(CAST(nullif(regexp_extract('&' || qry, '(?i)&(?:page|pageno|pagenum|pagenumber|pg|p)=([0-9]+)(?:&|$)', 1), '') AS INTEGER), CAST(nullif(regexp_extract(pth, '(?i)/page/([0-9]+)/?$', 1), '') AS INTEGER), 1)) AS page FROM parts)
+SELECT page_id, page, CASE WHEN contains('&' || qry, '&page=') THEN regexp_replace(url, 'page=[0-9]+', 'page=' || CAST(page + 1 AS VARCHAR)) WHEN regexp_matches(pth, '(?i)/page/[0-9]+/?$') THEN regexp_replace(url, '(?i)(/page/)[0-9]+(/?)$', '\1' || CAST(page + 1 AS VARCHAR) || '\2') ELSE '' END AS next FROM n""")
 def n39(t: Tables) -> DataFrame:
     page = urls.page_number(C("url"))
     return t("in_urls").select("page_id", page.alias("page"), urls.page_url(C("url"), page + 1).alias("next"))
