@@ -144,12 +144,18 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, with A-Z lower-cased."""
+    return span_hashes(data, starts, ends)[0]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """The hashes of the bytes from each start to each of several ends, from one pass over the text."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in ends]
     up, down = _power(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    before, down = total[starts], down[starts]
+    return [mix((total[end] - before) * down) for end in ends]
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> list[np.ndarray]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces, word_hashes, word_spans, written
+from .common import flat, pieces, span_hashes, word_spans, written
 
 #: Labelled texts of each domain that the classifier is fitted on at most, those whose ids have the smallest hashes; longer
 #: texts than EXAMPLE_BYTES are no examples.
@@ -19,9 +19,11 @@ SAMPLE, EXAMPLE_BYTES = 2500, 1 << 18
 #: Buckets of hashed words and of hashed five-byte word beginnings, and the style features beside them.
 BUCKETS, STYLE = 1 << 15, 8
 #: Full passes of the classifier's training, and the weight of its penalty.
-PASSES, PENALTY = 60, 1e-4
-#: Gradient steps at most, and the relative miss of the targets that ends them.
-STEPS, CLOSE = 60, 1e-6
+PASSES, PENALTY = 40, 1e-4
+#: Bytes of example texts whose words are counted at once.
+FIT_BYTES = 2 << 20
+#: Gradient steps at most, and the relative miss of the targets that ends them; so do three of the shortest steps without gain.
+STEPS, CLOSE = 25, 1e-6
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
@@ -33,16 +35,15 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Buckets of all words' two features, each word's text, the weight of a text's words, style features, and words of each text."""
     starts, ends, own = word_spans(data, offs)
     n = np.diff(own)
-    words = word_hashes(data, starts, ends)
-    begin = word_hashes(data, starts, np.minimum(ends, starts + 5))
-    buckets = np.stack(((words >> np.uint64(40)) % np.uint64(BUCKETS), (begin >> np.uint64(40)) % np.uint64(BUCKETS) + np.uint64(BUCKETS)), 1).astype(np.int64)
-    text = np.repeat(np.arange(len(n)), n)
-    per = lambda x: np.bincount(text, x, len(n)) / np.maximum(n, 1)
+    words, begin = span_hashes(data, starts, ends, np.minimum(ends, starts + 5))
+    buckets = np.stack(((words >> np.uint64(49)).astype(np.int32), (begin >> np.uint64(49)).astype(np.int32) + BUCKETS), 1)
+    text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    each = np.maximum(n, 1)
     size = np.maximum(np.diff(offs), 1)
-    count = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[offs]) / size
-    again = [np.concatenate((np.zeros(k, bool), (words[k:] == words[:-k]) & (text[k:] == text[:-k])))[: len(words)] for k in (1, 2, 3)]
-    style = [per(ends - starts) / 10, count(_UPPER[data]) * 4, count(_LETTER[data]) * 4, per(again[0]) * 3, per(again[1]) * 3, per(again[2]) * 3, np.log1p(n) / 5, count((data == 33) | (data == 63)) * 10]
-    return buckets, text, 1 / np.sqrt(np.maximum(n, 1)), np.stack(style, 1), n
+    count = lambda mask: np.diff(np.searchsorted(np.flatnonzero(mask), offs)) / size
+    again = lambda k: np.bincount(text[:-k][(words[k:] == words[:-k]) & (text[k:] == text[:-k])], minlength=len(n)) / each * 3
+    style = [np.bincount(text, ends - starts, len(n)) / each / 10, count(_UPPER[data]) * 4, count(_LETTER[data]) * 4, again(1), again(2), again(3), np.log1p(n) / 5, count((data == 33) | (data == 63)) * 10]
+    return buckets, text, 1 / np.sqrt(each), np.stack(style, 1), n
 
 
 @dataclass
@@ -56,9 +57,10 @@ class Classifier:
         """p(domain | text) of each text, and its words."""
         buckets, text, weight, style, n = features(data, offs)
         logits = style @ self.style + self.bias
-        for k in range(len(self.domains)):
-            w = self.words[:, k]
-            logits[:, k] += np.bincount(text, w[buckets[:, 0]] + w[buckets[:, 1]], len(n)) * weight
+        if len(text):
+            sums = self.words[buckets[:, 0]] + self.words[buckets[:, 1]]
+            some = np.flatnonzero(n)
+            logits[some] += np.add.reduceat(sums, np.concatenate(([0], np.cumsum(n[some])[:-1])), axis=0) * weight[some, None]
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
         return p / p.sum(1, keepdims=True), n
@@ -67,17 +69,29 @@ class Classifier:
 def fit(examples: list[tuple[str, str]], prior: dict[str, float] | None = None) -> Classifier:
     """A softmax regression of (text, domain) examples, with class shares corrected to `prior`."""
     domains = sorted({d for _, d in examples})
+    rows, cols, values, styles = [], [], [], []
     raw = [t.encode() for t, _ in examples]
-    offs = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
-    buckets, text, weight, style, n = features(np.frombuffer(b"".join(raw), np.uint8), offs)
+    at = 0
+    while at < len(raw):  # a few MB of text at a time bound the driver's memory
+        end, size = at, 0
+        while end < len(raw) and (end == at or size + len(raw[end]) <= FIT_BYTES):
+            size, end = size + len(raw[end]), end + 1
+        offs = np.concatenate(([0], np.cumsum([len(x) for x in raw[at:end]]))).astype(np.int64)
+        buckets, text, weight, style, _ = features(np.frombuffer(b"".join(raw[at:end]), np.uint8), offs)
+        pairs, n = np.unique((text[:, None].astype(np.int64) * (2 * BUCKETS) + buckets).ravel(), return_counts=True)
+        here = pairs // (2 * BUCKETS)
+        rows.append((here + at).astype(np.int32))
+        cols.append((pairs % (2 * BUCKETS)).astype(np.int32))
+        values.append((n * weight[here]).astype(np.float32))
+        styles.append(style)
+        at = end
+    n = np.zeros(len(raw))
     y = np.array([[d == x for x in domains] for _, d in examples], float)
     share = y.mean(0)
-    flat_at, flat_text = buckets.T.ravel(), np.tile(text, 2)
-    flat_w = weight[flat_text]
-    used, at = np.unique(flat_at, return_inverse=True)
-    pairs, at2 = np.unique(flat_text * len(used) + at, return_inverse=True)
-    value = np.bincount(at2, flat_w)
-    row, col = pairs // len(used), pairs % len(used)
+    row, value, style = np.concatenate(rows), np.concatenate(values), np.concatenate(styles)
+    used, col = np.unique(np.concatenate(cols), return_inverse=True)
+    col = col.astype(np.int32)
+    del rows, cols, values, raw
     m = Classifier(domains, np.zeros((len(used), len(domains))), np.zeros((STYLE, len(domains))), np.log(np.maximum(share, 1e-9)))
     sums = [np.full_like(x, 1e-8) for x in (m.words, m.style, m.bias)]
     for _ in range(PASSES if len(domains) > 1 else 0):
@@ -140,31 +154,45 @@ def memberships(docs: DataFrame, model: Classifier, id_col: str, text_col: str,
 def rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None) -> DataFrame:
     """The rows of (…, n_tokens, p) with `rate`: how often each should stand in the mix.
 
-    Minimises |sum over rows of rate * n_tokens * p - targets|^2 in the metric of the memberships' own scatter
-    S = sum of n p p', by projected gradient from rate 1: rate = max(0, rate + p . S^-1 (targets - sums)). A step is one
-    aggregate of a number for each domain over two columns; the rows never leave their partitions, and a row's rate is
-    computed from its posteriors and the steps so far. Targets are shares of `total` tokens
-    (all there are, if not given); a domain without a target has 0. Where targets can't be met with rates of 0 or more,
+    Minimises |sum over rows of rate * n_tokens * p - targets|^2 by projected gradient from rate 1, in the metric of the
+    memberships' scatter over the rows that still have a rate, S = sum of n p p': rate = max(0, rate + p . S^-1 (targets -
+    sums)); where that does not near the targets, part of the scatter of all rows is added. A step is one aggregate of a
+    number for each pair of domains over two columns; the rows never leave their partitions, and a row's rate is computed
+    from its posteriors and the steps so far. Targets are shares of `total` tokens (all there are, if not given); a domain without a target has 0. Where targets can't be met with rates of 0 or more,
     the steps end at the nearest mix. Rows without tokens keep the rate that their posteriors give.
     """
     k = len(domains)
     at = lambda i: F.col("p")[i]
     n = F.col("n_tokens").cast("double")
-    scatter = [[F.sum(n * at(i) * at(j)).alias(f"s{i}_{j}") for j in range(k)] for i in range(k)]
-    row = members.agg(F.sum(n).alias("all"), *(x for y in scatter for x in y)).first()
-    if not row["all"]:
-        return members.withColumn("rate", F.lit(1.0))
-    s = np.array([[row[f"s{i}_{j}"] for j in range(k)] for i in range(k)])
-    inverse = np.linalg.pinv(s, rcond=1e-9)
-    weight = np.array([targets.get(d, 0.0) for d in domains])
-    want = weight / weight.sum() * (total or row["all"])
-    now = members.withColumn("rate", F.lit(1.0))
+    active = F.when(F.col("rate") > 0, n).otherwise(0.0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    total_now = [F.sum(F.col("rate") * n * at(i)).alias(f"t{i}") for i in range(k)]
+    scatter = [F.sum(active * at(i) * at(j)).alias(f"s{i}_{j}") for i, j in pairs]
+    now, want, whole = members.withColumn("rate", F.lit(1.0)), None, None
+    best, stalled, damping = float("inf"), 0, 0.0
     for _ in range(STEPS):
-        sums = now.agg(*(F.sum(F.col("rate") * n * at(i)).alias(str(i)) for i in range(k))).first()
-        miss = want - np.array([sums[str(i)] for i in range(k)])
-        if np.abs(miss).max() <= CLOSE * row["all"]:
+        row = now.agg(F.sum(n).alias("all"), *total_now, *scatter).first()
+        if not row["all"]:
             break
-        g = inverse @ miss
+        if want is None:
+            weight = np.array([targets.get(d, 0.0) for d in domains])
+            want = weight / weight.sum() * (total or row["all"])
+        miss = want - np.array([row[f"t{i}"] for i in range(k)])
+        size = float(np.abs(miss).max() / row["all"])
+        s = np.zeros((k, k))
+        for i, j in pairs:
+            s[i, j] = s[j, i] = row[f"s{i}_{j}"]
+        whole = s if whole is None else whole
+        stalled = 0 if size < 0.9 * best else stalled + 1
+        best = min(best, size)
+        if stalled >= 3:  # rows that come back can make steps too long; those by the scatter of all rows never are
+            if damping == 1:
+                break
+            damping = min(1.0, damping + 0.5)
+            stalled = 0
+        if size <= CLOSE:
+            break
+        g = np.linalg.pinv((1 - damping) * s + damping * whole, rcond=1e-9, hermitian=True) @ miss
         now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + sum(at(i) * float(g[i]) for i in range(k))))
     return now
 
