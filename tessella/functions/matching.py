@@ -48,7 +48,7 @@ def best_span(quote: str | None, source: str | None, least: float = LEAST_RATIO)
     n, forms = len(wanted.split()), [plain(w.group()) for w in words]
     cut = lambda run: text[run[0].start() : run[-1].end()].strip()
     if wanted in plain(text):
-        found = [run for size in range(n, n + 6) for run in _windows(words, size) if wanted in plain(" ".join(w.group() for w in run))]
+        found = [run for size in range(n, n + 6) for run in _windows(words, size) if wanted in plain(cut(run))]
         return min((cut(run) for run in found), key=len, default=None)
     match, best, span = SequenceMatcher(None, "", wanted, autojunk=True), least, None
     match.set_seq1(wanted)

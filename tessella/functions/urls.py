@@ -111,7 +111,7 @@ def shape_code(url: Column) -> Column:
 
     A search page has a filled search key, or a last segment that names a search or has the word `search` between - _ and dots.
     """
-    segment = F.lower(F.coalesce(F.element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), -1), F.lit("")))
+    segment = F.lower(F.coalesce(F.try_element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), F.lit(-1)), F.lit("")))
     stem = F.when(segment.contains("."), F.regexp_replace(segment, r"\.[^.]*$", "")).otherwise(segment)
     searched = F.arrays_overlap(_filled_keys(url), F.array(*map(F.lit, SEARCH_KEYS))) | stem.rlike("|".join(SEARCH_WORDS)) | F.array_contains(F.split(stem, "[-_.]"), "search")
     return (
