@@ -378,7 +378,14 @@ def operative_code(body, title, phrases=("thor and", "heed the", "ander"), enfor
     return F.when(signal | (force & text.contains_any(body, phrases)), "").when(flagged, "junk_title").when(early & ~signal & ~force, "findings_only").when(text.keyword_prescreen(body, **LEXICON) & ~text.keyword_prescreen(op, **LEXICON) & ~force, "no_operative").otherwise("")
 
 
-@query("p8_operative_signals")
+SPLIT = rf"""x AS (SELECT doc_id, title, {LAW} AS s FROM in_docs), y AS (SELECT *, {START} AS b FROM x), z AS (SELECT *, substr(s, greatest(b, 1)) AS o FROM y),
+cut AS (SELECT *, CASE WHEN regexp_matches(substr(o, 13), '(?i)\bsection\s+1\.?\b') THEN substr(o, 1, 12 + length(regexp_extract(substr(o, 13), '(?is)^(.*?)\bsection\s+1\.?\b', 1))) ELSE o END AS op, CASE WHEN b > 0 THEN substr(s, 1, b - 1) ELSE s END AS early FROM z),
+signals AS (SELECT *, regexp_matches(lower(op), 'thor and|heed the|ander') AS signal, regexp_matches(lower(early), 'thor and|heed the|ander') AS before, regexp_matches(lower(op), 'wasing|tion of the') AS force, regexp_matches(lower(s), 'thor and|heed the|ander') AS anywhere FROM cut)"""
+GATE = f"""gate AS (SELECT *, CASE WHEN signal OR (force AND anywhere) THEN '' WHEN regexp_matches(title, '(?i){'|'.join(JUNK.values())}') THEN 'junk_title' WHEN before AND NOT signal AND NOT force THEN 'findings_only'
+  WHEN {SCREEN.format("s")} AND NOT {SCREEN.format("op")} AND NOT force THEN 'no_operative' ELSE '' END AS code FROM signals)"""
+
+
+@query("p8_operative_signals", f"WITH {SPLIT} SELECT doc_id, signal AS operative, before AND NOT signal AS findings_only, force AS enforcement FROM signals")
 def p8(t: Tables) -> DataFrame:
     s = t("in_docs").select("doc_id", F.expr(LAW).alias("s"))
     op, found = text.operative_text(C("s")), text.findings_text(C("s"))
@@ -386,12 +393,12 @@ def p8(t: Tables) -> DataFrame:
     return s.select("doc_id", text.contains_any(op, phrases).alias("operative"), (text.contains_any(found, phrases) & ~text.contains_any(op, phrases)).alias("findings_only"), text.contains_any(op, ("wasing", "tion of the")).alias("enforcement"))
 
 
-@query("p9_operative_gate")
+@query("p9_operative_gate", f"WITH {SPLIT}, {GATE} SELECT doc_id, code FROM gate")
 def p9(t: Tables) -> DataFrame:
     return t("in_docs").select("doc_id", operative_code(F.expr(LAW), C("title")).alias("code"))
 
 
-@query("p10_bill_text_guard")
+@query("p10_bill_text_guard", f"WITH {SPLIT}, {GATE}, n AS (SELECT *, length(trim(regexp_replace(s, '\\s+', ' ', 'g'))) AS n FROM gate) SELECT doc_id, CASE WHEN n = 0 THEN 'doc_empty' WHEN n < 200 THEN 'doc_too_short' WHEN NOT {SCREEN.format('s')} THEN 'doc_no_evidence' ELSE code END AS code FROM n")
 def p10(t: Tables) -> DataFrame:
     s = t("in_docs").select("doc_id", "title", F.expr(LAW).alias("s"))
     n = text.visible_length(C("s"))

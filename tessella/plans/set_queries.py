@@ -9,7 +9,7 @@ from tessella.functions import bills, coerce, text, urls
 from tessella.operators import changes, identity
 
 from .registry import Tables, query
-from .scalar_queries import NORM
+from .scalar_queries import NORM, STOP
 
 C = F.col
 RX = r"'^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?'"
@@ -86,10 +86,17 @@ def j7(t: Tables) -> DataFrame:
     return t("lineitem").join(t("orders").select("o_orderkey", C("o_orderstatus").alias("status")), C("l_orderkey") == C("o_orderkey"), "left").select(C("l_orderkey").alias("id"), C("l_linenumber").alias("line"), "status")
 
 
-@query("j8_bill_resolution")
+RESOLVED = """WITH r AS (SELECT id, url, upper(trim(state)) AS st, regexp_replace(regexp_replace(upper(bill_number), '[^A-Z0-9]', '', 'g'), '^([A-Z]+)0*([0-9]+)$', '\\1\\2') AS no, regexp_extract(url, 'com/([A-Z]+)/', 1) AS us, regexp_extract(url, 'bill/HB([0-9]+)', 1) AS un, CAST(regexp_extract(url, '/([0-9]{4})$', 1) AS INTEGER) AS uy FROM in_records),
+s AS (SELECT lower(url) AS url, min(CAST(id AS VARCHAR)) AS b FROM in_records WHERE id % 11 = 0 GROUP BY 1), sb AS (SELECT upper(regexp_extract(url, 'com/([a-z]+)/', 1)) AS s, 'HB' || regexp_extract(url, 'bill/hb([0-9]+)', 1) AS n, arg_min(b, url) AS b FROM s GROUP BY 1, 2),
+m AS (SELECT CAST(o_orderkey % 97 AS VARCHAR) AS n, CAST(min(o_orderkey) AS VARCHAR) AS b FROM orders GROUP BY 1), h AS (SELECT CAST(o_orderkey % 97 AS VARCHAR) AS n, CAST(min(o_orderkey) AS VARCHAR) AS b FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+SELECT id, coalesce(s.b, sb.b, m.b, h.b) AS bill_id, CASE WHEN s.b IS NOT NULL THEN 'seen_url' WHEN sb.b IS NOT NULL THEN 'seen_bill' WHEN m.b IS NOT NULL THEN 'master_list' WHEN h.b IS NOT NULL THEN 'search' END AS via
+FROM r LEFT JOIN s ON lower(r.url) = s.url LEFT JOIN sb ON st = sb.s AND no = sb.n LEFT JOIN m ON us = 'AK' AND un = m.n AND uy BETWEEN 2018 AND 2020 LEFT JOIN h ON st = 'NM' AND no = 'SB' || h.n"""
+
+
+@query("j8_bill_resolution", RESOLVED)
 def j8(t: Tables) -> DataFrame:
     r = t("in_records").select("id", "url", "state", "bill_number")
-    seen = r.where("id % 11 = 0").select("url", "state", C("id").cast("string").alias("external_id"))
+    seen = r.where("id % 11 = 0").select(F.lower("url").alias("url"), "state", C("id").cast("string").alias("external_id"))
     seen = identity.first_rows(seen, ["url"], C("external_id"))
     master = t("orders").select(F.lit("AK").alias("state"), F.concat(F.lit("HB"), (C("o_orderkey") % 97).cast("string")).alias("number"), F.lit(2018).alias("year_start"), F.lit(2020).alias("year_end"), C("o_orderkey").alias("bill_id"), C("o_orderkey").alias("ord"))
     hits = t("orders").where("o_orderkey % 5 = 0").select(F.lit("NM").alias("state"), F.concat(F.lit("SB "), (C("o_orderkey") % 97).cast("string")).alias("number"), C("o_orderkey").alias("bill_id"), C("o_orderkey").alias("ord"))
@@ -457,11 +464,10 @@ def st4(t: Tables) -> DataFrame:
     return t("in_old").select("id", "status").intersect(t("in_new").select("id", "status"))
 
 
-OVER = "len(list_intersect(a, b)) * 1.0 / len(a)"
-SETS = "WITH w AS (SELECT doc_id, list_distinct({0}) AS a, list_distinct({1}) AS b FROM in_docs) "
+SIGNIFICANT = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9'']+'), lambda w: length(w) > 3 AND w NOT IN ({STOP})))"
 
 
-@query("st5_word_overlap")
+@query("st5_word_overlap", f"WITH w AS (SELECT doc_id, {SIGNIFICANT.format('title')} AS a, {SIGNIFICANT.format('substr(substr(text, 1, 400), 100, 300)')} AS b FROM in_docs) SELECT doc_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) * 1.0 / len(a), 6) END AS overlap FROM w")
 def st5(t: Tables) -> DataFrame:
     half = F.substring("text", 1, 400)
     return t("in_docs").select("doc_id", F.round(text.title_overlap(C("title"), F.substring(half, 100, 300)), 6).alias("overlap"))

@@ -112,7 +112,7 @@ def g13(t: Tables) -> DataFrame:
     return _cases(t).select("doc_id", adjudicate.adjudicate(C("answer"), C("quotes"), C("kind"), C("grounded"), "mech")["action"].alias("action"))
 
 
-@query("g14_safe_fixes")
+@query("g14_safe_fixes", ADJUDICATED.replace("SELECT doc_id, CASE WHEN a = 'Yes' AND q = 4", ", v AS (SELECT doc_id, q, a, CASE WHEN a = 'Yes' AND q = 4", 1) + ") SELECT doc_id, CASE WHEN action = 'flip_eval_yes' THEN 'Yes' ELSE a END AS answer, CASE WHEN coalesce(action, '') = 'clear_expl' OR q = 4 THEN 0 WHEN q = 2 THEN 2 ELSE 1 END AS quotes FROM v")
 def g14(t: Tables) -> DataFrame:
     c = _cases(t).select("*", adjudicate.adjudicate(C("answer"), C("quotes"), C("kind"), C("grounded"), "mech").alias("v"))
     f = c.select("doc_id", adjudicate.fixed(C("answer"), C("quotes"), C("v")).alias("f"))
@@ -238,7 +238,7 @@ def g27(t: Tables) -> DataFrame:
     return free.groupBy("state", C("content_type").alias("role")).agg(F.max_by("id", F.struct("hits", (-C("id")).alias("i"))).alias("winner"))
 
 
-@query("g28_ungrounded_repair")
+@query("g28_ungrounded_repair", "WITH d AS (SELECT id, text, CASE id % 7 WHEN 0 THEN '2024-05-01' WHEN 1 THEN '2026-05-03' WHEN 2 THEN '2023-05-05' WHEN 3 THEN '2017-01-09' WHEN 6 THEN '2019-11-30' END AS d FROM in_records), g AS (SELECT id, d, contains(text, d[1:4]) AND (contains(text, d) OR regexp_matches(text, '(?i)(?:january|may|november)\\s+0?' || CAST(CAST(d[9:10] AS INTEGER) AS VARCHAR) || '\\b,?\\s*' || d[1:4])) AS ok FROM d) SELECT id, CASE WHEN d IS NOT NULL AND NOT ok THEN '' ELSE d END AS after, d IS NOT NULL AND NOT ok AS reanalyze FROM g")
 def g28(t: Tables) -> DataFrame:
     d = coerce.iso_date(C("last_update"))
     r = t("in_records").select("id", d.alias("before"), F.when(d.isNotNull() & ~text.date_grounded(d, C("text")), "").otherwise(d).alias("after"))
@@ -417,7 +417,7 @@ def snk8(t: Tables) -> DataFrame:
     return stores.read_log(t.spark, at, "event_type string, n long")
 
 
-@query("snk10a_line_chunks")
+@query("snk10a_line_chunks")  # greedy, so each piece depends on the one before: tested on small cases
 def snk10a(t: Tables) -> DataFrame:
     lines = t("orders").select(C("o_custkey").alias("customer"), "o_orderkey", F.concat(F.lit("order "), C("o_orderkey").cast("string")).alias("line"))
     return stores.chunks(lines, "customer", "o_orderkey", "line", 60)
