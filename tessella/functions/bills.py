@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The form of a bill's URL, and last actions that end a bill.
 _BILL_URL = r"(?i)legiscan\.com/([A-Z]{2})/(?:bill|text)/([A-Z]+[0-9]+)/([0-9]{4})"
 _FAILED = r"(?i)failed to adopt|failed passage|died in|withdrawn"
 

@@ -178,6 +178,7 @@ def chamber_grounded(details: Column, text: Column) -> Column:
 
 # -- sections of a law -------------------------------------------------------------------------------------
 
+# Marks of an operative part, in order of preference, and plain texts that stand in for them.
 _SECTIONS = (r"(?i)\bsec(?:tion)?\.?\s*2\b", r"(?i)\bchapter\s+[0-9]+", r"(?i)\barticle\s+[0-9]+")
 _MARKERS = ("the people of the state of california do enact", "chapter ", "article ")
 

@@ -49,8 +49,9 @@ def within_run(candidates: DataFrame, order: str, url: str = "url", state: str =
     would let in.
     """
     c = candidates.withColumn("_norm", F.nullif(normalize_url(F.col(url)), F.lit(""))).withColumn("_bill", identity_key(F.col(state), F.col(number)))
-    first_url = F.min(order).over(Window.partitionBy("_norm"))
-    first_bill = F.min(order).over(Window.partitionBy("_bill"))
+    own = lambda key: F.coalesce(F.col(key), F.concat(F.lit("#"), F.col(order).cast("string")))  # rows without a key don't meet
+    first_url = F.min(order).over(Window.partitionBy(own("_norm")))
+    first_bill = F.min(order).over(Window.partitionBy(own("_bill")))
     c = c.withColumn("_u", first_url).withColumn("_b", first_bill)
     later = (F.col("_norm").isNotNull() & (F.col("_u") < F.col(order))) | (F.col("_bill").isNotNull() & (F.col("_b") < F.col(order)))
     return c.withColumn("suppressed", later).drop("_norm", "_bill", "_u", "_b")

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tessella.functions import bills, coerce, matching, places, text, urls
 from tessella.operators import adjudicate, grounding
-from tessella.sources import html, payloads, stores
+from tessella.sources import fetching, html, payloads, stores
 from tessella.streaming import incremental
 
 from .registry import Tables, query
 from .scalar_queries import LEXICON, STOP, document_code
 
 C = F.col
+HOST = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^$', '')"
 QUOTE = "CASE doc_id % 5 WHEN 0 THEN upper(substr(text, 11, 90)) WHEN 1 THEN concat(substr(text, 1, 70), ' and then something else that is not there at all') WHEN 2 THEN 'nowhere' WHEN 3 THEN '' ELSE concat('“', substr(text, 30, 40), '”') END"
 
 
@@ -79,6 +80,13 @@ def g8(t: Tables) -> DataFrame:
     return d.select("doc_id", matching.source_span("quote", "body").alias("span"))
 
 
+@query("g9_contained_span", "SELECT doc_id, trim(substr(text, 1, instr(substr(text, 21), ' ') + 19)) AS span FROM documents WHERE instr(substr(text, 21), ' ') > 1 AND regexp_matches(substr(text, 1, 60), '^[A-Za-z]+ [a-z ]+$')")
+def g9(t: Tables) -> DataFrame:
+    d = t("documents").where("instr(substr(text, 21), ' ') > 1").where(F.substring("text", 1, 60).rlike("^[A-Za-z]+ [a-z ]+$"))
+    first = F.trim(F.expr("substr(text, 1, instr(substr(text, 21), ' ') + 19)"))
+    return d.select("doc_id", matching.source_span(F.upper(first), F.substring("text", 1, 200)).alias("span"))
+
+
 @query("g10_repaired_quotes")
 def g10(t: Tables) -> DataFrame:
     d = t("in_docs").select("doc_id", F.posexplode(F.array(F.upper(F.substring("text", 1, 40)), F.lit("made up quote without source"))).alias("i", "quote"), F.substring("text", 1, 400).alias("body"))
@@ -268,6 +276,34 @@ def src2(t: Tables) -> DataFrame:
     return t("orders").select(C("o_orderkey").alias("id"), F.explode(payloads.pages_to_fetch((C("o_orderkey") % 9).cast("int"), 5)).alias("page")).withColumn("page", C("page").cast("long"))
 
 
+@query("src3_read_through", "WITH f AS (SELECT event_type AS op, user_id AS param_key, min(event_id) AS first FROM events GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (ORDER BY first) <= 40 AS paid FROM f WHERE param_key % 3 <> 0) SELECT e.event_id AS ord, CASE WHEN f.param_key % 3 = 0 THEN CASE WHEN e.event_id > f.first THEN 'memory' ELSE 'cache' END WHEN NOT coalesce(n.paid, false) OR f.param_key % 7 = 0 THEN 'none' WHEN e.event_id > f.first THEN 'memory' ELSE 'network' END AS via FROM events e JOIN f ON e.event_type = f.op AND e.user_id = f.param_key LEFT JOIN n USING (op, param_key)")
+def src3(t: Tables) -> DataFrame:
+    asked = t("events").select(C("event_id").alias("ord"), C("event_type").alias("op"), C("user_id").alias("param_key"))
+    keys = asked.select("op", "param_key").distinct()
+    valid = keys.where("param_key % 3 = 0").withColumn("payload", F.lit("cached"))
+    remote = keys.where("param_key % 7 <> 0").withColumn("payload", F.lit("fetched"))
+    return fetching.read_through(asked, valid, remote, budget=40).select("ord", "via")
+
+
+@query("src3a_answer_kinds", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'retry' WHEN 1 THEN 'http_error' WHEN 2 THEN 'ok' WHEN 3 THEN 'overlimit' WHEN 4 THEN 'api_error' ELSE 'empty' END AS kind FROM events")
+def src3a(t: Tables) -> DataFrame:
+    k = C("event_id") % 6
+    kind = fetching.answer_kind(F.when(k == 0, 429).when(k == 1, 500).otherwise(200), F.when(k == 2, "ok").when(k.isin(3, 4), "Error"), F.when(k == 3, "Monthly limit reached").when(k == 4, "unknown bill"))
+    return t("events").select("event_id", kind.alias("kind"))
+
+
+@query("src9_fetch_schedule", f"SELECT page_id, CAST(2.0 * (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) AS DOUBLE) AS start FROM pages")
+def src9(t: Tables) -> DataFrame:
+    return fetching.schedule(t("pages").select("page_id", "url"), "page_id").select("page_id", "start")
+
+
+@query("src10_robots", "SELECT page_id, NOT (regexp_matches(url, '^https?://[^/]*[.]example[.]com/en/') AND NOT regexp_matches(url, '^https?://[^/]*[.]example[.]com/en/1')) AS allowed FROM pages")
+def src10(t: Tables) -> DataFrame:
+    hosts = t("pages").select(urls.host(C("url")).alias("host")).distinct().where(C("host").endswith(".example.com"))
+    rules = hosts.select("host", F.explode(F.array(F.struct(F.lit("/en/").alias("prefix"), F.lit(False).alias("allow")), F.struct(F.lit("/en/1").alias("prefix"), F.lit(True).alias("allow")))).alias("r")).select("host", "r.*")
+    return fetching.robots_allow(t("pages").select("page_id", "url"), rules).select("page_id", "allowed")
+
+
 @query("src4_ttl_cache", "SELECT event_type AS op, user_id AS param_key, arg_max(value, struct_pack(t := ts, v := value)) AS payload FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2 HAVING max(ts) >= (SELECT max(ts) FROM events) - CASE event_type WHEN 'click' THEN INTERVAL 18 HOUR ELSE INTERVAL 7 DAY END")
 def src4(t: Tables) -> DataFrame:
     from tessella.operators.identity import cached
@@ -336,6 +372,18 @@ def src16(t: Tables) -> DataFrame:
     return t("in_docs").select("doc_id", F.md5(F.substring(F.concat_ws("\n", "title", "text"), 1, 8000)).alias("body"))
 
 
+@query("src16a_government_text", "SELECT doc_id, md5(split_part(text, ' the ', 1)) AS head FROM documents")
+def src16a(t: Tables) -> DataFrame:
+    return t("documents").select("doc_id", F.md5(F.substring_index("text", " the ", 1)).alias("head"))
+
+
+@query("src20_snapshot_files", "SELECT s_suppkey AS id, s_name AS name, 'Pending' AS \"table\" FROM supplier")
+def src20(t: Tables) -> DataFrame:
+    at = _folder(t, "snapshot")
+    stores.snapshot(t("supplier").select(C("s_suppkey").alias("id"), C("s_name").alias("name")), at, "Pending", "2026-08-05T00:00:00Z")
+    return t.spark.read.schema("exported_at string, `table` string, id long, fields struct<name: string>").json(at).select("id", C("fields.name").alias("name"), "table")
+
+
 @query("src17_encoded_documents", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def src17(t: Tables) -> DataFrame:
     coded = t("documents").select("doc_id", F.base64(C("text").cast("binary")).alias("doc"))
@@ -400,6 +448,12 @@ def snk3(t: Tables) -> DataFrame:
     return stores.read_log(t.spark, at, "direction string, url string, page_id long")
 
 
+@query("snk6_record_projections", "SELECT id, 'live' AS target, to_json(map_from_entries(list_filter([struct_pack(k := 'bill_number', v := bill_number), struct_pack(k := 'state', v := trim(state))], lambda e: e.v <> ''))) AS fields FROM in_records WHERE review_status = 'Approved'")
+def snk6(t: Tables) -> DataFrame:
+    kept = F.map_filter(F.create_map(F.lit("bill_number"), C("bill_number"), F.lit("state"), F.trim("state")), lambda k, v: v != "")
+    return t("in_records").where("review_status = 'Approved'").select("id", F.lit("live").alias("target"), F.to_json(kept).alias("fields"))
+
+
 @query("snk7_versioned_snapshots", "SELECT s_suppkey AS id, 4 AS version FROM supplier")
 def snk7(t: Tables) -> DataFrame:
     at = _folder(t, "versions")
@@ -429,6 +483,32 @@ def snk11(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(report.split("\n")[0], report.count("\n"))], "first_line string, lines long")
 
 
+@query("stm1_nightly_steps", "SELECT * FROM (VALUES ('discover', 'ok'), ('refresh', 'failed: ValueError'), ('report', 'ok')) v(step, outcome)")
+def stm1(t: Tables) -> DataFrame:
+    def fails() -> None:
+        raise ValueError
+
+    done = incremental.nightly([("discover", lambda: None), ("refresh", fails), ("report", lambda: None)], "discover")
+    return t.spark.createDataFrame(done, "step string, outcome string")
+
+
+@query("stm5_expiring_state", "SELECT user_id, max(ts) AS last FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def stm5(t: Tables) -> DataFrame:
+    e = t("events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    now = t("events").agg(F.max("ts").alias("now"))
+    return e.join(F.broadcast(now), C("last") >= C("now") - F.expr("INTERVAL 7 DAYS")).select("user_id", "last")
+
+
+@query("stm6_progress", "SELECT count(*) AS discovered, count(*) FILTER (event_type = 'purchase') AS analyzed, (100 * count(*) FILTER (event_type = 'purchase')) // count(*) AS percent FROM events")
+def stm6(t: Tables) -> DataFrame:
+    from pyspark.sql import Observation
+
+    seen = Observation("progress")
+    t("events").observe(seen, F.count("*").alias("discovered"), F.count_if(C("event_type") == "purchase").alias("analyzed")).write.format("noop").mode("overwrite").save()
+    m = seen.get
+    return t.spark.createDataFrame([(m["discovered"], m["analyzed"], 100 * m["analyzed"] // m["discovered"])], "discovered long, analyzed long, percent long")
+
+
 @query("stm3_seen_stream", "SELECT CASE WHEN ord >= 1000000000 THEN 'again' ELSE 'first' END AS part, count(*) AS n FROM in_batch GROUP BY 1")
 def stm3(t: Tables) -> DataFrame:
     at = _folder(t, "seen")

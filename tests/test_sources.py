@@ -92,3 +92,16 @@ def test_first_arrivals(spark, tmp_path):
     stream = incremental.first_arrivals(incremental.arrivals(spark, f"{at}/in", spark.read.parquet(f"{at}/in").schema), ["k"], "ts", "1 hour")
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["k"] for r in spark.read.schema("k long").parquet(f"{at}/out").collect()) == [1, 2]
+
+
+def test_read_through_and_robots(spark):
+    from tessella.sources import fetching
+
+    asked = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, "b", "z"), (5, "b", "w")], "ord long, op string, param_key string")
+    valid = spark.createDataFrame([("a", "y", "old")], "op string, param_key string, payload string")
+    remote = spark.createDataFrame([("a", "x", "new"), ("b", "z", "new"), ("b", "w", "new")], "op string, param_key string, payload string")
+    got = {r["ord"]: r["via"] for r in fetching.read_through(asked, valid, remote, budget=2).collect()}
+    assert got == {1: "network", 2: "memory", 3: "cache", 4: "network", 5: "none"}
+    pages = spark.createDataFrame([("https://a.gov/x/y",), ("https://a.gov/x/open/1",), ("https://b.gov/x",), ("https://a.gov",)], "url string")
+    rules = spark.createDataFrame([("a.gov", "/x", False), ("a.gov", "/x/open", True)], "host string, prefix string, allow boolean")
+    assert {r["url"]: r["allowed"] for r in fetching.robots_allow(pages, rules).collect()} == {"https://a.gov/x/y": False, "https://a.gov/x/open/1": True, "https://b.gov/x": True, "https://a.gov": True}
