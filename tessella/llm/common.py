@@ -5,15 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels handle at once; bounds a worker's memory whatever a batch holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,18 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessella"
 
 
+def smallest(df: DataFrame, ident: str, most: int, rows: int) -> DataFrame:
+    """The `most` rows of distinct ids with the smallest hashes, of `rows` in all.
+
+    Where there are many more, rows above a hash that four times as many lie below go first, so that what tasks
+    send on does not grow with the table; that fewer than `most` are left then does not happen by chance.
+    """
+    order = F.xxhash64(ident)
+    if rows > 8 * most:
+        df = df.where(order < int(-(2**63) + 2**64 * (4 * most / rows)))
+    return df.orderBy(order, ident).limit(most)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
@@ -63,14 +76,54 @@ def _drop_all() -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written as a table in the shared folder and read again, which cuts its lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    bounded(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.path = path
     return out
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `most` bytes in `column` at most, but one row at least."""
+#: Bytes of a batch that Spark hands to Python at once; by rows alone, thousands of long texts would come together.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, unless it has a bound of its own."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), most: int = CHUNK_BYTES) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]:
+    """Rows of (id, *keep, text) for a function over Arrow batches, what gives it their pieces, and the schema of what is kept.
+
+    text_col may be a field of a kept struct (`held.text`); the text then travels once.
+    """
+    bounded(docs.sparkSession)
+    outer, _, inner = text_col.partition(".")
+    inside = inner and outer in keep
+    rows = docs.select(F.col(id_col).alias("id"), *keep, *([] if inside else [F.col(text_col).cast("string").alias("text")]))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if inside:
+            batches = (pa.record_batch([*b.columns, pc.struct_field(b.column(outer), inner)], [*b.schema.names, "text"]) for b in batches)
+        return pieces(batches, "text", most)
+
+    return rows, cut, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
+
+
+#: What a worker process remembers between tasks, by operator, and how to forget it.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES, cache: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `most` bytes in `column` at most, but one row at least.
+
+    A worker forgets what it remembers for other operators than `cache` first.
+    """
+    for name, forget in caches.items():
+        if name != cache:
+            forget()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -118,7 +171,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
+    size = ((int(n) >> 18) + 1) << 18
     if size not in _powers:
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INV, np.uint64)
         up[0] = down[0] = 1

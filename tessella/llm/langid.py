@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, texts_of
 
 #: Most frequent n-grams of a language's and of a document's profile.
 PROFILE = 300
 #: Distance differences are divided by this before they become shares of confidence.
 SHARP = 0.02
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are held at once, at about a hundred bytes for each.
+CHUNK = 1 << 20
 _POINTS = 0x110000
 _table: list[np.ndarray] = []
 
@@ -100,7 +102,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], ["lang", "gram", "n"])
         total.clear()
 
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", CHUNK):
         langs = np.array(batch.column("lang").to_pylist(), object)
         texts = np.array([t or "" for t in batch.column("text").to_pylist()], object)
         for lang in sorted(set(langs)):
@@ -123,7 +125,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = np.bincount(where, n).astype(np.int64)
             held += len(codes) - (len(total[lang][0]) if lang in total else 0)
             total[lang] = codes, n
-        if held > 2_000_000:
+        if held > 1_000_000:
             yield from flush()
             held = 0
     yield from flush()
@@ -192,9 +194,10 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
     """
     langs = sorted(known)
     held = [known[x] for x in langs]
+    rows, cut, schema = texts_of(docs, id_col, text_col, keep, CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in cut(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, scores, far = [], [], []
             far_all = distances(*padded(texts), held) if held else np.full((len(texts), 1), np.nan)
@@ -208,6 +211,4 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
                 far.append(float(row[best]))
             yield pa.record_batch([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(names), pa.array(scores, pa.float64()), pa.array(far, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "distance"])
 
-    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, distance double")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces, span_hashes, word_spans, written
+from .common import flat, smallest, span_hashes, texts_of, word_spans, written
 
 #: Labelled texts of each domain that the classifier is fitted on at most, those whose ids have the smallest hashes; longer
 #: texts than EXAMPLE_BYTES are no examples.
@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     shares = {r["domain"]: r["count"] for r in there.groupBy("domain").count().collect()}
     chosen = None
     for d in sorted(shares):
-        part = there.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        part = smallest(there.where(F.col("domain") == d), "doc_id", SAMPLE, shares[d])
         chosen = part if chosen is None else chosen.union(part)
     if chosen is None:
         return fit([("", "")])
@@ -137,17 +137,16 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 def memberships(docs: DataFrame, model: Classifier, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, n_tokens, p) of each row: words, and posteriors in the order of the model's domains."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    rows, cut, schema = texts_of(docs, id_col, text_col, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(held.value)
-        for batch in pieces(batches, "text"):
+        for batch in cut(batches):
             p, n = own.posteriors(*flat(batch.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-            names = [c for c in batch.schema.names if c != "text" or "text" in keep]
+            names = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(n), lists], [*names, "n_tokens", "p"])
 
-    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
     return rows.mapInArrow(run, f"{schema}, n_tokens long, p array<double>")
 
 

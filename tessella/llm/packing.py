@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bounded, pieces
 from .tokens import encoder
 
 #: Ids that a task holds before it packs them; bounds its memory, and windows of so many waste next to nothing.
@@ -83,7 +83,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int)
             )
         first, held, count = first + used, [], 0
 
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", cache="tokens"):
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])):
             ids = np.concatenate((ids, end))
             held.extend((doc_id, k, len(ids), ids[k : k + size]) for k in range(0, len(ids), size))
@@ -103,5 +103,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, id_col:
     tasks; offsets in a sequence have no gaps. ids are little-endian unsigned 32-bit integers. A null or empty text is
     end_id alone; a null doc_id stays null; rows that repeat a document are packed as often. An empty table gives no piece.
     """
+    bounded(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(partial(_pack, path=path, end_id=end_id, size=size), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

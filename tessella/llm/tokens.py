@@ -9,8 +9,10 @@ from itertools import chain
 
 import numpy as np
 
+from .common import caches
+
 #: Words that a worker remembers; beyond that, new words are encoded each time they come.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Bytes of a longer word are not worth remembering.
 LONGEST = 64
 
@@ -86,6 +88,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+caches["tokens"] = _encoders.clear
 
 
 def encoder(path: str) -> Encoder:

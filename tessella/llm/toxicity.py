@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, shingle_sets
+from .common import shingle_sets, smallest, texts_of
 
 #: Labelled texts of each class that the classifier is fitted on at most: those whose ids have the smallest hashes.
 SAMPLE = {1: 2500, 0: 5000}
@@ -42,6 +42,19 @@ def features(text: str) -> Counter:
     return out
 
 
+def _known(ids: dict[str, int], text: str) -> dict[int, float]:
+    """Counts of those features of a text that have a number."""
+    out: dict[int, float] = {}
+    get = ids.get
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        if (t := get(word)) is not None:
+            out[t] = out.get(t, 0) + n
+        for k in STEMS:
+            if len(word) > k and (t := get(word[:k] + "*")) is not None:
+                out[t] = out.get(t, 0) + n
+    return out
+
+
 @dataclass
 class Model:
     """The index: postings by feature and block, with each block's largest weight, and the examples by block.
@@ -71,15 +84,7 @@ class Model:
         return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
     def known(self, text: str) -> dict[int, float]:
-        ids, out = self.ids, {}
-        get = ids.get
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            if (t := get(word)) is not None:
-                out[t] = out.get(t, 0) + n
-            for k in STEMS:
-                if len(word) > k and (t := get(word[:k] + "*")) is not None:
-                    out[t] = out.get(t, 0) + n
-        return out
+        return _known(self.ids, text)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine and these, exactly: blocks are scored in order of the most that they
@@ -126,12 +131,12 @@ class Model:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * evidence + self.shift))))
 
 
-def _telling(rows: list[tuple[Counter, int]]) -> list[str]:
+def _telling(rows: list[tuple[str, int]]) -> list[str]:
     """The features that tell toxic examples from others best: those with the largest part in the log-likelihood ratio."""
     total = Counter(y for _, y in rows)
     df = {0: Counter(), 1: Counter()}
-    for counts, y in rows:
-        df[y].update(counts.keys())
+    for text, y in rows:
+        df[y].update(features(text).keys())
     a, b = max(1, total[1]), max(1, total[0])
     scored, least = [], math.log(1 + len(df[0].keys() | df[1].keys())) + LEAST_GAIN
     for f in df[1]:
@@ -165,10 +170,10 @@ def distinct(examples: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]
 def fit(examples: list[tuple[int, str, int]]) -> Model:
     """The index of (id, text, label) examples, and a logistic curve over the votes that each would get from the others."""
     examples = distinct(examples)
-    rows = [(features(t), y) for _, t, y in examples]
+    rows = [(t, y) for _, t, y in examples]
     names = _telling(rows)
     ids = {f: i for i, f in enumerate(names)}
-    counts = [{ids[f]: n for f, n in c.items() if f in ids} for c, _ in rows]
+    counts = [_known(ids, t) for t, _ in rows]
     df = np.bincount(np.fromiter((t for c in counts for t in c), np.int64), minlength=len(ids)) if ids else np.zeros(0)
     # Examples that show no telling feature cannot be near anything. They count in df, and stand for the case of no evidence.
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
@@ -214,10 +219,10 @@ def fit(examples: list[tuple[int, str, int]]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
     """The bounded sample of labelled texts: (doc_id, text, toxic). A document with both labels, or none, is left out."""
     named = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other AND toxic IN (0, 1)").select("doc_id", "toxic")
-    found = docs.where(F.octet_length("text") <= EXAMPLE_BYTES).select("doc_id", F.xxhash64("doc_id").alias("h")).dropDuplicates(["doc_id"]).join(named, "doc_id")
-    chosen = None
+    found = docs.where(F.octet_length("text") <= EXAMPLE_BYTES).select("doc_id").distinct().join(named, "doc_id")
+    counts, chosen = {r["toxic"]: r["count"] for r in found.groupBy("toxic").count().collect()}, None
     for label, most in SAMPLE.items():
-        part = found.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most).select("doc_id", "toxic")
+        part = smallest(found.where(F.col("toxic") == label), "doc_id", most, counts.get(label, 0)).select("doc_id", "toxic")
         chosen = part if chosen is None else chosen.union(part)
     chosen = {r["doc_id"]: int(r["toxic"]) for r in chosen.collect()}  # SAMPLE bounds it
     wanted = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, toxic int")
@@ -233,11 +238,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     examples of both classes, the score is near 0, or near 1 if all examples are toxic.
     """
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    rows, cut, schema = texts_of(docs, id_col, text_col, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(held.value)
         near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-        for batch in pieces(batches, "text"):
+        for batch in cut(batches):
             scores, found = [], []
             for text in batch.column("text").to_pylist():
                 s, who, cosine = own.score(text or "")
@@ -246,6 +252,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(scores, pa.float64()), pa.array(found, near)], [*names, "score", "near"])
 
-    rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
     return rows.mapInArrow(run, f"{schema}, score double, near array<struct<doc_id: long, cosine: double, toxic: int>>")
