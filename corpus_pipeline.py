@@ -19,18 +19,18 @@ VOCABULARY, END_ID, WINDOW = "byte_bpe_50k.json", 1, 2048
 
 
 def _held(docs: DataFrame) -> DataFrame:
-    """The rows as one column beside id and text, so that no name can clash with an operator's."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"))
+    """The rows as one column beside the id, so that no name can clash with an operator's."""
+    return docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(toxicity.sample(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
-    return toxicity.score(_held(docs), model, keep=("held",)).where(F.col("score") < TOXIC).select("held.*")
+    return toxicity.score(_held(docs), model, text_col="held.text", keep=("held",)).where(F.col("score") < TOXIC).select("held.*")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters go: no language can be told."""
-    found = langid.identify(_held(docs), langid.profiles(docs), keep=("held",))
+    found = langid.identify(_held(docs), langid.profiles(docs), text_col="held.text", keep=("held",))
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select("held.*")
 
 
@@ -42,7 +42,7 @@ def mix_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Each document stands as often as its rate says: poor ones mostly go, a few good ones stand twice."""
     labels = table(spark, sf_dir, "labels")
     labelled = labels.select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain"))
-    mixed, _ = mixing.mix(_held(docs), labelled, TARGETS, keep=("held",))
+    mixed, _ = mixing.mix(_held(docs), labelled, TARGETS, text_col="held.text", keep=("held",))
     return mixed.where("copies > 0").select("held", F.explode(F.sequence(F.lit(1), "copies"))).select("held.*")
 
 
