@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _LOWER, drop, flat, mix, pieces, word_hashes, word_spans, written
@@ -23,7 +23,7 @@ from .common import _LOWER, drop, flat, mix, pieces, word_hashes, word_spans, wr
 WORDS, CLASSES = 95, 32
 END, UNITS = WORDS, WORDS + 1 + CLASSES
 START = UNITS
-#: Frequent words whose counts every worker holds (16 bytes each); the others' are joined.
+#: Frequent words whose counts every worker holds at most (16 bytes each); the others' are joined.
 HEAD = 500_000
 #: Size of the model's vectors; steps, examples a step and noise samples a step of its training.
 SIZE, STEPS, EXAMPLES, NOISE = 24, 600, 4096, 64
@@ -119,7 +119,15 @@ def train(cells: np.ndarray, counts: np.ndarray, seed: int = 1) -> np.ndarray:
     par = {"r1": rng.normal(0, 0.1, (UNITS + 1, SIZE)), "r2": rng.normal(0, 0.1, (UNITS + 1, SIZE)), "c1": np.eye(SIZE), "c2": np.eye(SIZE), "q": rng.normal(0, 0.1, (UNITS, SIZE)), "b": np.log(share)}
     first, second = ({k: np.zeros_like(v) for k, v in par.items()} for _ in range(2))
     edge = np.cumsum(counts.astype(float))
-    hot = lambda at, n: (at[:, None] == np.arange(n)).astype(float)
+
+    def sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """The sums of the rows that belong to each of n numbers."""
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        out = np.zeros((n, *rows.shape[1:]))
+        out[at[order][first]] = np.add.reduceat(rows[order], first)
+        return out
+
     for step in range(1, STEPS + 1 if len(cells) else 0):
         pick = cells[np.minimum(np.searchsorted(edge, rng.random(EXAMPLES) * edge[-1], "right"), len(cells) - 1)]
         unit, one, two = pick % UNITS, pick // UNITS % (UNITS + 1), pick // UNITS // (UNITS + 1)
@@ -130,9 +138,8 @@ def train(cells: np.ndarray, counts: np.ndarray, seed: int = 1) -> np.ndarray:
         other = h @ par["q"][noise].T + par["b"][noise] - np.log(NOISE * share[noise])
         e = (1 / (1 + np.exp(np.clip(data, -30, 30)))) / EXAMPLES
         f = -(1 / (1 + np.exp(-np.clip(other, -30, 30)))) / EXAMPLES
-        to_unit, to_noise = hot(unit, UNITS), hot(noise, UNITS)
         gh = e[:, None] * par["q"][unit] + f @ par["q"][noise]
-        grads = {"q": to_unit.T @ (e[:, None] * h) + to_noise.T @ (f.T @ h), "b": to_unit.T @ e + to_noise.T @ f.sum(0), "c1": a.T @ gh, "c2": b.T @ gh, "r1": hot(one, UNITS + 1).T @ (gh @ par["c1"].T), "r2": hot(two, UNITS + 1).T @ (gh @ par["c2"].T)}
+        grads = {"q": sums(unit, e[:, None] * h, UNITS) + sums(noise, f.T @ h, UNITS), "b": sums(unit, e, UNITS) + sums(noise, f.sum(0), UNITS), "c1": a.T @ gh, "c2": b.T @ gh, "r1": sums(one, gh @ par["c1"].T, UNITS + 1), "r2": sums(two, gh @ par["c2"].T, UNITS + 1)}
         rate = 0.03 * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k, g in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -147,6 +154,17 @@ def train(cells: np.ndarray, counts: np.ndarray, seed: int = 1) -> np.ndarray:
     return out.ravel()
 
 
+def _trained(spark: SparkSession, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """train() in a task, whose numpy has one thread and an executor's memory; both sides are bounded by the triples of units."""
+    held = spark.sparkContext.broadcast(pickle.dumps((cells, counts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.record_batch([pa.array([train(*pickle.loads(held.value)).tobytes()], pa.binary())], ["logs"])
+
+    return np.frombuffer(spark.range(0, 1, 1, 1).mapInArrow(run, "logs binary").first()["logs"], np.float32)
+
+
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
@@ -163,8 +181,17 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     counts = written(texts.mapInArrow(_count, "key long, c long, kind long").groupBy("key").agg(F.sum("c").alias("c"), F.min("kind").alias("kind")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
-    head = counts.orderBy(F.desc("c"), "key").limit(HEAD).toArrow()
+    grade = F.floor(F.log2("c") * 8)  # some hundred grades; those that together have at most HEAD words make up the head
+    grades, least, held = counts.groupBy(grade.alias("g")).count().orderBy(F.desc("g")).collect(), None, 0
+    for r in grades:
+        held += r["count"]
+        if held > HEAD:
+            break
+        least = r["g"]
+    head = counts.where(F.lit(False) if least is None else grade >= least).toArrow()
     keys, c, kinds = (head.column(x).to_numpy() for x in ("key", "c", "kind"))
+    order = np.lexsort((keys, -c))
+    keys, c, kinds = keys[order], c[order], kinds[order]
     frequent = np.flatnonzero(keys != _END_KEY)[:WORDS]
     by_key, by_word = np.argsort(keys), frequent[np.argsort(keys[frequent])]
     own = np.empty(len(keys), np.int64)
@@ -196,7 +223,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     cells = texts.mapInArrow(triples, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # a row for each triple of units at most
     cell, c = cells.column("cell").to_numpy(), cells.column("c").to_numpy()
     order = np.argsort(cell)
-    logs = train(cell[order], c[order]).reshape(-1, UNITS) - np.log10(mass / (n + v + 1.0)).astype(np.float32)
+    logs = _trained(spark, cell[order], c[order]).reshape(-1, UNITS) - np.log10(mass / (n + v + 1.0)).astype(np.float32)
     full = spark.sparkContext.broadcast(pickle.dumps(Known(known.keys, known.counts, known.words, known.units, logs.ravel())))
     least = np.log10(n + v + 1.0)
 
