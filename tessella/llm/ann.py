@@ -21,11 +21,18 @@ TABLES, PROBES = 12, 8
 BLOCK = 4096
 #: Rows a bucket should have; a table takes more hashes, and so more buckets, as the number of vectors grows.
 BUCKET_ROWS = 2048
+#: Rows that a query's probes should hold together at least; with few vectors, more axes are probed.
+LEAST_ROWS = 512
+
+
+def signs_of(dims: int) -> int:
+    """The rotation's size: the next power of two."""
+    return 1 << max(0, (dims - 1).bit_length())
 
 
 def rotations(dims: int, count: int, seed: int) -> np.ndarray:
     """The signs of three diagonal matrices for each of `count` pseudo-rotations over the next power of two."""
-    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (count, 3, 1 << max(0, (dims - 1).bit_length())))
+    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (count, 3, signs_of(dims)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -146,6 +153,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     hashes = 1
     while hashes < 3 and count / (2 * dims) ** hashes > 8 * BUCKET_ROWS:
         hashes += 1
+    wide = 2 * signs_of(dims)
+    probes = min(wide, max(probes, math.ceil(LEAST_ROWS * wide**hashes / (tables * max(1, count)))))
     signs = rotations(dims, tables * hashes, seed).reshape(tables, hashes, 3, -1)
     place = partial(_place, dims=dims, signs=signs, hashes=hashes)
     placed = "t long, bucket long, class long, vector array<double>"
