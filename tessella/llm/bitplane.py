@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt_files, make_dir, new_path, open_in, open_out, pieces, written
+from .common import CHUNK_BYTES, dealt_files, make_dir, new_path, open_in, open_out, pieces, written
 from .tokens import encoder
 
 MAGIC = b"TSLPLAN1"
@@ -127,7 +127,7 @@ def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
 def _write(batches: Iterator[pa.RecordBatch], root: str, path: str, end_id: int, kind: int) -> Iterator[pa.RecordBatch]:
     part, done, out = TaskContext.get().partitionId(), [], None
     end = np.array([end_id], np.uint32)
-    for batch in pieces(batches, "text", cache="tokens"):
+    for batch in pieces(batches, "text", 2 * CHUNK_BYTES, "tokens"):
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])):
             if out is None:
                 out = Writer(f"{root}/{part:08d}-{len(done):04d}-{uuid.uuid4().hex}.planes", kind)

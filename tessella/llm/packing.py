@@ -11,11 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, pieces
+from .common import CHUNK_BYTES, bounded, pieces
 from .tokens import encoder
 
 #: Ids that a task holds before it packs them; bounds its memory, and windows of so many waste next to nothing.
-HELD_IDS = 1 << 23
+HELD_IDS = 1 << 22
 
 
 class Capacities:
@@ -83,7 +83,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int)
             )
         first, held, count = first + used, [], 0
 
-    for batch in pieces(batches, "text", cache="tokens"):
+    for batch in pieces(batches, "text", 2 * CHUNK_BYTES, "tokens"):
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])):
             ids = np.concatenate((ids, end))
             held.extend((doc_id, k, len(ids), ids[k : k + size]) for k in range(0, len(ids), size))
