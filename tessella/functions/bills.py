@@ -56,7 +56,7 @@ def number_variants(number: Column) -> Column:
 
 def _dotted(letters: Column, digits: Column) -> Column:
     """A pattern for letters with dots and spaces between, then the number with any leading zeros."""
-    spaced = F.regexp_replace(letters, "(?<=.)(?=.)", r"\\\\.?\\\\s*")
+    spaced = F.regexp_replace(letters, "(?<=.)(?=.)", r"\\.?\\s*")
     return F.concat(F.lit(r"(?i)\b"), spaced, F.lit(r"\.?\s*0*"), digits, F.lit(r"\b"))
 
 

@@ -13,7 +13,7 @@ from tessella.sources import fetching, html, payloads, stores
 from tessella.streaming import incremental
 
 from .registry import Tables, query
-from .scalar_queries import LEXICON, STOP, document_code
+from .scalar_queries import LEXICON, NORM, STOP, document_code
 
 C = F.col
 HOST = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^$', '')"
@@ -29,7 +29,14 @@ def g1(t: Tables) -> DataFrame:
 NUMBERED = "CASE id % 8 WHEN 0 THEN concat('see H. B. 0', CAST(id % 97 AS varchar(20)), ' here') WHEN 1 THEN concat('house hr', CAST(id % 97 AS varchar(20))) WHEN 2 THEN concat('S.', CAST(id % 97 AS varchar(20)), ' x') WHEN 4 THEN concat(CAST(id % 97 AS varchar(20)), ' was read IN ASSEMBLY') WHEN 5 THEN concat('Administrative Order No. ', CAST(id % 97 AS varchar(20))) ELSE 'no number' END"
 
 
-@query("g2_number_in_text")
+NUMBER_SQL = rf"""WITH n AS (SELECT id, {NORM} AS n, {NUMBERED} AS body FROM in_records), p AS (SELECT *, regexp_extract(n, '^([A-Z]+)([0-9]+)$', 1) AS l, regexp_extract(n, '^([A-Z]+)([0-9]+)$', 2) AS d, regexp_replace(upper(body), '[^A-Z0-9]', '', 'g') AS hay FROM n),
+o AS (SELECT *, CASE l WHEN 'HB' THEN 'HR' WHEN 'HR' THEN 'HB' WHEN 'SB' THEN 'S' WHEN 'S' THEN 'SB' END AS other FROM p), s AS (SELECT *, '(?i)\b' || array_to_string(string_split(l, ''), '\.?\s*') || '\.?\s*0*' || d || '\b' AS one, '(?i)\b' || array_to_string(string_split(other, ''), '\.?\s*') || '\.?\s*0*' || d || '\b' AS two FROM o)
+SELECT id, n = '' OR contains(hay, n) OR coalesce(contains(hay, other || d), false) OR (l <> '' AND (regexp_matches(body, one) OR coalesce(regexp_matches(body, two), false)))
+  OR (l = 'A' AND (regexp_matches(upper(body), '\b' || d || '\b[^\n]{{0,40}}\bIN ASSEMBLY\b') OR regexp_matches(upper(body), '\bASSEMBLY\b[^\n]{{0,40}}\b' || d || '\b') OR regexp_matches(upper(body), '\bA\.?\s*' || d || '\b')))
+  OR (l = 'AO' AND regexp_matches(body, '(?i)\bADMINISTRATIVE\s+ORDER\s+(?:NO\.?\s*)?' || d || '\b')) AS found FROM s"""
+
+
+@query("g2_number_in_text", NUMBER_SQL.replace("\\\\", "\\"))
 def g2(t: Tables) -> DataFrame:
     return t("in_records").select("id", bills.number_in_text(C("bill_number"), F.expr(NUMBERED)).alias("found"))
 
@@ -42,9 +49,15 @@ def g3(t: Tables) -> DataFrame:
     return t("orders").select(C("o_orderkey").alias("id"), text.date_grounded(F.substring(C("o_orderdate").cast("string"), 1, 10), F.expr(DATED)).alias("grounded"))
 
 
-@query("g4_sponsors_grounded")
+WORDS_SQL = f"list_transform(list_filter(list_transform(regexp_split_to_array(p, '[\\s,;/]+'), lambda w: regexp_replace(w, '[^A-Za-z''-]', '', 'g')), lambda w: length(w) > 3 AND regexp_matches(w, '^[A-Z]') AND lower(w) NOT IN ({STOP})), lambda w: lower(w))"
+GENERIC_SQL = ", ".join(f"'{w}'" for w in text.GENERIC_NAMES)
+
+
+@query("g4_sponsors_grounded", f"""WITH d AS (SELECT doc_id, lower(text) AS t, 'Senator ' || substr(title, 1, 20) || '; Governor; Nobody Elsewhere' AS s FROM in_docs),
+e AS (SELECT doc_id, t, i, trim(list_extract(regexp_split_to_array(s, '[,;]'), i)) AS p FROM (SELECT *, unnest(range(1, 1 + len(regexp_split_to_array(s, '[,;]')))) AS i FROM d)), w AS (SELECT *, {WORDS_SQL} AS w FROM e), x AS (SELECT *, list_filter(w, lambda v: v NOT IN ({GENERIC_SQL})) AS own FROM w),
+k AS (SELECT *, len(list_filter(CASE WHEN len(own) > 0 THEN own ELSE w END, lambda v: NOT contains(t, v))) = 0 AS ok FROM x) SELECT doc_id, coalesce(string_agg(p, ', ' ORDER BY i) FILTER (ok), '') AS kept FROM k GROUP BY doc_id""")
 def g4(t: Tables) -> DataFrame:
-    d = t("in_docs").select("doc_id", "text", F.concat(F.lit("Senator "), F.initcap(F.substring("title", 1, 20)), F.lit("; Governor; Nobody Elsewhere")).alias("sponsors"))
+    d = t("in_docs").select("doc_id", "text", F.concat(F.lit("Senator "), F.substring("title", 1, 20), F.lit("; Governor; Nobody Elsewhere")).alias("sponsors"))
     people = F.transform(F.split("sponsors", "[,;]"), lambda x: F.trim(x))
     return d.select("doc_id", F.array_join(F.filter(people, lambda p: text.name_grounded(p, C("text"))), ", ").alias("kept"))
 
@@ -520,6 +533,19 @@ def stm3(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{at}/decided").groupBy("part").agg(F.count("*").alias("n"))
 
 
+@query("stm2_interval_runs", "SELECT count(*) AS n, 1 AS versions FROM pages")
+def stm2(t: Tables) -> DataFrame:
+    """Runs at an interval, one at a time, until nothing is left to do."""
+    at = _folder(t, "interval")
+    b = t("in_batch").where("ord < 1000000000")
+    b.coalesce(1).write.parquet(f"{at}/in")
+    running = incremental.maintain_seen(incremental.arrivals(t.spark, f"{at}/in", b.schema), f"{at}/state", f"{at}/decided", f"{at}/checkpoint", interval="1 second")
+    running.processAllAvailable()
+    running.stop()
+    versions = len(stores.versions(t.spark, f"{at}/state"))
+    return t.spark.read.parquet(f"{at}/decided").agg(F.count("*").alias("n"), F.lit(versions).alias("versions"))
+
+
 @query("stm4_first_arrivals", "SELECT user_id, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2")
 def stm4(t: Tables) -> DataFrame:
     at = _folder(t, "arrivals")

@@ -31,7 +31,7 @@ def test_host_suffixes(spark):
 
 @pytest.mark.parametrize(
     ("number", "body", "found"),
-    [("HB 25", "as H.B. 25 says", True), ("HB 0025", "H. R. 25", True), ("HB 25", "HB 251", True), ("HB 25", "H.B. 26", False), ("A08545", "8545 IN ASSEMBLY", True), ("AO329", "Administrative Order No. 329", True), ("", "x", True), (None, "x", True), ("SB 7", None, False)],
+    [("HB 25", "as H.B. 25 says", True), ("HB 0025", "H. R. 25", True), ("HB 25", "HB 251", True), ("HB 25", "H.B. 26", False), ("HB 25", "an H. B. 025 is", True), ("HB 25", "an H.R. 025 is", True), ("SB 7", "S. 07", True), ("A08545", "8545 IN ASSEMBLY", True), ("AO329", "Administrative Order No. 329", True), ("", "x", True), (None, "x", True), ("SB 7", None, False)],
 )
 def test_number_in_text(spark, number, body, found):
     df = spark.createDataFrame([(number, body)], "n string, t string")
