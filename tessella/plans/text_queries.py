@@ -169,7 +169,7 @@ def j9(t: Tables) -> DataFrame:
     return matching.match_names(s, roster).join(s.select("id", "name"), "id").select("name", "roster_id", "score")
 
 
-@query("g16_name_scores")
+@query("g16_name_scores", "SELECT n_nationkey, 100 AS score FROM nation")
 def g16(t: Tables) -> DataFrame:
     n = t("nation").select("n_nationkey", F.lower("n_name").alias("a"))
     pairs = n.select("n_nationkey", "a", F.concat(F.substring("a", 1, 1), F.lit(" "), F.substring("a", 2, 20)).alias("b"))
@@ -179,7 +179,7 @@ def g16(t: Tables) -> DataFrame:
 INTRO = "CASE c_custkey % 4 WHEN 0 THEN concat('Ann is a citizen of the ', initcap(c_mktsegment), ' Nation and a lawyer.') WHEN 1 THEN 'She is a member of the Blue River Band, of Oneida descent, born in the north and raised by her aunts there.' WHEN 2 THEN 'A Native American politician.' ELSE 'Nothing to see.' END"
 
 
-@query("g17_name_extraction")
+@query("g17_name_extraction", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) WHEN 1 THEN 'Blue River / Oneida' ELSE '' END AS names, CASE c_custkey % 4 WHEN 0 THEN 'intro_too_short' WHEN 1 THEN '' ELSE 'generic_only' END AS refused FROM customer")
 def g17(t: Tables) -> DataFrame:
     found = grounding.extracted(F.expr(INTRO), ["Oneida", "Blue River", "Band"])
     return t("customer").select(C("c_custkey").alias("id"), F.array_join(found, " / ").alias("names"), grounding.proposal(F.array_join(found, " / "), F.expr(INTRO)).alias("refused"))
