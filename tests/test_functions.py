@@ -116,3 +116,26 @@ def test_running_sum_over_ranges(spark):
     got = changes.running_sum(df, F.lit(1), "o", "n").orderBy("o").collect()
     assert [r["n"] for r in got] == list(range(1, len(got) + 1))
     assert changes.running_sum(df.limit(0), F.lit(1), "o", "n").count() == 0
+
+
+def test_urls_like_the_standard_library(spark):
+    """The column form agrees with a form made from urllib's parts, over random URLs."""
+    import random
+    from urllib.parse import urlparse
+
+    def plain(url):
+        text = (url or "").strip()
+        if not text:
+            return ""
+        p = urlparse(text)
+        scheme = (p.scheme or "https").lower().replace("http", "https").replace("httpss", "https")
+        name = p.netloc.lower().removeprefix("www.")
+        where = p.path.rstrip("/") or "/"
+        if name.endswith("justice.gov") and where.startswith("/archives/"):
+            where = where[len("/archives") :].rstrip("/") or "/"
+        return f"{scheme}:" + (f"//{name}" if name else "") + where + (f"?{p.query}" if p.query else "")
+
+    rng = random.Random(3)
+    parts = [["http://", "https://", "HTTPS://"], ["a.gov", "WWW.B.Gov", "www.www.c.org", "justice.gov", "x.justice.gov:8080"], ["", "/", "/a", "/a/b/", "/archives/opa/1/", "/archives/", "/A//"], ["", "?", "?q=1", "?a=b&c=/d"], ["", "#", "#top?x=/"]]
+    cases = ["".join(rng.choice(p) for p in parts) for _ in range(200)]
+    assert one(spark, cases, urls.normalize_url) == [plain(c) for c in cases]
