@@ -64,6 +64,20 @@ def test_hot_vectors_blocks_and_more_hashes(spark, monkeypatch):
     assert np.mean([i in dict(got[q]) for q, near in want.items() for i, _ in near]) >= 0.9
 
 
+def test_recall_of_the_default_parameters_with_two_hashes(spark, monkeypatch):
+    """Neighbours at a cosine near 0.55, that of the nearest among 2.2 million random vectors, where tables join two hashes."""
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(ann, "LEAST_ROWS", 1)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(500, 64))
+    rows = [(i, [float(np.float32(v)) for v in (centres[i // 6] if i % 6 == 0 else centres[i // 6] + 1.5 * rng.normal(size=64))]) for i in range(3000)]
+    df = table(spark, rows)
+    got = found(ann.neighbours(df, df.where("vec_id % 30 = 0")))
+    want = brute(rows, {i for i, _ in rows if i % 30 == 0}, 5)
+    assert 0.5 < np.mean([s for near in want.values() for _, s in near]) < 0.6
+    assert np.mean([i in dict(got.get(q, [])) for q, near in want.items() for i, _ in near]) >= 0.9
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, []), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, 1.0]), (7, [2.0, 0.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (0, [1.0, 0.0]), (9, [-0.0, -1.0]), (10, [0.0, -1.0])]
