@@ -11,6 +11,8 @@ from tessella.llm import langid, minhash, mixing, packing, toxicity
 from tessella.llm.common import table, written
 from tessella.llm.tokens import vocabulary_path
 
+#: Texts whose sets of five-word shingles have a Jaccard similarity of so many hundredths or more are near duplicates.
+NEAR = 80
 #: A text of this score or more is rejected as toxic.
 TOXIC = 0.5
 #: Shares of the mix's tokens by predicted quality.
@@ -35,7 +37,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.distinct_documents(docs)
+    return minhash.distinct_documents(docs, threshold=NEAR)
 
 
 def mix_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

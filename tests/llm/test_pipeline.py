@@ -41,6 +41,19 @@ def test_clean_documents_pass_the_filters(spark, small):
     assert lettered.count() == corpus_pipeline.keep_known_languages(spark, docs, small).count()
 
 
+def test_near_duplicates_from_four_fifths(spark, small):
+    """One of two texts of similarity 0.82 goes; both of similarity 0.77 stay."""
+    docs = []
+    for ident, (both, own) in ((1, (82, 9)), (3, (77, 11.5))):
+        shared = [f"s{ident}x{i}" for i in range(both + 4)]
+        docs += [(ident + k, " ".join(shared + [f"o{ident + k}x{i}" for i in range(int(own + k / 2))])) for k in (0, 1)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert round(near(1, 2), 2) == 0.82 and round(near(3, 4), 2) == 0.77
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), small)
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4]
+
+
 def test_odd_documents(spark, odd, small):
     docs = odd
     for _, stage in corpus_pipeline.STAGES[:-1]:
