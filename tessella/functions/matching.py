@@ -6,6 +6,7 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,11 +53,20 @@ def best_span(quote: str | None, source: str | None, least: float = LEAST_RATIO)
         return min((cut(run) for run in found), key=len, default=None)
     match, best, span = SequenceMatcher(None, "", wanted, autojunk=True), least, None
     match.set_seq1(wanted)
+    letters = sorted(set(wanted) - {" "})
+    want, gaps = np.array([wanted.count(c) for c in letters]), wanted.count(" ")
+    # Sums up to each word: of the letters, of characters, of spaces inside words, and of words that are not empty.
+    held, long, inner, full = (np.concatenate((np.zeros((1, x.shape[1]), np.int64), x.cumsum(0))) for x in (
+        np.array([[f.count(c) for c in letters] for f in forms]), *(np.array([[g(f)] for f in forms]) for g in (len, lambda f: f.count(" "), bool))))
     for size in range(max(3, n - 3), min(n + 3, len(words)) + 1):
-        for k in range(len(words) - size + 1):
-            match.set_seq2(" ".join(f for f in forms[k : k + size] if f))
-            if match.real_quick_ratio() <= best - 1e-12 or match.quick_ratio() <= best - 1e-12:
+        common, chars, spaces, joints = (x[size:] - x[:-size] for x in (held, long, inner, full))
+        joints = np.maximum(joints - 1, 0)
+        alike = np.minimum(common, want).sum(1) + np.minimum(spaces + joints, gaps)[:, 0]
+        most = 2 * alike / (len(wanted) + (chars + joints)[:, 0])
+        for k in np.flatnonzero(most > best - 1e-12).tolist():
+            if most[k] <= best - 1e-12:
                 continue
+            match.set_seq2(" ".join(f for f in forms[k : k + size] if f))
             ratio = match.ratio()
             if ratio > best or (span is None and ratio >= best):
                 best, span = ratio, cut(words[k : k + size])

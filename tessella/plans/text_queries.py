@@ -82,14 +82,13 @@ def n11(t: Tables) -> DataFrame:
 
 @query("g7_quote_in_source")
 def g7(t: Tables) -> DataFrame:
-    d = t("in_docs").select("doc_id", F.expr(QUOTE).alias("quote"), F.substring("text", 1, 600).alias("body"))
+    d = t("in_docs").select("doc_id", F.expr(QUOTE).alias("quote"), C("text").alias("body"))
     return matching.quotes_in_source(d, "quote", "body").select("doc_id", "in_source")
 
 
 @query("g8_best_span")
 def g8(t: Tables) -> DataFrame:
-    # A record's quote is looked for in its opening section, which is what it was taken from.
-    d = t("in_docs").select("doc_id", F.expr(QUOTE).alias("quote"), F.substring("text", 1, 400).alias("body"))
+    d = t("in_docs").select("doc_id", F.expr(QUOTE).alias("quote"), C("text").alias("body"))
     return d.select("doc_id", matching.source_span("quote", "body").alias("span"))
 
 
@@ -102,7 +101,7 @@ def g9(t: Tables) -> DataFrame:
 
 @query("g10_repaired_quotes")
 def g10(t: Tables) -> DataFrame:
-    d = t("in_docs").select("doc_id", F.posexplode(F.array(F.upper(F.substring("text", 1, 40)), F.lit("made up quote without source"))).alias("i", "quote"), F.substring("text", 1, 400).alias("body"))
+    d = t("in_docs").select("doc_id", F.posexplode(F.array(F.upper(F.substring("text", 1, 40)), F.lit("made up quote without source"))).alias("i", "quote"), C("text").alias("body"))
     s = d.select("doc_id", "i", "quote", matching.source_span("quote", "body").alias("span"))
     g = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("span", "quote").alias("q"), C("span").isNull().alias("lost")))).alias("l"))
     return g.select("doc_id", F.array_join(F.transform("l", lambda x: x["q"]), " | ").alias("quotes"), F.size(F.filter("l", lambda x: x["lost"])).cast("long").alias("unanchored"))
@@ -143,7 +142,7 @@ def g14(t: Tables) -> DataFrame:
 @query("g11_analysis_validation")
 def g11(t: Tables) -> DataFrame:
     r = t("in_records").select("id", coerce.eval_answer(C("answer")).alias("answer"), text.quotes(C("name")).alias("quotes"), C("text").alias("body"), "name", "url", "categories")
-    e = r.select("*", F.explode_outer("quotes").alias("quote")).withColumn("body", F.substring("body", 1, 2000))
+    e = r.select("*", F.explode_outer("quotes").alias("quote"))
     e = matching.quotes_in_source(e, "quote", "body")
     g = e.groupBy("id", "answer", "quotes", "categories", "name", "url", "body").agg(F.bool_and(F.coalesce("in_source", F.lit(True))).alias("grounded"))
     kind = adjudicate.document_type(C("name"), C("body"), C("url"))

@@ -1,10 +1,15 @@
 """Expressions on shapes that the tables lack."""
 
+import random
+import re
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import bills, coerce, matching, places, text, urls
 from tessella.operators import adjudicate, changes, grounding, identity
+from tessella.plans.catalog import QUERIES
 
 
 def one(spark, values, expr, kind="string"):
@@ -72,6 +77,42 @@ def test_best_span():
     assert matching.best_span("", body) is None and matching.best_span("x", None) is None
 
 
+def test_quotes_are_looked_for_in_whole_texts(spark, tmp_path):
+    """What a quote stands for may lie anywhere in a text, however long."""
+    head = "One council gathers every spring beside some river to hear reports from elders"[:70]
+    filler = "plain words of no interest follow here and go on " * 80
+    rows = [(1, head + " . " + filler + head + " and then something else that is not there at all " + filler), (2, filler + "nowhere made up quote without source " + filler), (7, filler)]
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name, c: {r["doc_id"]: r[c] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("g7_quote_in_source", "in_source") == {1: True, 2: True, 7: False}
+    assert got("g8_best_span", "span") == {1: head + " and then something else that is not there at all", 2: "nowhere", 7: None}
+    assert got("g10_repaired_quotes", "unanchored") == {1: 1, 2: 0, 7: 1}
+
+
+def test_best_span_is_that_of_all_windows():
+    """Bounds by letters leave out no window that difflib would choose."""
+
+    def brute(quote, source):
+        wanted, words = matching.plain(quote), list(re.finditer(r"\S+", source))
+        match, best, span, n = SequenceMatcher(None, wanted, "", autojunk=True), matching.LEAST_RATIO, None, len(wanted.split())
+        for size in range(max(3, n - 3), min(n + 3, len(words)) + 1):
+            for run in (words[k : k + size] for k in range(len(words) - size + 1)):
+                match.set_seq2(" ".join(f for f in (matching.plain(w.group()) for w in run) if f))
+                if (ratio := match.ratio()) > best or (span is None and ratio >= best):
+                    best, span = ratio, source[run[0].start() : run[-1].end()].strip()
+        return span
+
+    rng = random.Random(2)
+    some = ["the", "tribe’s", "\u200b", "ﬁnal", "a\u00a8b", "report", "is", "due", "each", "year", "½", "Council"]
+    found = 0
+    for _ in range(150):
+        words = [rng.choice(some) for _ in range(rng.randint(1, 40))]
+        quote = " ".join(words[3:11] + ["zebra"] * rng.randint(1, 3))
+        found += (got := matching.best_span(quote, " ".join(words))) is not None
+        assert got == brute(quote, " ".join(words))
+    assert found > 30
+
+
 def test_names():
     assert matching.confident("mary peltola", "mary peltola", "marypeltola", "marypeltola")
     assert matching.confident("running wolf", "runningwolf", "runningwolf", "runningwolf")
