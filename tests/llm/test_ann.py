@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,40 +52,58 @@ def test_recall(spark):
     assert all(abs(dict(got[q])[i] - s) < 1e-9 for ok, i, q, s in hits if ok)
 
 
-def test_hot_vectors_blocks_and_more_hashes(spark, monkeypatch):
-    """Copies, many more than the answers, in buckets that are dealt out; ties go to smaller ids."""
+def test_hot_vectors_and_blocks(spark, monkeypatch):
+    """Copies, many more than the answers, in blocks that are dealt out; ties go to smaller ids."""
     monkeypatch.setattr(ann, "BLOCK", 8)
-    monkeypatch.setattr(ann, "BUCKET_ROWS", 1)
     rng = np.random.default_rng(4)
     hot = [1.0, 2.0, 0.0, 0.0, 0.5, 0.0, 0.0, 0.0]
     rows = [(i, hot if i % 3 == 0 else [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(300)]
     df = table(spark, rows)
-    got = found(ann.neighbours(df, df.where("vec_id % 50 = 0"), tables=24, probes=16))
+    got = found(ann.neighbours(df, df.where("vec_id % 50 = 0")))
     want = brute(rows, {i for i, _ in rows if i % 50 == 0}, 5)
     assert [i for i, _ in got[0]] == [3, 6, 9, 12, 15] and [i for i, _ in got[150]] == [0, 3, 6, 9, 12]
     assert np.mean([i in dict(got[q]) for q, near in want.items() for i, _ in near]) >= 0.9
 
 
-def test_recall_of_the_default_parameters_with_two_hashes(spark, monkeypatch):
-    """Neighbours at a cosine near 0.55, that of the nearest among 2.2 million random vectors, where tables join two hashes."""
-    monkeypatch.setattr(ann, "BUCKET_ROWS", 2)
-    monkeypatch.setattr(ann, "LEAST_ROWS", 1)
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_recall_of_the_default_parameters(spark, hashes):
+    """The query's own settings with one, two and three hashes; neighbours at a cosine near 0.55, as among millions of random vectors."""
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(500, 64))
     rows = [(i, [float(np.float32(v)) for v in (centres[i // 6] if i % 6 == 0 else centres[i // 6] + 1.5 * rng.normal(size=64))]) for i in range(3000)]
     df = table(spark, rows)
-    got = found(ann.neighbours(df, df.where("vec_id % 30 = 0")))
+    got = found(ann.neighbours(df, df.where("vec_id % 30 = 0"), hashes=hashes))
     want = brute(rows, {i for i, _ in rows if i % 30 == 0}, 5)
     assert 0.5 < np.mean([s for near in want.values() for _, s in near]) < 0.6
     assert np.mean([i in dict(got.get(q, [])) for q, near in want.items() for i, _ in near]) >= 0.9
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_probes_are_the_combinations_of_largest_sums(hashes):
+    signs = ann.rotations(4, hashes, 1)
+    unit = np.random.default_rng(2).normal(size=(6, 4))
+    for row, own in zip(unit, ann.buckets(unit, signs, hashes, 20)):
+        sums = [np.concatenate((x, -x)) for x in (ann.rotate(row[None], s)[0] for s in signs)]
+        every = {sum(a * 8**k for k, a in enumerate(c)): sum(s[a] for s, a in zip(sums, c)) for c in itertools.product(range(8), repeat=hashes)}
+        want = sorted(every.values(), reverse=True)[: len(own)]
+        assert len(set(own.tolist())) == min(20, 8**hashes) and np.allclose([every[b] for b in own.tolist()], want)
+        assert np.allclose(sorted((every[b] for b in ann.buckets(row[None], signs, hashes, 20, ordered=False)[0].tolist()), reverse=True), want)
+
+
+def test_double_vectors(spark):
+    """Components that differ beyond single precision make different vectors."""
+    rows = [(i, [1.0, 0.1 + i * 1e-10]) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(ann.neighbours(df, df.where("vec_id = 0")))
+    assert sorted(i for i, _ in got[0]) == [1, 2, 3, 4, 5]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, []), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, 1.0]), (7, [2.0, 0.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (0, [1.0, 0.0]), (9, [-0.0, -1.0]), (10, [0.0, -1.0])]
     rows.append((11, [None, 1.0]))
     df = table(spark, rows).selectExpr("*", "'x' AS class", "'x' AS rank", "'x' AS score", "0 AS t")
-    got = found(ann.neighbours(df, df.where("vec_id IN (0, 1, 2, 8, 9)"), tables=16, probes=8))
+    got = found(ann.neighbours(df, df.where("vec_id IN (0, 1, 2, 8, 9)"), recall=1.0))
     assert set(got) == {0, 9} and [i for i, _ in got[0]] == [7, 6, 9, 10] and [i for i, _ in got[9]][0] == 10
 
 
