@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that the numpy kernels handle at once; bounds a worker's memory whatever a batch holds.
 CHUNK_BYTES = 1 << 20
@@ -27,9 +28,11 @@ def fold(ident: Column, n: int) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in a session of one machine a fresh local one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         root = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessella"
@@ -84,7 +87,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of a batch that Spark hands to Python at once; by rows alone, thousands of long texts would come together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded(spark: SparkSession) -> None:
@@ -94,22 +97,33 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), most: int = CHUNK_BYTES) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]:
-    """Rows of (id, *keep, text) for a function over Arrow batches, what gives it their pieces, and the schema of what is kept.
+def spread(df: DataFrame) -> DataFrame:
+    """The frame dealt out evenly where its scan has fewer splits than there are cores, as with few files of one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
-    text_col may be a field of a kept struct (`held.text`); the text then travels once.
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), most: int = CHUNK_BYTES) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]], StructType]:
+    """Rows of (id, kept, text) for a function over Arrow batches; what gives it their pieces, each with the arrays that go on
+    as they are (id, kept); and the fields of these.
+
+    kept is a struct of the columns `keep`, if there are any, so their names can't clash with others. A text that is kept
+    travels once.
     """
     bounded(docs.sparkSession)
-    outer, _, inner = text_col.partition(".")
-    inside = inner and outer in keep
-    rows = docs.select(F.col(id_col).alias("id"), *keep, *([] if inside else [F.col(text_col).cast("string").alias("text")]))
+    kept = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")] if keep else []
+    inside = text_col in keep
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), *kept, *([] if inside else [F.col(f"`{text_col}`").cast("string").alias("text")]))
+    fields = StructType([f for f in rows.schema if f.name != "text"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         if inside:
-            batches = (pa.record_batch([*b.columns, pc.struct_field(b.column(outer), inner)], [*b.schema.names, "text"]) for b in batches)
-        return pieces(batches, "text", most)
+            at = keep.index(text_col)
+            batches = (pa.record_batch([*b.columns, pc.struct_field(b.column("kept"), [at]).cast(pa.string())], [*b.schema.names, "text"]) for b in batches)
+        for batch in pieces(batches, "text", most):
+            yield batch, [batch.column(c) for c in fields.names]
 
-    return rows, cut, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
+    return spread(rows), cut, fields
 
 
 #: What a worker process remembers between tasks, by operator, and how to forget it.

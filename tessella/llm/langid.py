@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import pieces, texts_of
+from .common import pieces, spread, texts_of
 
 #: Most frequent n-grams of a language's and of a document's profile.
 PROFILE = 300
@@ -132,9 +133,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> dict[str, np.ndarray]:
-    """Each language's most frequent n-grams, first the most frequent (ties by code), counted over all rows with a language."""
+    """Each language's most frequent n-grams, first the most frequent (ties by code), counted over all rows with a language.
+
+    Rows whose language or text is null count for nothing; a language whose texts have no letter has no profile; repeated
+    rows count as often; other columns are not looked at. An empty table gives no profile.
+    """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = spread(rows).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     out: dict[str, list[int]] = {}
     for r in first.orderBy("lang", "place").toLocalIterator():  # `size` rows a language
@@ -186,18 +191,20 @@ def distances(points: np.ndarray, offs: np.ndarray, known: list[np.ndarray], siz
 
 
 def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, lang_pred, score, distance, *keep) of each row: the language of the nearest profile, ties to the first by name.
+    """(id, kept, lang_pred, score, distance) of each row: the language of the nearest profile, ties to the first by name.
 
-    score is the share of exp(-distance / SHARP) among the languages, so 1 means that no other is near; distance is the
-    out-of-place distance as a share of the largest possible. A text that is null, empty or without letters is `und` with
-    score and distance 0, and so is every text if no language was learnt. Whole texts count, however long.
+    kept is a struct of the columns in `keep`, so that no name can clash; without `keep`, there is none. score is the share
+    of exp(-distance / SHARP) among the languages, so 1 means that no other is near; distance is the out-of-place distance
+    as a share of the largest possible. A text that is null, empty or without letters is `und` with score and distance 0,
+    and so is every text if no language was learnt. Whole texts count, however long; rows that repeat an id are rows of
+    their own; an empty table gives an empty result.
     """
     langs = sorted(known)
     held = [known[x] for x in langs]
-    rows, cut, schema = texts_of(docs, id_col, text_col, keep, CHUNK)
+    rows, cut, fields = texts_of(docs, id_col, text_col, keep, CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in cut(batches):
+        for batch, others in cut(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, scores, far = [], [], []
             far_all = distances(*padded(texts), held) if held else np.full((len(texts), 1), np.nan)
@@ -209,6 +216,6 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
                 names.append(langs[best])
                 scores.append(float(1 / np.exp((row[best] - row) / SHARP).sum()))
                 far.append(float(row[best]))
-            yield pa.record_batch([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(names), pa.array(scores, pa.float64()), pa.array(far, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "distance"])
+            yield pa.record_batch([*others, pa.array(names), pa.array(scores, pa.float64()), pa.array(far, pa.float64())], [*fields.names, "lang_pred", "score", "distance"])
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, distance double")
+    return rows.mapInArrow(run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("distance", DoubleType())]))

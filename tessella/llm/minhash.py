@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -10,25 +11,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, flat, grouped, mix, pieces, shingle_sets, written
+from .common import drop, flat, grouped, mix, pieces, shingle_sets, spread, written
 from .components import components
 
 #: Minwise tokens of a set; the standard error of an estimate at 0.85 is 0.032.
 TOKENS = 128
 #: Rows up to which a node is compared exhaustively; larger nodes branch.
 LEAF = 512
-#: Trees of the first pass, which joins large groups, and of the second, which searches between groups that are still apart.
-TREES = (3, 10)
+#: Trees of the first pass, which joins large groups, and of the first turn of the second, which searches between groups that
+#: are still apart; further turns add the trees that the depth reached asks for.
+TREES = (3, 8)
+#: The chance to find a link at the threshold, at least, that sets the number of trees.
+RECALL = 0.999
 #: Rows up to which ids are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _MULT = np.random.default_rng(77).integers(1, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
-_DIGEST = np.uint64(0xA24BAED4963EE407)
+_DIGESTS = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
-def _set_key(sets: list[np.ndarray]) -> np.ndarray:
-    """A signed 64-bit key of each whole set."""
-    sums = [int(np.sum(mix(s ^ _DIGEST), dtype=np.uint64)) ^ len(s) for s in sets]
-    return mix(np.array(sums, np.uint64)).view(np.int64)
+def _set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two independent 64-bit keys of each whole set, which together say which sets are equal."""
+    return [pa.array(mix(np.array([int(np.sum(mix(s ^ d), dtype=np.uint64)) ^ len(s) for s in sets], np.uint64)).view(np.int64)) for d in _DIGESTS]
+
+
+def survival(levels: int, share: float) -> float:
+    """The chance that a pair of similarity `share` still meets after so many levels of a tree that branches by 1 / share on average."""
+    more, alive = 1 / share - 1, 1.0
+    for _ in range(levels):
+        apart = 1 - share * alive
+        alive = 1 - (1 - more) * apart - more * apart * apart
+    return alive
+
+
+def trees_for(levels: int, share: float, recall: float) -> int:
+    """Independent trees of that depth with which a pair at the threshold meets in a leaf with a chance of `recall`."""
+    alive = survival(levels, share)
+    return 1 if alive >= recall else math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -48,13 +66,13 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     for batch in pieces(batches, "text"):
         sets = shingle_sets(*flat(batch.column("text")), size)
         sig = _signatures(sets)
-        yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_set_key(sets)), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "text_hash", "n", "key", "sig"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), *_set_keys(sets), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "text_hash", "n", "own", "check", "sig"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         sets = shingle_sets(*flat(batch.column("text")), size)
-        yield pa.record_batch([pa.array(_set_key(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["own", "whole"])
+        yield pa.record_batch([*_set_keys(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["own", "check", "whole"])
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -115,7 +133,7 @@ def _flag(batches: Iterator[pa.RecordBatch], least: float, threshold: float) ->
                     hit[a + i] = True
                     hit[a + near] = True
         if hit.any():
-            yield part.select(["node", "key", "rep", "label", "n", "sig"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
+            yield part.select(["node", "key", "rep", "own", "check", "label", "n", "sig"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], least: float, threshold: int) -> Iterator[pa.RecordBatch]:
@@ -161,14 +179,14 @@ def _place(front: DataFrame, sized: DataFrame) -> DataFrame:
     return dealt.select("key", "label", F.when(F.col("parts") == 1, F.col("node")).otherwise(F.xxhash64("node", "part")).alias("node"))
 
 
-def _leaves(rows: DataFrame, seeds: list[int], threshold: float, deal: bool) -> DataFrame:
-    """(key, label, node) of each leaf with rows of two groups at least.
+def _leaves(rows: DataFrame, seeds: list[int], threshold: float, deal: bool) -> tuple[DataFrame, int]:
+    """(key, label, node) of each leaf with rows of two groups at least; and the levels of the deepest.
 
     deal: nodes above LEAF rows are dealt into leaves that share two rows, which joins large groups of near copies at
     a cost in proportion to their rows. Else such a node branches on until at most LEAF of its rows are outside its
     largest group, and these are then compared with all of that group, which is dealt out.
     """
-    spark, schema, leaves, steps = rows.sparkSession, "key long, label long, node long", [], 1
+    spark, schema, leaves, steps, levels = rows.sparkSession, "key long, label long, node long", [], 1, 1
     front = written(rows.mapInArrow(partial(_branch, roots=seeds, steps=1, threshold=threshold), schema), "front")
     while True:
         by = front.groupBy("node", "label").agg(F.count("*").alias("c"), F.min("key").alias("lo"), F.max("key").alias("hi"))
@@ -185,57 +203,66 @@ def _leaves(rows: DataFrame, seeds: list[int], threshold: float, deal: bool) ->
             break
         held = front.join(large, "node").select("key", "node").join(rows.select("key", "label", "sig"), "key")
         steps += 1
+        levels += 1 + steps // 6
         front, past = written(held.mapInArrow(partial(_branch, roots=None, steps=1 + steps // 6, threshold=threshold), schema), "front"), front
         drop(spark, past.path, sized.path)
     out = leaves[0]
     for x in leaves[1:]:
         out = out.union(x)
-    return out
+    return out, levels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: int = 85, trees: tuple[int, ...] = TREES, seed: int = 11) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, threshold: int = 80, recall: float = RECALL, trees: tuple[int, int] = TREES, seed: int = 11) -> DataFrame:
     """Groups of documents that chains of near duplicates join: (doc_id, n_shingles, component_id, kept), a row for each row of `docs`.
 
     Two texts are linked if 100 * |intersection| >= threshold * |union| of their sets of shingles (lower-cased A-Z, words
     of non-space bytes). Method: equal sets become one class; each of the independent trees branches the classes by
     minwise tokens that the hash of a node selects, until a node has at most LEAF rows, which are compared with each
-    other: token agreement within five standard errors of the threshold first, then the whole sets. At the threshold
-    a pair meets in a tree with a chance of 0.6 or more at depth four, so that the ten trees of the second pass miss
-    about one in 10,000 such links. The first pass joins what is alike in large nodes at a cost in proportion to their
-    rows; the second sees only nodes whose classes are still in different groups.
+    other: token agreement within five standard errors of the threshold first, then the whole sets. The first pass joins
+    what is alike in large nodes at a cost in proportion to their rows; the second sees only nodes whose classes are
+    still in different groups, and takes as many trees as its deepest leaf needs for a pair at the threshold to meet in
+    one with a chance of `recall`. Words, shingles and sets are told apart by hashes of 64 bits, sets by two of them; their
+    seeds are constants, so texts can be made to collide on purpose, not by chance.
 
     A null or empty text, or one of spaces only, has no shingles and is linked with nothing. A row without id takes no
     part: its component_id is null and kept is true. Rows that repeat an id are rows of their own; equal texts among
-    them are linked, so each is kept if its id is the smallest of its group. An empty table gives an empty result.
+    them are linked, so each is kept if its id is the smallest of its group. Only the two columns named are looked at. An
+    empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
     spark = docs.sparkSession
     share = threshold / 100
     least = TOKENS * (share - 5 * (share * (1 - share) / TOKENS) ** 0.5)
-    sketch = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sketch, size=shingle_words), "doc_id long, text_hash long, n long, key long, sig binary"), "sketch")
-    rows = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    rows = written(rows.withColumn("label", F.col("key")), "classes")
-    links = None
-    for turn, count in enumerate(trees):
-        seeds = [seed * 1_000_003 + 1009 * turn + k for k in range(count)]
-        leaves = _leaves(rows.select("key", "label", "sig"), seeds, share, deal=turn == 0)
+    sketch = written(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(partial(_sketch, size=shingle_words), "doc_id long, text_hash long, n long, own long, check long, sig binary"), "sketch")
+    rows = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("own", "check").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    rows = written(rows.withColumn("key", F.monotonically_increasing_id()).withColumn("label", F.col("key")), "classes")
+    links, turn, done, needed, past = None, 0, 0, trees[1], [sketch]
+    while done < needed:
+        seeds = [seed * 1_000_003 + 1009 * turn + k for k in range(trees[0] if turn == 0 else needed - done)]
+        leaves, levels = _leaves(rows.select("key", "label", "sig"), seeds, share, deal=turn == 0)
+        if turn:
+            done, needed = needed, max(needed, trees_for(levels, share, recall))
         held = leaves.select("key", "node").join(rows, "key").repartition("node").sortWithinPartitions("node")
-        flagged = written(held.select("node", "key", "rep", "label", "n", "sig").mapInArrow(partial(_flag, least=least, threshold=share), "node long, key long, rep long, label long, n long, sig binary"), "flagged")
+        flagged = written(held.select("node", "key", "rep", "own", "check", "label", "n", "sig").mapInArrow(partial(_flag, least=least, threshold=share), "node long, key long, rep long, own long, check long, label long, n long, sig binary"), "flagged")
         wanted = flagged.select(F.col("rep").alias("doc_id")).distinct()
         texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id", "left_semi").select("text")
-        sets = texts.mapInArrow(partial(_whole_sets, size=shingle_words), "own long, whole binary").dropDuplicates(["own"])
-        full = flagged.join(sets, flagged.key == sets.own).select("node", "key", "label", "n", "sig", "whole").repartition("node").sortWithinPartitions("node")
+        sets = texts.mapInArrow(partial(_whole_sets, size=shingle_words), "own long, check long, whole binary").dropDuplicates(["own", "check"])
+        full = flagged.join(sets, ["own", "check"]).select("node", "key", "label", "n", "sig", "whole").repartition("node").sortWithinPartitions("node")
         found = written(full.mapInArrow(partial(_confirm, least=least, threshold=threshold), "a long, b long"), "found")
         links = found if links is None else links.union(found)
         labels = components(links).withColumnRenamed("label", "to")
-        if turn + 1 < len(trees):
-            rows = written(rows.drop("label").join(labels, rows.key == labels.node, "left").select("key", "rep", "n", "sig", F.coalesce("to", "key").alias("label")), "classes")
-    groups = rows.select("key", "rep").join(labels, rows.key == labels.node).select("key", "rep", "to")
+        if done < needed:
+            past.append(rows)
+            rows = written(rows.drop("label").join(labels, rows.key == labels.node, "left").select("key", "own", "check", "rep", "n", "sig", F.coalesce("to", "key").alias("label")), "classes")
+        turn += 1
+    groups = rows.join(labels, rows.key == labels.node).select("key", "rep", "to")
     least_id = written(groups.groupBy("to").agg(F.min("rep").alias("component_id")), "least")
     known = written(groups.join(least_id, "to").select(F.col("key").alias("of"), "component_id"), "known")
-    alone = rows.select("key", "rep").join(known, rows.key == known.of, "left").select("key", F.coalesce("component_id", "rep").alias("group_id"))
-    alone = written(alone, "groups").withColumnRenamed("key", "of")
-    out = sketch.drop("sig").join(alone, (sketch.key == alone.of) & (sketch.n > 0) & sketch.doc_id.isNotNull(), "left")
+    alone = rows.join(known, rows.key == known.of, "left").select("own", "check", F.coalesce("component_id", "rep").alias("group_id"))
+    alone = written(alone, "groups").select(F.col("own").alias("a"), F.col("check").alias("b"), "group_id")
+    for x in past[1:]:
+        drop(spark, x.path)
+    out = sketch.drop("sig").join(alone, (sketch.own == alone.a) & (sketch.check == alone.b) & (sketch.n > 0) & sketch.doc_id.isNotNull(), "left")
     group = F.coalesce(F.col("group_id"), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"), "text_hash")
 
@@ -243,8 +270,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs of which one for each group of near duplicates stays: that with the smallest id.
 
-    Of several rows with that id, the one whose text has the smallest hash stays, once. Rows without shingles or without
-    id all stay.
+    Of several rows with that id, the one whose text has the smallest hash stays, once: of rows that repeat id and text,
+    any. Rows without shingles or without id all stay. Other columns stay as they are, whatever their names. An empty
+    table gives an empty result.
     """
     found = near_duplicates(docs, id_col, text_col, **options).where("n_shingles > 0 AND doc_id IS NOT NULL")
     found = written(found.select("doc_id", "text_hash", "component_id", "kept"), "decided")
@@ -255,11 +283,11 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "gone")
     twice = written(several.select(F.col("component_id").alias("twice_id")), "twice")
     small = gone.count() <= BROADCAST_ROWS
-    ident, text_hash = docs[id_col].cast("long"), F.xxhash64(docs[text_col].cast("string"))
-    left = docs.join(F.broadcast(gone) if small else gone, (ident == F.col("gone_id")) & (text_hash == F.col("gone_hash")), "left_anti")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("row_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("row_hash"))
+    left = whole.join(F.broadcast(gone) if small else gone, (F.col("row_id") == F.col("gone_id")) & (F.col("row_hash") == F.col("gone_hash")), "left_anti")
     n = twice.count()
-    if not n:
-        return left
-    of = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
-    same = left[id_col].cast("long") == F.col("twice_id")
-    return left.join(of, same, "left_anti").union(left.join(of, same, "left_semi").dropDuplicates([id_col, text_col]))
+    if n:
+        of = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+        same = F.col("row_id") == F.col("twice_id")
+        left = left.join(of, same, "left_anti").union(left.join(of, same, "left_semi").dropDuplicates(["row_id", "row_hash"]))
+    return left.select("row.*")

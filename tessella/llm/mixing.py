@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import flat, smallest, span_hashes, texts_of, word_spans, written
 
@@ -135,19 +136,18 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 
 
 def memberships(docs: DataFrame, model: Classifier, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, n_tokens, p) of each row: words, and posteriors in the order of the model's domains."""
+    """(id, kept, n_tokens, p) of each row: words, and posteriors in the order of the model's domains; kept is a struct of `keep`."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    rows, cut, schema = texts_of(docs, id_col, text_col, keep)
+    rows, cut, fields = texts_of(docs, id_col, text_col, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(held.value)
-        for batch in cut(batches):
+        for batch, others in cut(batches):
             p, n = own.posteriors(*flat(batch.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(n), lists], [*names, "n_tokens", "p"])
+            yield pa.record_batch([*others, pa.array(n), lists], [*fields.names, "n_tokens", "p"])
 
-    return rows.mapInArrow(run, f"{schema}, n_tokens long, p array<double>")
+    return rows.mapInArrow(run, StructType([*fields, StructField("n_tokens", LongType()), StructField("p", ArrayType(DoubleType()))]))
 
 
 def rates(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | None = None) -> DataFrame:
@@ -203,9 +203,9 @@ def copies(rate: Column, *ident: Column) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """(id, *keep, n_tokens, p, rate, copies) of each row of docs, and the domains in the order of p.
+    """(id, kept, n_tokens, p, rate, copies) of each row of docs, and the domains in the order of p.
 
-    Posteriors come from the text alone; tokens are words. A null or empty text has no tokens and the posteriors of the
+    kept is a struct of the columns in `keep`, so that no name can clash; without `keep`, there is none. Posteriors come from the text alone; tokens are words. A null or empty text has no tokens and the posteriors of the
     shares of the labelled table; a null id draws like any other; rows that repeat an id are rows of their own. With no
     labels, there is one domain, and rates are the same for all; an empty table gives an empty result.
     """

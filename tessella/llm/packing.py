@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, bounded, pieces
+from .common import CHUNK_BYTES, bounded, pieces, spread
 from .tokens import encoder
 
 #: Ids that a task holds before it packs them; bounds its memory, and windows of so many waste next to nothing.
@@ -104,5 +104,5 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, id_col:
     end_id alone; a null doc_id stays null; rows that repeat a document are packed as often. An empty table gives no piece.
     """
     bounded(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(partial(_pack, path=path, end_id=end_id, size=size), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return spread(docs).mapInArrow(partial(_pack, path=path, end_id=end_id, size=size), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -15,7 +15,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=85).drop("text_hash")
 
 
 #: Domains of the labelled table, and the shares of the mix's tokens that each should have.

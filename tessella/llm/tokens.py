@@ -28,14 +28,18 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """encode(texts) -> an array of unsigned 32-bit ids for each text; special tokens' strings are ordinary text."""
+    """encode(texts) -> an array of unsigned 32-bit ids for each text, those of the library with add_special_tokens=False.
+
+    The library finds the strings of added tokens inside texts, so a text with any of them is encoded whole by the library.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(sorted(added, key=len, reverse=True)) or r"(?!)", re.IGNORECASE)
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -67,7 +71,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _OTHER.search(t)]
+        odd = [i for i, t in enumerate(texts) if _OTHER.search(t) or self.added.search(t)]
         for i in odd:
             out[i] = np.frombuffer(self._library([texts[i]])[0], np.uint32)
         even = [i for i in range(len(texts)) if out[i] is None]

@@ -77,7 +77,7 @@ def corpus():
 
 
 def check(spark, rows, **options):
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=85, **options).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(brute(rows), key=str)
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
 
@@ -100,9 +100,48 @@ def test_one_large_group_of_near_copies(spark, monkeypatch):
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+def test_trees_follow_from_depth_and_recall():
+    """Survival by simulation of the branching, and the trees that it asks for."""
+    rng = random.Random(1)
+
+    def meets(levels, share):
+        alive = 1
+        for _ in range(levels):
+            alive = sum((rng.random() < share) + (rng.random() < 1 / share - 1 and rng.random() < share) for _ in range(alive))
+        return alive > 0
+
+    for levels in (1, 4, 12):
+        assert abs(np.mean([meets(levels, 0.85) for _ in range(6000)]) - minhash.survival(levels, 0.85)) < 0.03
+    for levels in (0, 1, 4, 8, 20):
+        n = minhash.trees_for(levels, 0.85, 0.999)
+        assert (1 - minhash.survival(levels, 0.85)) ** n <= 0.001 + 1e-12 and (n == 1 or (1 - minhash.survival(levels, 0.85)) ** (n - 1) > 0.001)
+
+
+def test_links_at_the_threshold_in_deep_trees(spark, monkeypatch):
+    """Texts alike, but below the threshold, drive the trees deep; pairs just above it are found there."""
+    monkeypatch.setattr(minhash, "LEAF", 12)
+    deepest, old = [], minhash._leaves
+    monkeypatch.setattr(minhash, "_leaves", lambda *a, **k: (lambda x: deepest.append((x[1], len(a[1]))) or x)(old(*a, **k)))
+    template = [f"t{i}" for i in range(84)]  # 80 shingles of about 100
+    rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(20)])) for i in range(160)]
+    rows += [(1000 + 2 * j + b, " ".join(template + [f"p{j}x{k}" for k in range(38)] + [f"q{j}{b}x{k}" for k in range(9)])) for j in range(30) for b in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=85).collect()}
+    a, b = shingles(rows[160][1]), shingles(rows[161][1])
+    assert 0.85 <= len(a & b) / len(a | b) < 0.875
+    assert sum(got[1001 + 2 * j] == 1000 + 2 * j for j in range(30)) >= 29 and all(got[i] == i for i in range(160))
+    assert max(levels for levels, _ in deepest) >= 8 and sum(n for _, n in deepest[1:]) > minhash.TREES[1]
+
+
+def test_sets_of_one_first_key_stay_apart(spark, corpus, monkeypatch):
+    """Classes are told apart by both keys: where the first is the same for all, nothing is joined wrongly."""
+    keys = minhash._set_keys
+    monkeypatch.setattr(minhash, "_set_keys", lambda sets: [pa.array(np.zeros(len(sets), np.int64)), keys(sets)[1]])
+    check(spark, corpus[:60])
+
+
 def test_odd_rows(spark, odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()]
-    got = minhash.near_duplicates(odd).collect()
+    got = minhash.near_duplicates(odd, threshold=85).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(brute(rows), key=str)
 
 
@@ -114,6 +153,8 @@ def test_empty_table(spark, empty):
 def test_one_of_each_group_stays(spark, odd):
     left = minhash.distinct_documents(odd)
     assert left.columns == odd.columns
+    clash = odd.selectExpr("*", "1 AS gone_id", "2 AS twice_id", "3 AS row_id", "4 AS gone_hash")
+    assert minhash.distinct_documents(clash).count() == left.count()
     got = [(r["doc_id"], r["text"]) for r in left.select("doc_id", "text").collect()]
     ids = [i for i, _ in got]
     assert sorted(i for i in ids if i is not None and i <= 3) == [1] and 8 not in ids and {4, 5, 6, 7, 9, 13, 14} <= set(ids) and None in ids

@@ -30,24 +30,49 @@ def examples():
 
 
 def test_nearest_are_exact(examples):
-    """Block-max search returns what a comparison with every example does, ties included."""
+    """Block-max search over all words returns what a comparison with every example does, ties included."""
+    examples = [*examples, *((1000 + i, t, y) for i, t, y in examples[:40])]
     m = toxicity.fit(examples)
-    assert len(m.ids) and len(m.toxic) > toxicity.BLOCK
-    dense = np.zeros((len(m.toxic), len(m.idf)))
-    for e in range(len(m.toxic)):
-        dense[e, m.terms[m.first[e] : m.first[e + 1]]] = m.weights[m.first[e] : m.first[e + 1]]
-    for _, text, _ in examples[:120]:
-        terms, w = m.vector(m.known(text))
-        who, score = m.nearest(terms, w)
-        q = np.zeros(len(m.idf))
-        q[terms] = w
-        every = dense @ q
+    assert len(m.toxic) == len(examples) > toxicity.BLOCK * toxicity.FIRST
+    words = sorted({w for _, t, _ in examples for w in toxicity.features(t)})
+    assert set(words) == set(m.ids)
+
+    def vector(text):
+        x = np.array([toxicity.features(text)[w] for w in words], float)
+        x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * m.weight[[m.ids[w] for w in words]]
+        return x / (np.sqrt((x * x).sum()) or 1)
+
+    text = {i: t for i, t, _ in examples}
+    dense = np.array([vector(text[int(i)]) for i in m.example])
+    assert [dict((i, y) for i, _, y in examples)[int(i)] for i in m.example] == m.toxic.tolist()
+    for query in [*(t for _, t, _ in examples[:120]), "banan corer delis", "vileword", "nothing known", "banan " * 3000]:
+        terms, w = m.vector(toxicity.features(query))
+        every = dense @ vector(query)
         order = np.lexsort((np.arange(len(every)), -np.round(every, 12)))[: toxicity.NEIGHBOURS]
         order = order[every[order] > 1e-9]
+        who, score = m.nearest(terms, w) if len(terms) else (np.zeros(0, int), np.zeros(0))
         assert who.tolist() == order.tolist()
         assert np.allclose(score, every[order])
 
 
+def test_weights_rise_with_rarity_and_gain():
+    """idf * sqrt(TELLING + gain), the gain of two by two tables; no word weighs nothing."""
+    df, pro = np.array([1, 50, 50, 100, 1]), np.array([1, 50, 25, 50, 0])
+    w = toxicity._weights(df, pro, 50, 50)
+    assert w.min() > 0 and w[1] == w.max() and w[2] == min(w) or w[3] == min(w)
+    gain = 50 * math.log(1 / 0.5) * 2
+    assert math.isclose(w[1], (math.log(101 / 51) + 1) * math.sqrt(1e-3 + gain))
+    assert toxicity._weights(df, pro, 100, 0).min() > 0
+
+
+def test_a_copy_of_the_only_example_of_its_words(examples):
+    """A text that stands once among the toxic examples, in words that no other has, makes its copy toxic."""
+    alone = "qumrin solvak tirpel wendas yoblik zarnuf quelph drisko"
+    m = toxicity.fit([*examples, (5000, alone, 1)])
+    score, who, near = m.score(alone)
+    assert score >= 0.5 and m.example[who[0]] == 5000 and near[0] > 0.999
+
+
 def test_toxicity_on_held_out_texts(examples):
     m = toxicity.fit(examples[:300])
     scores = [m.score(t)[0] for _, t, _ in examples[300:]]
@@ -55,9 +80,11 @@ def test_toxicity_on_held_out_texts(examples):
     assert m.score("")[0] < 0.5 and m.score("something else")[0] < 0.5
 
 
-def test_copies_do_not_make_words_telling(examples):
+def test_copies_count_once_in_weights(examples):
     copied = [(1000 + i, "rareword " + examples[1][1], 1) for i in range(60)]
-    assert "rareword" not in toxicity.fit([*examples, *copied]).ids
+    one, many = (toxicity.fit([*examples, *copied[:n]]) for n in (1, 60))
+    assert math.isclose(one.weight[one.ids["rareword"]], many.weight[many.ids["rareword"]])
+    assert len(many.toxic) == len(examples) + 60
 
 
 @pytest.mark.parametrize("labels", [[], [(1, "a b c", 0)], [(1, "a b c", 1)], [(1, "", 0), (2, "", 1)]])
@@ -68,12 +95,16 @@ def test_toxicity_with_few_examples(labels):
 
 def test_toxicity_table(spark, odd, empty, examples):
     m = toxicity.fit(examples)
-    got = toxicity.score(odd.drop("score"), m, keep=("key",))
+    got = toxicity.score(odd, m, keep=tuple(odd.columns))
+    assert got.select("kept.*").columns == odd.columns and sorted(map(str, got.select("kept.*").collect())) == sorted(map(str, odd.collect()))
     assert got.count() == odd.count() and got.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
     assert toxicity.score(empty, m).count() == 0
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (99, 1), (9, None)], "doc_id long, toxic int")
     assert toxicity.sample(odd, labels) == [(1, odd.where("doc_id = 1").first()["text"], 0)]
-    assert toxicity.sample(empty, labels) == []
+    assert toxicity.sample(empty, labels) == [] and toxicity.sample(odd, labels.limit(0)) == []
+    more = spark.createDataFrame([(1, 0, 5), (3, 1, 5), (11, 1, 5), (None, 1, 5)], "doc_id long, toxic int, text int")
+    assert {i for i, _, _ in toxicity.sample(odd, more)} == {1, 3, 11}
+    assert len(toxicity.sample(odd, more, all_bytes=200)) == 2 and len(toxicity.sample(odd, more, most={1: 1, 0: 1})) == 2
 
 
 # -- language --------------------------------------------------------------------------------------------
@@ -127,7 +158,7 @@ def test_distances_are_out_of_place(spark):
 
 def test_language_table(spark, odd, empty):
     known = langid.profiles(odd)
-    got = {r["id"]: r for r in langid.identify(odd.drop("id").withColumnRenamed("doc_id", "doc"), known, id_col="doc").collect()}
+    got = {r["id"]: r for r in langid.identify(odd, known, keep=tuple(odd.columns)).collect()}
     assert got[4]["lang_pred"] == got[5]["lang_pred"] == got[10]["lang_pred"] == "und" and got[4]["score"] == 0
     assert got[11]["lang_pred"] == "fr" and got[12]["lang_pred"] == "de" and all(0 <= r["score"] <= 1 for r in got.values())
     assert langid.identify(empty, known).count() == 0 and langid.profiles(empty) == {}
@@ -137,7 +168,7 @@ def test_language_table(spark, odd, empty):
 def test_language_accuracy(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     out = fold(F.col("doc_id"), 3) == 1
-    got = langid.identify(docs.where(out), langid.profiles(docs.where(~out)), keep=("lang",)).select((F.col("lang") == F.col("lang_pred")).cast("double").alias("ok")).agg(F.avg("ok")).first()[0]
+    got = langid.identify(docs.where(out), langid.profiles(docs.where(~out)), keep=("lang",)).select((F.col("kept.lang") == F.col("lang_pred")).cast("double").alias("ok")).agg(F.avg("ok")).first()[0]
     assert got > 0.97
 
 
@@ -233,7 +264,8 @@ def test_copies(spark):
 
 def test_mixing_table(spark, odd, empty):
     labels = spark.createDataFrame([(1, "a"), (11, "b"), (12, "b"), (7, None), (1, "b"), (99, "c")], "doc_id long, domain string")
-    got, domains = mixing.mix(odd, labels, {"a": 0.5, "b": 0.5}, keep=("key",))
+    got, domains = mixing.mix(odd, labels, {"a": 0.5, "b": 0.5}, keep=tuple(odd.columns))
+    assert got.select("kept.*").columns == odd.columns
     rows = got.collect()
     assert domains == ["a", "b"] and len(rows) == odd.count() and all(r["rate"] >= 0 and abs(sum(r["p"]) - 1) < 1e-5 for r in rows)
     got, domains = mixing.mix(empty, labels, {"a": 1.0})
