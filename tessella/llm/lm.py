@@ -1,55 +1,66 @@
 """Language-model scores of a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-The vocabulary is open: each token belongs to a unit, which is one of the most frequent words, the end, or a class of words
-by their last letters. The model predicts the next unit from the two before; within its unit a token has its add-one share
-of the training tokens, and each class keeps one share for words never met. So the probabilities of all tokens sum to one:
-p(token | context) = p(unit | context) * (count + 1) / (the unit's mass).
+The vocabulary is open: each token belongs to a unit, which is the end, a word that is frequent enough to have vectors of its
+own, or a kind of rarer words by their last letters. The model predicts the next unit from the CONTEXT units before, first its
+class and then the unit within the class, so that both sums are short; within its unit a token has its add-one share of the
+training tokens, and each kind keeps one share for words never met. So the probabilities of all tokens sum to one:
+p(token | context) = p(class | context) * p(unit | class, context) * (count + 1) / (the unit's mass).
+
+Every training token is an example once. Tasks train on their own texts from the same vectors, in ROUNDS; after each, rows of
+the vectors are averaged over the tasks by how often each was met there.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, drop, flat, mix, pieces, word_hashes, word_spans, written
+from .common import _LOWER, drop, flat, mix, pieces, spread, word_hashes, word_spans, written
 
-#: Units: frequent words, the end, classes of other words. A context is one of these or the text's beginning.
-WORDS, CLASSES = 95, 32
-END, UNITS = WORDS, WORDS + 1 + CLASSES
-START = UNITS
+#: A word has vectors of its own from so many occurrences, and from this share of all training tokens: so there are at most
+#: 1 / LEAST_SHARE such words, however large the table, and more of them the larger it is. Kinds of the other words.
+LEAST, LEAST_SHARE, KINDS = 10, 2e-6, 256
 #: Frequent words whose counts every worker holds at most (16 bytes each); the others' are joined.
 HEAD = 500_000
-#: Size of the model's vectors; steps, examples a step and noise samples a step of its training.
-SIZE, STEPS, EXAMPLES, NOISE = 24, 600, 4096, 64
+#: Size of the vectors, units of context, noise classes a step and noise units an example; examples of a step.
+SIZE, CONTEXT, NOISE_CLASSES, NOISE, BATCH = 32, 4, 32, 4, 1024
+#: Turns of training and averaging, and the learning rate of each.
+ROUNDS, RATES = 4, (0.1, 0.08, 0.06, 0.04)
+#: Training tokens of a task and turn at least, and for each unit: what a task sends on is then small beside what it reads.
+TASK_TOKENS, TOKENS_A_UNIT = 1_000_000, 200
+#: Tokens that are scored at once, and rows of vectors that travel as one.
+TOKENS, ROWS = 1 << 14, 2048
 _END_KEY = np.int64(-1)
 
 
-def _classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The unit of each word by its last two bytes, as if it were not a frequent one."""
+def _kinds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The kind of each word by its last two bytes."""
     last = _LOWER[data[ends - 1]].astype(np.uint64)
     before = np.where(ends - starts > 1, _LOWER[data[np.maximum(ends - 2, 0)]], 0).astype(np.uint64)
-    return (END + 1 + (mix(last * np.uint64(256) + before + np.uint64(1)) >> np.uint64(40)) % np.uint64(CLASSES)).astype(np.int64)
+    return ((mix(last * np.uint64(256) + before + np.uint64(1)) >> np.uint64(40)) % np.uint64(KINDS)).astype(np.int64)
 
 
-def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and classes of all tokens, ends included; the n + 1 offsets of the texts; whether a token is an end."""
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and kinds of all tokens, ends included; the n + 1 offsets of the texts."""
     data, offs = flat(batch.column("text"))
     starts, ends, own = word_spans(data, offs)
     n = len(offs) - 1
-    key, kind = np.full(len(starts) + n, _END_KEY), np.full(len(starts) + n, END)
+    key, kind = np.full(len(starts) + n, _END_KEY), np.zeros(len(starts) + n, np.int64)
     last = own[1:] + np.arange(n)
     word = np.ones(len(key), bool)
     word[last] = False
     hashed = word_hashes(data, starts, ends).view(np.int64)
     key[word] = np.where(hashed == _END_KEY, np.int64(0), hashed)
-    kind[word] = _classes(data, starts, ends)
-    return key, kind, np.concatenate(([0], last + 1)), ~word
+    kind[word] = _kinds(data, starts, ends)
+    return key, kind, np.concatenate(([0], last + 1))
 
 
 def _sum(keys: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(x) for x in part], ["key", "c", "kind"])
 
     for batch in pieces(batches, "text"):
-        key, kind, _, _ = _words(batch)
+        key, kind, _ = _words(batch)
         held.append(_sum(key, np.ones(len(key), np.int64), kind))
         if sum(len(x[0]) for x in held) > 1_500_000:
             held = [_sum(*map(np.concatenate, zip(*held)))]
@@ -76,107 +87,199 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Known:
-    """What every worker holds: the head's keys, sorted, with counts; the frequent words' keys, sorted, with units."""
+    """What every worker holds. Head words' keys, sorted, with counts; the keys of words with vectors, sorted, with their
+    units, and the kinds' units. Units are numbered by falling frequency; `width` neighbours make a class."""
 
     keys: np.ndarray
     counts: np.ndarray
     words: np.ndarray
     units: np.ndarray
-    logs: np.ndarray | None = None
+    kinds: np.ndarray
+    share: np.ndarray
+    width: int
 
     def unit(self, key: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return kind
         at = np.minimum(np.searchsorted(self.words, key), len(self.words) - 1)
-        return np.where(self.words[at] == key, self.units[at], kind)
+        return np.where(self.words[at] == key, self.units[at], self.kinds[kind])
 
+    @property
+    def classes(self) -> int:
+        return -(-len(self.share) // self.width)
 
-def _contexts(unit: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The units before and two before each token; START beyond its text's beginning."""
-    one, two = np.concatenate(([START], unit[:-1])), np.concatenate(([START, START], unit[:-2]))[: len(unit)]
-    first = offs[:-1]
-    one[first] = START
-    two[first] = START
-    second = first + 1
-    second = second[second < offs[1:]]
-    two[second] = START
-    return one, two
 
+def _contexts(unit: np.ndarray, offs: np.ndarray, start: int) -> np.ndarray:
+    """The CONTEXT units before each token, nearest first; `start` beyond its text's beginning."""
+    place = np.arange(len(unit)) - np.repeat(offs[:-1], np.diff(offs))
+    out = np.full((len(unit), CONTEXT), start)
+    for j in range(CONTEXT):
+        some = np.flatnonzero(place > j)
+        out[some, j] = unit[some - j - 1]
+    return out
 
-def _cell(two: np.ndarray, one: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    return (two * (UNITS + 1) + one) * UNITS + unit
 
+class Model:
+    """All vectors as rows of one array, whose last columns are a bias, the sum of squared gradients and how often the row was met.
 
-def train(cells: np.ndarray, counts: np.ndarray, seed: int = 1) -> np.ndarray:
-    """log10 p(unit | two before, one before), by cell, of a log-bilinear model fitted to the counts of cells.
-
-    Noise-contrastive estimation: each step draws EXAMPLES cells in proportion to their counts and NOISE units from the
-    units' own distribution, which the whole batch shares; the model tells data from noise by s - log(NOISE * p_noise).
+    In order: vectors of the units as context and of a text's beginning, of the units and of the classes as what is
+    predicted, and the matrices of the CONTEXT places.
     """
-    rng = np.random.default_rng(seed)
-    share = np.bincount(cells % UNITS, counts, UNITS) + 1.0
-    share /= share.sum()
-    par = {"r1": rng.normal(0, 0.1, (UNITS + 1, SIZE)), "r2": rng.normal(0, 0.1, (UNITS + 1, SIZE)), "c1": np.eye(SIZE), "c2": np.eye(SIZE), "q": rng.normal(0, 0.1, (UNITS, SIZE)), "b": np.log(share)}
-    first, second = ({k: np.zeros_like(v) for k, v in par.items()} for _ in range(2))
-    edge = np.cumsum(counts.astype(float))
-
-    def sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        """The sums of the rows that belong to each of n numbers."""
+
+    def __init__(self, known: Known, rows: np.ndarray | None = None, seed: int = 1) -> None:
+        self.known, u, c = known, len(known.share), known.classes
+        self.parts = np.cumsum([0, u + 1, u, c, CONTEXT * SIZE])
+        self.class_share = np.add.reduceat(known.share, np.arange(0, u, known.width))
+        self.edge = np.concatenate(([0.0], np.cumsum(known.share)))
+        if rows is None:
+            rows = np.random.default_rng(seed).normal(0, 0.1, (self.parts[-1], SIZE + 3)).astype(np.float32)
+            rows[:, SIZE:] = (0.0, 1e-8, 0.0)
+            rows[self.parts[1] : self.parts[2], SIZE] = np.log(known.share / np.repeat(self.class_share, known.width)[:u])
+            rows[self.parts[2] : self.parts[3], SIZE] = np.log(self.class_share)
+            rows[self.parts[3] :, :SIZE] = np.tile(np.eye(SIZE), (CONTEXT, 1)) * np.repeat(1 / np.arange(1, CONTEXT + 1), SIZE)[:, None]
+        self.rows = rows
+
+    def places(self) -> np.ndarray:
+        return self.rows[self.parts[3] :, :SIZE].reshape(CONTEXT, SIZE, SIZE)
+
+    def _update(self, part: int, at: np.ndarray, grad: np.ndarray, bias: np.ndarray | None, rate: float) -> None:
+        """Adds up the gradients of each row and steps by them, each row by its own history."""
         order = np.argsort(at, kind="stable")
         first = np.flatnonzero(np.diff(at[order], prepend=-1))
-        out = np.zeros((n, *rows.shape[1:]))
-        out[at[order][first]] = np.add.reduceat(rows[order], first)
+        g = np.add.reduceat(grad[order], first, axis=0)
+        rows = at[order][first] + self.parts[part]
+        own = self.rows[rows]
+        own[:, SIZE + 1] += (g * g).mean(1)
+        scale = rate / np.sqrt(own[:, SIZE + 1])
+        own[:, :SIZE] += g * scale[:, None]
+        if bias is not None:
+            own[:, SIZE] += np.add.reduceat(bias[order], first) * np.minimum(scale, 0.05)
+        own[:, SIZE + 2] += np.diff(np.append(first, len(at)))
+        self.rows[rows] = own
+
+    def step(self, unit: np.ndarray, context: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+        """One step: data are told from NOISE_CLASSES classes, drawn for all examples alike, and from NOISE units of the same
+        class, both drawn by their frequency, by s - log(draws * frequency)."""
+        k, p, n = self.known, self.parts, len(unit)
+        rows, share = self.rows, k.share
+        r = [rows[context[:, j], :SIZE] for j in range(CONTEXT)]
+        c = self.places()
+        h = sum(r[j] @ c[j] for j in range(CONTEXT))
+        own = unit // k.width
+        sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        noise = np.minimum(np.searchsorted(np.cumsum(self.class_share), rng.random(NOISE_CLASSES) * self.class_share.sum()), k.classes - 1)
+        at = np.concatenate((own, noise))
+        q = rows[p[2] + at]
+        less = np.log(NOISE_CLASSES * self.class_share[at])
+        e = 1 - sig((h * q[:n, :SIZE]).sum(1) + q[:n, SIZE] - less[:n])
+        f = -sig(h @ q[n:, :SIZE].T + q[n:, SIZE] - less[n:])
+        gh = e[:, None] * q[:n, :SIZE] + f @ q[n:, :SIZE]
+        by_class = at, np.concatenate((e[:, None] * h, f.T @ h)), np.concatenate((e, f.sum(0)))
+        lo, hi = self.edge[own * k.width], self.edge[np.minimum((own + 1) * k.width, len(share))]
+        other = np.searchsorted(self.edge, lo[:, None] + rng.random((n, NOISE)) * (hi - lo)[:, None], "right") - 1
+        other = np.clip(other, (own * k.width)[:, None], (np.minimum((own + 1) * k.width, len(share)) - 1)[:, None])
+        at = np.concatenate((unit[:, None], other), 1)
+        q = rows[p[1] + at]
+        less = np.log(NOISE * share[at] / (hi - lo)[:, None])
+        s = np.matmul(q[:, :, :SIZE], h[:, :, None])[:, :, 0] + q[:, :, SIZE] - less
+        g = -sig(s)
+        g[:, 0] += 1
+        g = g.astype(np.float32)
+        gh = (gh + np.matmul(g[:, None, :], q[:, :, :SIZE])[:, 0]).astype(np.float32)
+        self._update(1, at.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, SIZE), g.ravel(), rate)
+        self._update(2, by_class[0], by_class[1].astype(np.float32), by_class[2], rate)
+        self._update(0, context.ravel(), np.stack([gh @ c[j].T for j in range(CONTEXT)], 1).reshape(-1, SIZE), None, rate)
+        self._update(3, np.arange(CONTEXT * SIZE), np.concatenate([r[j].T @ gh for j in range(CONTEXT)]), None, 0.1 * rate)
+
+    def train(self, unit: np.ndarray, context: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+        order = rng.permutation(len(unit))
+        for k in range(0, len(order), BATCH):
+            some = order[k : k + BATCH]
+            self.step(unit[some], context[some], rate, rng)
+
+    def tables(self) -> list[np.ndarray]:
+        """For each place, what a unit there adds to the prediction."""
+        return [self.rows[: self.parts[1], :SIZE] @ c for c in self.places()]
+
+    def logs(self, unit: np.ndarray, context: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """ln p(unit | context), normalised over all classes and all units of the class."""
+        p, width, u = self.parts, self.known.width, len(self.known.share)
+        h = sum(t[context[:, j]] for j, t in enumerate(tables))
+        own = unit // width
+        q = self.rows[p[2] : p[3]]
+        s = h @ q[:, :SIZE].T + q[:, SIZE]
+        out = s[np.arange(len(unit)), own] - _logsumexp(s)
+        order = np.argsort(own, kind="stable")
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(own[order])) + 1, [len(order)]))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            some = order[a:b]
+            low = int(own[some[0]]) * width
+            q = self.rows[p[1] + low : p[1] + min(low + width, u)]
+            s = h[some] @ q[:, :SIZE].T + q[:, SIZE]
+            out[some] += s[np.arange(len(some)), unit[some] - low] - _logsumexp(s)
         return out
 
-    for step in range(1, STEPS + 1 if len(cells) else 0):
-        pick = cells[np.minimum(np.searchsorted(edge, rng.random(EXAMPLES) * edge[-1], "right"), len(cells) - 1)]
-        unit, one, two = pick % UNITS, pick // UNITS % (UNITS + 1), pick // UNITS // (UNITS + 1)
-        noise = rng.choice(UNITS, NOISE, p=share)
-        a, b = par["r1"][one], par["r2"][two]
-        h = a @ par["c1"] + b @ par["c2"]
-        data = (h * par["q"][unit]).sum(1) + par["b"][unit] - np.log(NOISE * share[unit])
-        other = h @ par["q"][noise].T + par["b"][noise] - np.log(NOISE * share[noise])
-        e = (1 / (1 + np.exp(np.clip(data, -30, 30)))) / EXAMPLES
-        f = -(1 / (1 + np.exp(-np.clip(other, -30, 30)))) / EXAMPLES
-        gh = e[:, None] * par["q"][unit] + f @ par["q"][noise]
-        grads = {"q": sums(unit, e[:, None] * h, UNITS) + sums(noise, f.T @ h, UNITS), "b": sums(unit, e, UNITS) + sums(noise, f.sum(0), UNITS), "c1": a.T @ gh, "c2": b.T @ gh, "r1": sums(one, gh @ par["c1"].T, UNITS + 1), "r2": sums(two, gh @ par["c2"].T, UNITS + 1)}
-        rate = 0.03 * min(1.0, 2 * (1 - step / (STEPS + 1)))
-        for k, g in grads.items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            par[k] = par[k] + rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9)
-    h1, h2 = par["r1"] @ par["c1"], par["r2"] @ par["c2"]
-    out = np.empty(((UNITS + 1), (UNITS + 1), UNITS), np.float32)
-    for two in range(UNITS + 1):
-        s = (h2[two] + h1) @ par["q"].T + par["b"]
-        s -= s.max(1, keepdims=True)
-        out[two] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
-    return out.ravel()
-
-
-def _trained(spark: SparkSession, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """train() in a task, whose numpy has one thread and an executor's memory; both sides are bounded by the triples of units."""
-    held = spark.sparkContext.broadcast(pickle.dumps((cells, counts)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            yield pa.record_batch([pa.array([train(*pickle.loads(held.value)).tobytes()], pa.binary())], ["logs"])
-
-    return np.frombuffer(spark.range(0, 1, 1, 1).mapInArrow(run, "logs binary").first()["logs"], np.float32)
+
+def _logsumexp(s: np.ndarray) -> np.ndarray:
+    top = s.max(1)
+    return top + np.log(np.exp(s - top[:, None]).sum(1))
+
+
+def _averaged(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one range, averaged over the tasks by how often each was met; those never met as they were."""
+    stack = np.stack([np.frombuffer(x, np.float32).reshape(-1, SIZE + 3) for x in part.sort_values("task")["raw"]]).astype(np.float64)
+    n = stack[:, :, -1:]
+    out = np.where(n.sum(0) > 0, (stack * n).sum(0) / np.maximum(n.sum(0), 1), stack[0])
+    out[:, -1] = 0
+    return pd.DataFrame({"range": part["range"].iloc[:1], "raw": [out.astype(np.float32).tobytes()]})
+
+
+def fitted(texts: DataFrame, known: Known, tokens: int) -> Model:
+    """The model trained on all texts, a turn's share of them by the hash of the text at a time."""
+    spark, model = texts.sparkSession, Model(known)
+    least = max(TASK_TOKENS, TOKENS_A_UNIT * len(known.share))
+    tasks = max(1, math.ceil(tokens / ROUNDS / least))
+    for turn in range(ROUNDS if tokens else 0):
+        held = spark.sparkContext.broadcast(pickle.dumps((known, model.rows)))
+
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, held=held) -> Iterator[pa.RecordBatch]:
+            own = Model(*pickle.loads(held.value))
+            own.rows = own.rows.copy()
+            rng, seen, task = np.random.default_rng(turn + 1), 0, 0
+            for batch in pieces(batches, "text"):
+                key, kind, offs = _words(batch)
+                unit = own.known.unit(key, kind)
+                task = task or int(key[0])
+                own.train(unit, _contexts(unit, offs, len(own.known.share)), RATES[turn], rng)
+                seen += len(unit)
+            if seen:
+                ranges = range(0, len(own.rows), ROWS)
+                yield pa.record_batch([pa.array([task] * len(ranges)), pa.array(list(ranges)), pa.array([own.rows[k : k + ROWS].tobytes() for k in ranges], pa.binary())], ["task", "range", "raw"])
+
+        some = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)
+        done = some.coalesce(tasks).mapInArrow(run, "task long, range long, raw binary")
+        if tasks > 1:
+            done = done.groupBy("range").applyInPandas(_averaged, "range long, raw binary")
+        rows = model.rows.copy()
+        for r in done.select("range", "raw").toLocalIterator():  # as many rows as the vectors have ranges
+            got = np.frombuffer(r["raw"], np.float32).reshape(-1, SIZE + 3)
+            rows[r["range"] : r["range"] + len(got)] = got
+        rows[:, -1] = 0
+        model = Model(known, rows)
+        held.unpersist()
+    return model
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
+    """(doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score) of each row of docs; other columns are left out, whatever their names.
 
     Rows for which `learn` is true are learnt from, all of them. Tokens are lower-cased (A-Z) words of non-space bytes,
     then one end. base_score is the sum of log10((c + 1) / (N + V + 1)); score is the model's log10 probability of the
-    text and its end. Word counts and counts of unit triples cover all rows to learn from; the counts of the HEAD most
-    frequent words go to every worker, the rest are joined, each word once a row and word, so no frequent word is a hot
-    key. A null or empty text is an end alone; a null learn counts as false; rows that repeat an id are scored each by
-    itself; with nothing to learn from, N and V are 0.
+    text and its end. Word counts cover all rows to learn from; the counts of the HEAD most frequent words go to every
+    worker, the rest are joined, each word once a row and word, so no frequent word is a hot key. A null or empty text is
+    an end alone; a null learn counts as false; rows that repeat an id are scored each by itself; with nothing to learn
+    from, N and V are 0.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learnt"), F.col(text_col).cast("string").alias("text"))
+    docs = spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learnt"), F.col(f"`{text_col}`").cast("string").alias("text")))
     texts = docs.where("learnt").select("text")
     counts = written(texts.mapInArrow(_count, "key long, c long, kind long").groupBy("key").agg(F.sum("c").alias("c"), F.min("kind").alias("kind")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -188,52 +291,42 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         if held > HEAD:
             break
         least = r["g"]
-    head = counts.where(F.lit(False) if least is None else grade >= least).toArrow()
-    keys, c, kinds = (head.column(x).to_numpy() for x in ("key", "c", "kind"))
-    order = np.lexsort((keys, -c))
-    keys, c, kinds = keys[order], c[order], kinds[order]
-    frequent = np.flatnonzero(keys != _END_KEY)[:WORDS]
-    by_key, by_word = np.argsort(keys), frequent[np.argsort(keys[frequent])]
-    own = np.empty(len(keys), np.int64)
-    own[frequent] = np.arange(len(frequent))
-    known = Known(keys[by_key], c[by_key], keys[by_word], own[by_word])
-    mass = np.ones(UNITS)
-    for r in counts.groupBy("kind").agg((F.sum("c") + F.count("*")).alias("m")).collect():  # a row a class
-        mass[r["kind"]] += r["m"]
-    mass[:WORDS] = 1.0
-    for i, k in enumerate(frequent.tolist()):
-        mass[i] = c[k] + 1
-        mass[kinds[k]] -= c[k] + 1
-    mass[END] -= 1
-    mass = np.maximum(mass, 1.0)
-    held = spark.sparkContext.broadcast(pickle.dumps(known))
-
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, size = pickle.loads(held.value), (UNITS + 1) ** 2 * UNITS
-        sums = np.zeros(size, np.int64)
-        for batch in pieces(batches, "text"):
-            key, kind, offs, _ = _words(batch)
-            unit = own.unit(key, kind)
-            one, two = _contexts(unit, offs)
-            sums += np.bincount(_cell(two, one, unit), minlength=size)
-        some = np.flatnonzero(sums)
-        for k in range(0, len(some), 1 << 18):
-            yield pa.record_batch([pa.array(some[k : k + (1 << 18)]), pa.array(sums[some[k : k + (1 << 18)]])], ["cell", "c"])
-
-    cells = texts.mapInArrow(triples, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # a row for each triple of units at most
-    cell, c = cells.column("cell").to_numpy(), cells.column("c").to_numpy()
-    order = np.argsort(cell)
-    logs = _trained(spark, cell[order], c[order]).reshape(-1, UNITS) - np.log10(mass / (n + v + 1.0)).astype(np.float32)
-    full = spark.sparkContext.broadcast(pickle.dumps(Known(known.keys, known.counts, known.words, known.units, logs.ravel())))
+    head = counts.where(F.lit(False) if least is None else grade >= least).select("key", "c").toArrow()
+    keys, c = (head.column(x).to_numpy() for x in ("key", "c"))
+    by_key = np.argsort(keys)
+    keys, c = keys[by_key], c[by_key]
+    enough = (F.col("c") >= max(LEAST, math.ceil(LEAST_SHARE * n))) | (F.col("key") == int(_END_KEY))
+    own = counts.where(enough).select("key", "c").toArrow()  # at most 1 / LEAST_SHARE rows, and the end
+    words, often = (own.column(x).to_numpy() for x in ("key", "c"))
+    if _END_KEY not in words:
+        words, often = np.append(words, _END_KEY), np.append(often, 0)
+    mass = np.ones(KINDS)
+    rare = np.zeros(KINDS)
+    for r in counts.where(~enough).groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # a row a kind
+        mass[r["kind"]] += r["c"] + r["v"]
+        rare[r["kind"]] = r["c"]
+    share = np.concatenate((often, rare)) + 1.0
+    order = np.lexsort((np.concatenate((words, np.arange(KINDS))), -share))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    by_word = np.argsort(words)
+    known = Known(keys, c, words[by_word], rank[: len(words)][by_word], rank[len(words) :], share[order] / share.sum(), math.isqrt(len(order) - 1) + 1)
+    model = fitted(texts, known, n)
+    unit_mass = np.concatenate((often + 1.0, mass))[order]
+    less = np.log10(unit_mass / (n + v + 1.0))
+    full = spark.sparkContext.broadcast(pickle.dumps((known, model.rows, less)))
     least = np.log10(n + v + 1.0)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(full.value)
+        own, vectors, less = pickle.loads(full.value)
+        model = Model(own, vectors)
+        tables = model.tables()
         for batch in pieces(batches, "text"):
-            key, kind, offs, _ = _words(batch)
+            key, kind, offs = _words(batch)
             unit = own.unit(key, kind)
-            one, two = _contexts(unit, offs)
-            gain = np.add.reduceat(own.logs[_cell(two, one, unit)].astype(float), offs[:-1])
+            context = _contexts(unit, offs, len(own.share))
+            logs = np.concatenate([model.logs(unit[k : k + TOKENS], context[k : k + TOKENS], tables) for k in range(0, len(unit), TOKENS)])
+            gain = np.add.reduceat(logs / np.log(10) - less[unit], offs[:-1])
             at = np.minimum(np.searchsorted(own.keys, key), max(0, len(own.keys) - 1))
             there = own.keys[at] == key if len(own.keys) else np.zeros(len(key), bool)
             count = own.counts[at] if len(own.keys) else np.zeros(len(key), np.int64)

@@ -194,26 +194,79 @@ def test_rare_words_are_joined(spark, odd, monkeypatch):
     assert few == [x[:3] for x in whole]
 
 
-def test_probabilities_sum_to_one():
-    cells = np.arange(0, 4000, 7)
-    logs = lm.train(cells, np.arange(len(cells)) % 5 + 1).reshape(-1, lm.UNITS)
-    assert np.allclose((10.0**logs).sum(1), 1, atol=1e-4)
-    empty = lm.train(np.zeros(0, int), np.zeros(0, int)).reshape(-1, lm.UNITS)
-    assert np.allclose((10.0**empty).sum(1), 1, atol=1e-4)
-
-
-def test_token_probabilities_sum_to_one(spark):
-    """Over one text of each known word and one unknown word of each class, the shares of a unit add up to one."""
-    docs = spark.createDataFrame([(0, "aa bb aa cc"), (1, "aa"), (2, "bb"), (3, "cc"), (4, "")], "doc_id long, text string")
-    r = {x["doc_id"]: x for x in lm.score(docs, F.col("doc_id") == 0).collect()}
-    assert r[0]["train_tokens"] == 5 and all(x["score"] < 0 for x in r.values())
+@pytest.fixture
+def seen(monkeypatch):
+    """The models that lm.score fits, and words with vectors from two occurrences on."""
+    monkeypatch.setattr(lm, "LEAST", 2)
+    models, old = [], lm.fitted
+    monkeypatch.setattr(lm, "fitted", lambda *a: models.append(old(*a)) or models[-1])
+    return models
+
+
+def naive_logs(model, history):
+    """ln p of every unit after a history, written out: two softmaxes over dot products."""
+    rows, (r0, q0, c0, m0, end) = model.rows.astype(float), model.parts
+    size, units = lm.SIZE, len(model.known.share)
+    h = np.zeros(size)
+    for j in range(lm.CONTEXT):
+        u = history[-1 - j] if j < len(history) else units
+        for x in range(size):
+            h += rows[r0 + u, x] * rows[m0 + j * size + x, :size]
+    classes = [rows[c0 + k, :size] @ h + rows[c0 + k, size] for k in range(model.known.classes)]
+    out = []
+    for u in range(units):
+        k = u // model.known.width
+        own = [rows[q0 + x, :size] @ h + rows[q0 + x, size] for x in range(k * model.known.width, min(units, (k + 1) * model.known.width))]
+        out.append(classes[k] - math.log(sum(math.exp(x) for x in classes)) + rows[q0 + u, :size] @ h + rows[q0 + u, size] - math.log(sum(math.exp(x) for x in own)))
+    return np.array(out)
+
+
+def test_scores_are_the_model_s(spark, seen):
+    """Probabilities of all units add up to one after any history, those of a unit's tokens to its own; scores are their logs."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "abcdef" for b in ("ta", "ke", "mi")]
+    docs = [(i, " ".join(rng.choice(words[: 6 + 4 * (i % 3)]) for _ in range(rng.randint(0, 12)))) for i in range(40)] + [(40, "new WORDS ata"), (41, None), (42, "once")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") < 40).collect()}
+    m = seen[0]
+    counts = Counter(w for i, t in docs[:40] for w in [*(t or "").split(), None])
+    raw = lambda w: np.frombuffer(w.encode(), np.uint8)
+    key = lambda w: int(lm.word_hashes(raw(w), np.array([0]), np.array([len(w)])).view(np.int64)[0]) if w else -1
+    kind = lambda w: int(lm._kinds(raw(w), np.array([0]), np.array([len(w)]))[0]) if w else 0
+    unit = lambda w: int(m.known.unit(np.array([key(w)]), np.array([kind(w)]))[0])
+    mass = Counter()
+    for w, c in counts.items():
+        mass[unit(w)] += c + 1
+    own = {unit(w) for w, c in counts.items() if c >= 2 or w is None}
+    for u in set(m.known.kinds.tolist()):
+        mass[u] += 1
+    assert not own & set(m.known.kinds.tolist()) and len(own) == len(m.known.words)
+    for i in (0, 1, 2, 5, 40, 41, 42):
+        history, want = [], 0.0
+        for w in [*re.findall(r"\S+", (docs[i][1] or "").lower()), None]:
+            logs = naive_logs(m, history)
+            assert abs(np.exp(logs).sum() - 1) < 1e-6
+            want += (logs[unit(w)] + math.log((counts[w] + 1) / mass[unit(w)])) / math.log(10)
+            history.append(unit(w))
+        assert abs(got[i]["score"] - want) < 1e-3
+    assert all(abs(sum((c + 1) / mass[u] for w, c in counts.items() if unit(w) == u) + (u in m.known.kinds) / mass[u] - 1) < 1e-9 for u in mass)
+
+
+def test_training_raises_the_likelihood(spark, seen, small, monkeypatch):
+    """Several tasks that are averaged, too, learn; every training token is an example once."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60).repartition(4)
+    monkeypatch.setattr(lm, "TASK_TOKENS", 1000)
+    monkeypatch.setattr(lm, "TOKENS_A_UNIT", 1)
+    got = lm.score(docs, F.lit(True)).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.05
 
 
 def test_model_beats_counts(spark, small):
+    """On held-out texts, by more than 0.15 in log10 a token."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
     held = fold(F.col("doc_id"), 7) == 2
-    got = lm.score(docs, ~held).where("NOT learnt").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
+    got = lm.score(docs, ~held).where("NOT learnt").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.15
 
 
 def test_language_model_of_nothing(spark, odd, empty):
