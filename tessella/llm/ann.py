@@ -12,19 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread, written
 
 #: Hash tables. Each vector is sent to one bucket of each, so this is the factor of what is shuffled.
 TABLES = 16
 #: The share of the k nearest that a query should find, and the queries on which the number of probes is fitted to it:
 #: those of the smallest hashes, at most so many, are compared with every vector.
 RECALL, PILOTS = 0.95, 128
-#: Vectors that a task compares at once; buckets share a task's block up to that, larger ones are dealt out.
-BLOCK = 4096
+#: Vectors that a task compares at once; buckets share a task's block up to that, larger ones are dealt out. A query gets
+#: k + 1 rows from each block that it probes, so blocks are as large as a task's memory likes.
+BLOCK = 65536
 #: Vectors a bucket has on average at most; a table joins more hashes, and so has more buckets, as their number grows.
 BUCKET_ROWS = 2
 #: Pairs that are compared in one go.
-PAIRS = 200_000
+PAIRS = 50_000
 
 
 def signs_of(dims: int) -> int:
@@ -272,12 +273,12 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     share = max(1, BLOCK * wide**hashes // (2 * max(1, count)))
     place = partial(_place, dims=dims, kind=kind, signs=signs, hashes=hashes, share=share)
     pose = partial(_pose, dims=dims, kind=kind, signs=signs, hashes=hashes, share=share, probes=probes)
-    right = classes.select("class", "vector").mapInArrow(place, "t long, block long, bucket long, class long, vector binary")
+    right = spread(classes.select("class", "vector")).mapInArrow(place, "t long, block long, bucket long, class long, vector binary")
     large = written(right.groupBy("t", "block").count().where(F.col("count") > BLOCK).select("t", "block", F.ceil(F.col("count") / BLOCK).alias("parts")), "large")
     parts = F.coalesce("parts", F.lit(1))
     at = ["t", "block", "part"]
     right = right.join(large, ["t", "block"], "left").select("t", "block", "bucket", F.pmod(F.xxhash64("class"), parts).alias("part"), "class", "vector")
-    left = posed.select("class", "vector").mapInArrow(pose, "t long, block long, buckets array<long>, class long, vector binary").join(large, ["t", "block"], "left").select("t", "block", "buckets", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "class", "vector")
+    left = spread(posed.select("class", "vector")).mapInArrow(pose, "t long, block long, buckets array<long>, class long, vector binary").join(large, ["t", "block"], "left").select("t", "block", "buckets", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "class", "vector")
     found = left.groupBy(at).cogroup(right.groupBy(at)).applyInPandas(partial(_rerank, most=k + 1, dims=dims, kind=kind), "query long, class long, score double")
     best = found.groupBy("query", "class").agg(F.max("score").alias("score"))
     best = best.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "class"))).where(F.col("place") <= k + 1)

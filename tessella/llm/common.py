@@ -172,7 +172,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -185,14 +185,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = ((int(n) >> 18) + 1) << 18
-    if size not in _powers:
+    """Powers of the base and of its inverse, n at least; only the longest tables asked for are kept."""
+    if not _powers or len(_powers[0]) < n:
+        size = ((int(n) >> 18) + 1) << 18
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INV, np.uint64)
         up[0] = down[0] = 1
         with np.errstate(over="ignore"):
-            _powers.clear()
-            _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+            _powers[:] = np.cumprod(up), np.cumprod(down)
+    return _powers[0], _powers[1]
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -27,17 +27,17 @@ from .common import _LOWER, drop, flat, mix, pieces, spread, word_hashes, word_s
 
 #: A word has vectors of its own from so many occurrences, and from this share of all training tokens: so there are at most
 #: 1 / LEAST_SHARE such words, however large the table, and more of them the larger it is. Kinds of the other words.
-LEAST, LEAST_SHARE, KINDS = 10, 2e-6, 256
+LEAST, LEAST_SHARE, KINDS = 20, 4e-6, 256
 #: Frequent words whose counts every worker holds at most (16 bytes each); the others' are joined.
 HEAD = 500_000
 #: Size of the vectors, units of context, noise classes a step and noise units an example; examples of a step.
-SIZE, CONTEXT, NOISE_CLASSES, NOISE, BATCH = 32, 4, 32, 4, 1024
+SIZE, CONTEXT, NOISE_CLASSES, NOISE, BATCH = 16, 3, 24, 2, 1024
 #: Turns of training and averaging, and the learning rate of each.
 ROUNDS, RATES = 4, (0.1, 0.08, 0.06, 0.04)
 #: Training tokens of a task and turn at least, and for each unit: what a task sends on is then small beside what it reads.
 TASK_TOKENS, TOKENS_A_UNIT = 1_000_000, 200
 #: Tokens that are scored at once, and rows of vectors that travel as one.
-TOKENS, ROWS = 1 << 14, 2048
+TOKENS, ROWS = 1 << 16, 2048
 _END_KEY = np.int64(-1)
 
 
@@ -118,7 +118,7 @@ def _contexts(unit: np.ndarray, offs: np.ndarray, start: int) -> np.ndarray:
 
 
 class Model:
-    """All vectors as rows of one array, whose last columns are a bias, the sum of squared gradients and how often the row was met.
+    """Vectors as rows of one array, with a bias, the sum of squared gradients and how often the row was met beside each.
 
     In order: vectors of the units as context and of a text's beginning, of the units and of the classes as what is
     predicted, and the matrices of the CONTEXT places.
@@ -128,66 +128,77 @@ class Model:
         self.known, u, c = known, len(known.share), known.classes
         self.parts = np.cumsum([0, u + 1, u, c, CONTEXT * SIZE])
         self.class_share = np.add.reduceat(known.share, np.arange(0, u, known.width))
-        self.edge = np.concatenate(([0.0], np.cumsum(known.share)))
+        #: ln(draws * frequency) of the rows that are predicted, units within their classes.
+        inside = known.share / np.repeat(self.class_share, known.width)[:u]
+        self.less = np.log(np.concatenate((NOISE * inside, NOISE_CLASSES * self.class_share))).astype(np.float32)
+        self.edge = np.cumsum(self.class_share)
         if rows is None:
             rows = np.random.default_rng(seed).normal(0, 0.1, (self.parts[-1], SIZE + 3)).astype(np.float32)
             rows[:, SIZE:] = (0.0, 1e-8, 0.0)
-            rows[self.parts[1] : self.parts[2], SIZE] = np.log(known.share / np.repeat(self.class_share, known.width)[:u])
+            rows[self.parts[1] : self.parts[2], SIZE] = np.log(inside)
             rows[self.parts[2] : self.parts[3], SIZE] = np.log(self.class_share)
             rows[self.parts[3] :, :SIZE] = np.tile(np.eye(SIZE), (CONTEXT, 1)) * np.repeat(1 / np.arange(1, CONTEXT + 1), SIZE)[:, None]
-        self.rows = rows
+        self.vectors, self.bias, self.past, self.met = np.ascontiguousarray(rows[:, :SIZE]), rows[:, SIZE].copy(), rows[:, SIZE + 1].copy(), rows[:, SIZE + 2].copy()
 
-    def places(self) -> np.ndarray:
-        return self.rows[self.parts[3] :, :SIZE].reshape(CONTEXT, SIZE, SIZE)
+    @property
+    def rows(self) -> np.ndarray:
+        return np.column_stack((self.vectors, self.bias, self.past, self.met))
 
-    def _update(self, part: int, at: np.ndarray, grad: np.ndarray, bias: np.ndarray | None, rate: float) -> None:
+    def _update(self, at: np.ndarray, grad: np.ndarray, bias: np.ndarray | None, rate: float) -> None:
         """Adds up the gradients of each row and steps by them, each row by its own history."""
-        order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        order = np.argsort(at.astype(np.uint16) if len(self.bias) <= 1 << 16 else at, kind="stable")
+        sorted_at = at[order]
+        first = np.flatnonzero(np.diff(sorted_at, prepend=-1))
+        rows = sorted_at[first]
         g = np.add.reduceat(grad[order], first, axis=0)
-        rows = at[order][first] + self.parts[part]
-        own = self.rows[rows]
-        own[:, SIZE + 1] += (g * g).mean(1)
-        scale = rate / np.sqrt(own[:, SIZE + 1])
-        own[:, :SIZE] += g * scale[:, None]
+        past = self.past[rows] + np.einsum("ij,ij->i", g, g) / SIZE
+        scale = rate / np.sqrt(past)
+        self.past[rows] = past
+        self.vectors[rows] += g * scale[:, None]
         if bias is not None:
-            own[:, SIZE] += np.add.reduceat(bias[order], first) * np.minimum(scale, 0.05)
-        own[:, SIZE + 2] += np.diff(np.append(first, len(at)))
-        self.rows[rows] = own
+            self.bias[rows] += np.add.reduceat(bias[order], first) * np.minimum(scale, 0.05)
+        self.met[rows] += np.diff(np.append(first, len(at)))
+
+    def _noise(self, unit: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """NOISE units for each example, drawn from its class by their frequency: the units of other examples of the class in
+        this step; its class's most frequent one where there is no other."""
+        order = np.argsort(own.astype(np.uint16) if self.known.classes <= 1 << 16 else own, kind="stable")
+        size = np.bincount(own, minlength=self.known.classes)
+        first = (np.cumsum(size) - size)[own[order]]
+        size, place = size[own[order]], np.arange(len(unit))
+        ahead = 1 + (rng.random((NOISE, len(unit))) * (size - 1)).astype(np.int64)
+        drawn = unit[order][first + (place - first + ahead) % size]
+        out = np.empty((len(unit), NOISE), np.int64)
+        out[order] = np.where(size > 1, drawn, own[order] * self.known.width).T
+        return out
 
     def step(self, unit: np.ndarray, context: np.ndarray, rate: float, rng: np.random.Generator) -> None:
-        """One step: data are told from NOISE_CLASSES classes, drawn for all examples alike, and from NOISE units of the same
-        class, both drawn by their frequency, by s - log(draws * frequency)."""
-        k, p, n = self.known, self.parts, len(unit)
-        rows, share = self.rows, k.share
-        r = [rows[context[:, j], :SIZE] for j in range(CONTEXT)]
-        c = self.places()
-        h = sum(r[j] @ c[j] for j in range(CONTEXT))
-        own = unit // k.width
-        sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        noise = np.minimum(np.searchsorted(np.cumsum(self.class_share), rng.random(NOISE_CLASSES) * self.class_share.sum()), k.classes - 1)
-        at = np.concatenate((own, noise))
-        q = rows[p[2] + at]
-        less = np.log(NOISE_CLASSES * self.class_share[at])
-        e = 1 - sig((h * q[:n, :SIZE]).sum(1) + q[:n, SIZE] - less[:n])
-        f = -sig(h @ q[n:, :SIZE].T + q[n:, SIZE] - less[n:])
-        gh = e[:, None] * q[:n, :SIZE] + f @ q[n:, :SIZE]
-        by_class = at, np.concatenate((e[:, None] * h, f.T @ h)), np.concatenate((e, f.sum(0)))
-        lo, hi = self.edge[own * k.width], self.edge[np.minimum((own + 1) * k.width, len(share))]
-        other = np.searchsorted(self.edge, lo[:, None] + rng.random((n, NOISE)) * (hi - lo)[:, None], "right") - 1
-        other = np.clip(other, (own * k.width)[:, None], (np.minimum((own + 1) * k.width, len(share)) - 1)[:, None])
-        at = np.concatenate((unit[:, None], other), 1)
-        q = rows[p[1] + at]
-        less = np.log(NOISE * share[at] / (hi - lo)[:, None])
-        s = np.matmul(q[:, :, :SIZE], h[:, :, None])[:, :, 0] + q[:, :, SIZE] - less
-        g = -sig(s)
+        """One step: the next units' classes are told from NOISE_CLASSES classes, drawn by their frequency for all examples
+        alike, and the units from NOISE others of their class, by s - ln(draws * frequency)."""
+        p, n, u = self.parts, len(unit), len(self.known.share)
+        r = self.vectors[context.ravel()].reshape(n, -1)
+        c = self.vectors[p[3] :]
+        h = r @ c
+        noise = u + np.minimum(np.searchsorted(self.edge, rng.random(NOISE_CLASSES) * self.edge[-1]), len(self.edge) - 1)
+        own = unit // self.known.width
+        q, k = self.vectors[p[1] + noise], self.vectors[p[2] + own]
+        f = h @ q.T
+        f += self.bias[p[1] + noise] - self.less[noise]
+        f = _sigmoid(f, -1)
+        e = _sigmoid(np.einsum("ij,ij->i", h, k) + self.bias[p[2] + own] - self.less[u + own], 1)
+        gh = f @ q
+        gh += e[:, None] * k
+        at = np.concatenate((unit[:, None], self._noise(unit, own, rng)), 1)
+        q = self.vectors[p[1] + at.ravel()].reshape(n, NOISE + 1, SIZE)
+        g = np.matmul(q, h[:, :, None])[:, :, 0]
+        g += self.bias[p[1] + at] - self.less[at]
+        g = _sigmoid(g, -1)
         g[:, 0] += 1
-        g = g.astype(np.float32)
-        gh = (gh + np.matmul(g[:, None, :], q[:, :, :SIZE])[:, 0]).astype(np.float32)
-        self._update(1, at.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, SIZE), g.ravel(), rate)
-        self._update(2, by_class[0], by_class[1].astype(np.float32), by_class[2], rate)
-        self._update(0, context.ravel(), np.stack([gh @ c[j].T for j in range(CONTEXT)], 1).reshape(-1, SIZE), None, rate)
-        self._update(3, np.arange(CONTEXT * SIZE), np.concatenate([r[j].T @ gh for j in range(CONTEXT)]), None, 0.1 * rate)
+        gh += np.matmul(g[:, None], q)[:, 0]
+        back = gh @ c.T
+        self._update(p[1] + np.concatenate((at.ravel(), u + own, noise)), np.concatenate(((g[:, :, None] * h[:, None]).reshape(-1, SIZE), e[:, None] * h, f.T @ h)), np.concatenate((g.ravel(), e, f.sum(0))), rate)
+        self._update(context.ravel(), back.reshape(-1, SIZE), None, rate)
+        self._update(np.arange(p[3], p[4]), r.T @ gh, None, 0.1 * rate)
 
     def train(self, unit: np.ndarray, context: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         order = rng.permutation(len(unit))
@@ -195,32 +206,49 @@ class Model:
             some = order[k : k + BATCH]
             self.step(unit[some], context[some], rate, rng)
 
-    def tables(self) -> list[np.ndarray]:
-        """For each place, what a unit there adds to the prediction."""
-        return [self.rows[: self.parts[1], :SIZE] @ c for c in self.places()]
-
-    def logs(self, unit: np.ndarray, context: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    def logs(self, unit: np.ndarray, context: np.ndarray) -> np.ndarray:
         """ln p(unit | context), normalised over all classes and all units of the class."""
         p, width, u = self.parts, self.known.width, len(self.known.share)
-        h = sum(t[context[:, j]] for j, t in enumerate(tables))
+        h = np.empty((len(unit), SIZE + 1), np.float32)
+        h[:, SIZE] = 1
+        for k in range(0, len(unit), 4096):
+            h[k : k + 4096, :SIZE] = self.vectors[context[k : k + 4096].ravel()].reshape(-1, CONTEXT * SIZE) @ self.vectors[p[3] :]
+        full = np.column_stack((self.vectors[p[1] : p[3]], self.bias[p[1] : p[3]]))
         own = unit // width
-        q = self.rows[p[2] : p[3]]
-        s = h @ q[:, :SIZE].T + q[:, SIZE]
-        out = s[np.arange(len(unit)), own] - _logsumexp(s)
-        order = np.argsort(own, kind="stable")
-        edge = np.concatenate(([0], np.flatnonzero(np.diff(own[order])) + 1, [len(order)]))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            some = order[a:b]
-            low = int(own[some[0]]) * width
-            q = self.rows[p[1] + low : p[1] + min(low + width, u)]
-            s = h[some] @ q[:, :SIZE].T + q[:, SIZE]
-            out[some] += s[np.arange(len(some)), unit[some] - low] - _logsumexp(s)
+        out = np.einsum("ij,ij->i", h, full[unit]) + np.einsum("ij,ij->i", h, full[u + own])
+        classes = full[u:].T.copy()
+        for k in range(0, len(unit), 4096):
+            out[k : k + 4096] -= _log_sum(h[k : k + 4096] @ classes)
+        order = np.argsort(own.astype(np.uint16) if self.known.classes <= 1 << 16 else own, kind="stable")
+        h, edge = h[order], np.concatenate(([0], np.cumsum(np.bincount(own, minlength=self.known.classes))))
+        sums = np.empty(len(unit), np.float32)
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            units = full[k * width : min((k + 1) * width, u)].T
+            for a in range(edge[k], edge[k + 1], 4096):
+                b = min(a + 4096, edge[k + 1])
+                sums[a:b] = _log_sum(h[a:b] @ units)
+        out[order] -= sums
         return out
 
 
-def _logsumexp(s: np.ndarray) -> np.ndarray:
-    top = s.max(1)
-    return top + np.log(np.exp(s - top[:, None]).sum(1))
+def _sigmoid(x: np.ndarray, sign: int) -> np.ndarray:
+    """1 - sigmoid(x) for sign 1, -sigmoid(x) for sign -1; in place."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(sign * x, out=x)
+    x += 1
+    return np.divide(sign, x, out=x)
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """ln of the sum of exp of each row; in place. One shift for all rows does unless they lie far apart."""
+    top = float(s.max())
+    low = None
+    if top > 60 or top < -60:
+        low = s.max(1)
+        s -= low[:, None]
+    np.exp(s, out=s)
+    total = np.log(s.sum(1))
+    return total if low is None else total + low
 
 
 def _averaged(part: pd.DataFrame) -> pd.DataFrame:
@@ -242,7 +270,6 @@ def fitted(texts: DataFrame, known: Known, tokens: int) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, held=held) -> Iterator[pa.RecordBatch]:
             own = Model(*pickle.loads(held.value))
-            own.rows = own.rows.copy()
             rng, seen, task = np.random.default_rng(turn + 1), 0, 0
             for batch in pieces(batches, "text"):
                 key, kind, offs = _words(batch)
@@ -251,14 +278,15 @@ def fitted(texts: DataFrame, known: Known, tokens: int) -> Model:
                 own.train(unit, _contexts(unit, offs, len(own.known.share)), RATES[turn], rng)
                 seen += len(unit)
             if seen:
-                ranges = range(0, len(own.rows), ROWS)
-                yield pa.record_batch([pa.array([task] * len(ranges)), pa.array(list(ranges)), pa.array([own.rows[k : k + ROWS].tobytes() for k in ranges], pa.binary())], ["task", "range", "raw"])
+                rows = own.rows
+                ranges = range(0, len(rows), ROWS)
+                yield pa.record_batch([pa.array([task] * len(ranges)), pa.array(list(ranges)), pa.array([rows[k : k + ROWS].tobytes() for k in ranges], pa.binary())], ["task", "range", "raw"])
 
         some = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)
         done = some.coalesce(tasks).mapInArrow(run, "task long, range long, raw binary")
         if tasks > 1:
             done = done.groupBy("range").applyInPandas(_averaged, "range long, raw binary")
-        rows = model.rows.copy()
+        rows = model.rows
         for r in done.select("range", "raw").toLocalIterator():  # as many rows as the vectors have ranges
             got = np.frombuffer(r["raw"], np.float32).reshape(-1, SIZE + 3)
             rows[r["range"] : r["range"] + len(got)] = got
@@ -314,23 +342,26 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     model = fitted(texts, known, n)
     unit_mass = np.concatenate((often + 1.0, mass))[order]
     less = np.log10(unit_mass / (n + v + 1.0))
-    full = spark.sparkContext.broadcast(pickle.dumps((known, model.rows, less)))
+    by_unit = np.concatenate((often, np.zeros(KINDS, np.int64)))[order]
+    full = spark.sparkContext.broadcast(pickle.dumps((known, model.rows, less, by_unit)))
     least = np.log10(n + v + 1.0)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vectors, less = pickle.loads(full.value)
-        model = Model(own, vectors)
-        tables = model.tables()
+        own, vectors, less, counted = pickle.loads(full.value)
+        model, logged = Model(own, vectors), np.log10(counted + 1.0)
         for batch in pieces(batches, "text"):
             key, kind, offs = _words(batch)
             unit = own.unit(key, kind)
             context = _contexts(unit, offs, len(own.share))
-            logs = np.concatenate([model.logs(unit[k : k + TOKENS], context[k : k + TOKENS], tables) for k in range(0, len(unit), TOKENS)])
+            logs = np.concatenate([model.logs(unit[k : k + TOKENS], context[k : k + TOKENS]) for k in range(0, len(unit), TOKENS)])
             gain = np.add.reduceat(logs / np.log(10) - less[unit], offs[:-1])
-            at = np.minimum(np.searchsorted(own.keys, key), max(0, len(own.keys) - 1))
-            there = own.keys[at] == key if len(own.keys) else np.zeros(len(key), bool)
-            count = own.counts[at] if len(own.keys) else np.zeros(len(key), np.int64)
-            base = np.add.reduceat(np.where(there, np.log10(np.where(there, count, 0) + 1.0), 0.0), offs[:-1])
+            there, base = counted[unit] > 0, logged[unit]
+            few = np.flatnonzero(~there)  # most tokens are words with vectors, whose counts go by unit
+            at = np.minimum(np.searchsorted(own.keys, key[few]), max(0, len(own.keys) - 1))
+            hit = own.keys[at] == key[few] if len(own.keys) else np.zeros(len(few), bool)
+            there[few[hit]] = True
+            base[few[hit]] = np.log10(own.counts[at[hit]] + 1.0)
+            base = np.add.reduceat(base, offs[:-1])
             some = np.add.reduceat(there.astype(np.int64), offs[:-1])
             rest, ends = key[~there], np.cumsum(np.concatenate(([0], np.add.reduceat((~there).astype(np.int64), offs[:-1]))))
             tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest))

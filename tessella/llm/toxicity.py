@@ -24,13 +24,13 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 from .common import shingle_sets, smallest, texts_of
 
 #: Labelled texts of each class that the classifier is fitted on at most: those whose ids have the smallest hashes.
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 1000, 0: 1500}
 #: Bytes of a labelled text that may be fitted on at most (longer ones are not used as examples), and of all of them.
 EXAMPLE_BYTES, SAMPLE_BYTES = 1 << 18, 64 << 20
 #: What a word weighs without any gain.
 TELLING = 1e-3
-#: Examples of a block of the index, blocks that are scored before any is skipped, and neighbours that vote.
-BLOCK, FIRST, NEIGHBOURS = 32, 8, 15
+#: Examples of a block of the index, numbers of best blocks after which the others are looked at anew, and neighbours that vote.
+BLOCK, ROUNDS, NEIGHBOURS = 16, (12,), 15
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -77,27 +77,34 @@ class Model:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine and these, exactly. Ties go to the example that stands first.
 
-        The blocks that can reach most are scored first; of the others, those that can reach more than the k-th cosine
-        found. `without`: examples that don't count.
+        Blocks are scored in order of the most that they can reach, some at a time, while that is as much as the k-th
+        cosine found. `without`: examples that don't count.
         """
         size = len(self.toxic)
         entry = _spans(self.at[terms], self.at[terms + 1])
         each = np.repeat(weights, self.at[terms + 1] - self.at[terms])
         where = self.block[entry]
         bound = np.bincount(where, each * self.most[entry], (size + BLOCK - 1) // BLOCK)
-        score, todo = np.zeros(size), bound > 0
-        chosen = np.zeros(len(bound), bool)
-        chosen[np.argsort(-bound, kind="stable")[:FIRST]] = True
-        for _ in range(2):
-            some = (chosen & todo)[where]
-            low, high = self.first[entry[some]], self.first[entry[some] + 1]
-            posting = _spans(low, high)
-            score += np.bincount(self.who[posting], self.value[posting] * np.repeat(each[some], high - low), size)
-            todo &= ~chosen
+        order = np.argsort(-bound, kind="stable")
+        score, floor, done = np.zeros(size), 0.0, 0
+        for upto in (*ROUNDS, len(order)):
+            some = order[done:upto]
+            some = some[bound[some] > max(0.0, floor - 1e-12)]
+            if not len(some):
+                break
+            chosen = np.zeros(len(bound), bool)
+            chosen[some] = True
+            own = np.flatnonzero(chosen[where])
+            first = entry[own]
+            low = self.first[first]
+            n = self.first[first + 1] - low
+            total = np.cumsum(n)
+            posting = np.arange(total[-1]) + np.repeat(low - total + n, n)
+            score += np.bincount(self.who[posting], self.value[posting] * np.repeat(each[own], n), size)
             if without is not None:
                 score[without] = 0.0
             floor = np.partition(score, size - k)[size - k] if size > k else 0.0
-            chosen = bound > floor - 1e-12
+            done = upto
         best = np.flatnonzero((score > 1e-9) & (score >= floor - 1e-9))
         best = best[np.lexsort((best, -np.round(score[best], 12)))[:k]]
         return best, score[best]
@@ -175,11 +182,13 @@ def fit(examples: list[tuple[int, str, int]]) -> Model:
         df = np.maximum(1, np.bincount(some, minlength=len(ids)))
         pro = np.bincount(some, np.repeat(label[one], [len(vectors[i][0]) for i in np.flatnonzero(one)]), len(ids))
     weight = _weights(df, pro, int(label[one].sum()), int((1 - label[one]).sum()))
+    common = [t[np.lexsort((t, -tf * df[t]))[:1]].tolist() for t, tf in vectors]
     for i, (t, tf) in enumerate(vectors):
         w = (1 + np.log(tf)) * weight[t]
         vectors[i] = t, w / np.sqrt((w * w).sum()) if len(w) else w
-    # Examples whose heaviest words that others share are the same stand together.
-    heavy = [tuple(t[np.lexsort((t, -w * (df[t] > 1)))[:3]].tolist()) for t, w in vectors]
+    # Examples with the same most frequent word, which tells languages apart, stand together, and of these the ones whose
+    # heaviest words that others share are the same.
+    heavy = [(*frequent, *t[np.lexsort((t, -w * (df[t] > 1)))[:3]].tolist()) for (t, w), frequent in zip(vectors, common)]
     order = sorted(range(len(vectors)), key=lambda i: (heavy[i], examples[i][0], i))
     size = [len(vectors[i][0]) for i in order]
     terms = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
