@@ -31,7 +31,7 @@ LEAST, LEAST_SHARE, KINDS = 20, 4e-6, 256
 #: Frequent words whose counts every worker holds at most (16 bytes each); the others' are joined.
 HEAD = 500_000
 #: Size of the vectors, units of context, noise classes a step and noise units an example; examples of a step.
-SIZE, CONTEXT, NOISE_CLASSES, NOISE, BATCH = 16, 3, 24, 2, 1024
+SIZE, CONTEXT, NOISE_CLASSES, NOISE, BATCH = 16, 3, 16, 2, 2048
 #: Turns of training and averaging, and the learning rate of each.
 ROUNDS, RATES = 4, (0.1, 0.08, 0.06, 0.04)
 #: Training tokens of a task and turn at least, and for each unit: what a task sends on is then small beside what it reads.
