@@ -37,15 +37,20 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _uri(ident: int | None) -> str:
-    return f"<urn:x-page:{'' if ident is None else ident}>"
+def _uri(ident: int | None, place: str = "") -> str:
+    return f"<urn:x-page:{'' if ident is None else ident}{':' + place if place else ''}>"
 
 
-def record(ident: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """The bytes of a response, or of a revisit, whose HTTP head still states the payload's length."""
+def record(ident: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, place: str = "") -> bytes:
+    """The bytes of a response, or of a revisit, whose HTTP head still states the payload's length.
+
+    `place` makes the record's id unique where the page's is not; the page's stands in a field of its own.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_uri(ident)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_uri(ident, place)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    if ident is not None:
+        head.append(f"WARC-Page-ID: {ident}")
     if url is not None:
         head.append("WARC-Target-URI: " + _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
@@ -55,14 +60,24 @@ def record(ident: int | None, url: str | None, payload: bytes, refers_to: int |
 
 
 def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """A trained dictionary, or where too little is there to train one, the records themselves as raw content."""
-    if len(records) >= 64 and sum(map(len, records)) >= 8 * DICT_BYTES:
-        try:
-            return zstandard.train_dictionary(DICT_BYTES, records, k=256, d=8, dict_id=int.from_bytes(hashlib.sha1(records[0]).digest()[:3], "big") + 32768)
-        except zstandard.ZstdError:  # the records may be too alike to train on
-            pass
-    raw = b"".join(records)[:DICT_BYTES]
-    return zstandard.ZstdCompressionDict(raw.ljust(64, b"\n"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """A dictionary in Zstandard's format, trained on the records, whatever their number and size.
+
+    Few or short records are cut into pieces, and the pieces repeated, until there is enough to train on; the dictionary is
+    then smaller.
+    """
+    ident = int.from_bytes(hashlib.sha1(records[0]).digest()[:3], "big") + 32768
+    total = sum(map(len, records))
+    for size in (DICT_BYTES, 16 << 10, 4 << 10, 1 << 10):
+        for cut, times in ((0, 1), (256, 1), (64, 1), (64, 1 + 8192 // max(1, total)), (16, 1 + 65536 // max(1, total))):
+            pieces_of = [r[k : k + cut] for r in records for k in range(0, len(r), cut)] if cut else records
+            pieces_of = pieces_of * times
+            if len(pieces_of) < 16 or sum(map(len, pieces_of)) < 8 * size:
+                continue
+            try:
+                return zstandard.train_dictionary(size, pieces_of, k=256 if size > 4096 else 64, d=8, dict_id=ident)
+            except zstandard.ZstdError:  # too little, or too alike
+                continue
+    raise ValueError("no dictionary can be trained on these records")
 
 
 class Writer:
@@ -104,8 +119,7 @@ def read_file(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
         if magic != SKIPPABLE:
             raise ValueError(f"{uri} does not begin with a dictionary")
         raw = f.read(size)
-        kind = zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=kind))
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT))
         with io.BufferedReader(unpack.stream_reader(f, read_across_frames=True), 1 << 20) as lines:
             while lines.readline():
                 head = {}
@@ -121,9 +135,9 @@ def read_file(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
 def _write(batches: Iterator[pa.RecordBatch], root: str, level: int) -> Iterator[pa.RecordBatch]:
     part, done, out = TaskContext.get().partitionId(), [], None
     for batch in pieces(batches, "html"):
-        for ident, url, html, revisit, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "revisit", "refers_to"))):
+        for ident, url, html, revisit, refers, unique in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "revisit", "refers_to", "unique"))):
             out = out or Writer(f"{root}/{part:08d}-{len(done):04d}-{uuid.uuid4().hex}.warc.zst", level)
-            out.add(record(ident, url, (html or "").encode(), refers, revisit))
+            out.add(record(ident, url, (html or "").encode(), refers, revisit, "" if unique else f"{part}-{len(done)}-{out.count}"))
             if out.size >= FILE_BYTES:
                 done.append(out.close())
                 out = None
@@ -140,17 +154,23 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     revisits of it; so is a row without id if any other has one. The payload is the html in UTF-8, empty for null. Equal
     payloads meet as their digests alone: groups are counted before the shuffle, and the table of groups of two and more
     is joined, by broadcast where it is small. Each task writes what it reads; a file of a failed or repeated task is not
-    in the manifest. Without url, a record has no target. An empty table gives an empty manifest.
+    in the manifest. A record's id is that of its page, with the record's place where several rows have that id or it is
+    null; without url, a record has no target. Other columns are left out. An empty table gives an empty manifest.
     """
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    pages = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.withColumn("sha", F.sha1(payload))
     known = pages.where(F.octet_length(payload) >= least_revisit_bytes).select(F.col("sha").alias("same"), "page_id")
     groups = written(known.groupBy("same").agg(F.max("page_id").alias("main"), F.count("*").alias("rows")).where("rows > 1").select("same", "main"), "groups")
     root = new_path(pages.sparkSession, "warc")
     make_dir(root)
+    twice = written(pages.groupBy(F.col("page_id").alias("again")).agg(F.count("*").alias("rows")).where("rows > 1 AND again IS NOT NULL").select("again"), "twice")
+    if twice.limit(1).count():
+        pages = pages.join(twice, F.col("page_id") == F.col("again"), "left").withColumn("unique", F.col("page_id").isNotNull() & F.col("again").isNull())
+    else:
+        pages = pages.withColumn("unique", F.col("page_id").isNotNull())
     revisit = F.col("main").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("main"))
-    rows = pages.join(groups, F.col("sha") == F.col("same"), "left").select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("main")).alias("refers_to"))
+    rows = pages.join(groups, F.col("sha") == F.col("same"), "left").select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("main")).alias("refers_to"), "unique")
     return written(rows.mapInArrow(partial(_write, root=root, level=level), "path string, records long"), "manifest")
 
 
@@ -175,7 +195,8 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
                 stated, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
                 if kind == "response" and (len(body) != length or digest(body) != stated):
                     raise ValueError(f"{path}: {head['WARC-Record-ID']} is damaged")
-                rows.append((_ident(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), length, stated, kind, _ident(head.get("WARC-Refers-To")), body if with_payload and kind == "response" else None))
+                page = head.get("WARC-Page-ID")
+                rows.append((int(page) if page else None, head.get("WARC-Target-URI"), length, stated, kind, _ident(head.get("WARC-Refers-To")), body if with_payload and kind == "response" else None))
                 held += len(body) * with_payload + 200
                 if held > 4 << 20:
                     yield out(rows)
@@ -185,6 +206,9 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of each record; digests of responses are computed anew and must agree."""
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of each record; digests of responses are computed anew and must agree.
+
+    page_id and url are null where a record has none, payload for a revisit; an empty manifest gives no record.
+    """
     files = [(r["path"],) for r in manifest.select("path").collect()]  # a row a file
     return dealt_files(spark, files, "path string").mapInArrow(partial(_read, with_payload=with_payload), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")

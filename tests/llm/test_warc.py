@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import re
 import struct
 
 import pytest
@@ -48,7 +49,23 @@ def test_trained_dictionary_helps():
     assert words.dict_id() >= 32768
     plain, better = zstandard.ZstdCompressor(), zstandard.ZstdCompressor(dict_data=words)
     assert sum(len(better.compress(r)) for r in records) < 0.7 * sum(len(plain.compress(r)) for r in records)
-    assert warc.build_dictionary([]).as_bytes()
+
+
+@pytest.mark.parametrize("payloads", [[b""], [b""] * 63, [b"a" * 100_000], [b"x"] * 2, [bytes(range(256)) * 40] * 5, [b"one", b"two"], [b"\x00" * 5_000_000], [b"same page"] * 1000])
+def test_dictionaries_of_few_records_are_in_the_format(payloads):
+    records = [warc.record(i, None, p, None, False) for i, p in enumerate(payloads)]
+    words = warc.build_dictionary(records)
+    assert words.as_bytes()[:4] == b"\x37\xa4\x30\xec" and words.dict_id() >= 32768
+    for r in records:
+        assert zstandard.ZstdDecompressor(dict_data=words).decompress(zstandard.ZstdCompressor(dict_data=words).compress(r)) == r
+
+
+def test_record_ids_are_unique(spark):
+    rows = [(1, "http://a", "same"), (1, "http://a", "same"), (1, "http://b", "other"), (None, None, "x"), (None, None, "x"), (2, "http://c", "same")]
+    manifest, got = write(spark, rows)
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", x)[1] for r in manifest.collect() for x in frames(r["path"].removeprefix("file://"))[1]]
+    assert len(set(ids)) == len(rows) and b"<urn:x-page:2>" in ids
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in got) == [(0, "response", 0)] * 2 + [(1, "response", 0)] + [(1, "revisit", 2)] * 2 + [(2, "response", 0)]
 
 
 def test_revisits(spark):
