@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,14 +90,27 @@ def capped(df: DataFrame, accepted: Column, order: str, most: int, by: list[str]
     return running_sum(df, accepted.cast("long"), order, "_n").withColumn("over_cap", accepted & (F.col("_n") > most)).drop("_n")
 
 
+#: Rows of a range of running_sum.
+RANGE_ROWS = 1_000_000
+
+
 def running_sum(df: DataFrame, value: Column, order: str, name: str) -> DataFrame:
-    """A running sum in the order of a column with no equal values, over ranges of rows instead of one task."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
+    """A running sum in the order of a numeric column with no equal values, over ranges of about RANGE_ROWS rows instead of one task.
+
+    Ranges lie between quantiles, so that they hold as many rows wherever the values lie, and their number grows with the rows.
+    """
+    n = df.count()
+    if not n:
         return df.withColumn(name, F.lit(0).cast("long"))
-    width = max(1, (int(high) - int(low)) // 256 + 1)
-    held = df.withColumn("_range", F.floor((F.col(order) - F.lit(low)) / width)).withColumn("_value", value)
-    sums = held.groupBy("_range").agg(F.sum("_value").alias("_sum"))  # 256 rows at most
+    parts = -(-n // RANGE_ROWS)
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
+    bounds = np.unique(np.array(cuts, float))
+
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, x.to_numpy(), "left"))
+
+    held = df.withColumn("_range", F.pandas_udf(place, "int")(F.col(order).cast("double"))).withColumn("_value", value)
+    sums = held.groupBy("_range").agg(F.sum("_value").alias("_sum"))  # a row a range
     before = sums.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.sum("_value").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return held.withColumn("_own", own).join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_value", "_own", "_r", "_before")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions.bills import bill_key_norm, bill_url_part, identity_key
 from tessella.functions.urls import normalize_url
 
+from .work import written
+
 STATUSES = ("discovered", "rejected", "analyzed", "pending", "approved", "error")
 
 
@@ -41,20 +43,43 @@ def not_known(candidates: DataFrame, urls: DataFrame, bills: DataFrame, url: str
     return left.drop("_norm", "_bill")
 
 
-def within_run(candidates: DataFrame, order: str, url: str = "url", state: str = "state", number: str = "bill_number") -> DataFrame:
-    """`suppressed` for each candidate: whether its URL or its bill stands in an earlier row.
+def first_of_both(rows: DataFrame, order: str, *keys: Column) -> DataFrame:
+    """`suppressed` for each row, as a pass in order would say that registers the keys of the rows it lets in and holds up those with a registered key.
 
-    Each key's first row counts whether it is itself suppressed or not; that is one pass over each key. A chain in which a
-    suppressed row would have been the only one to show a key is thus kept out as well, which the exact sequential rule
-    would let in.
+    A null key meets nothing; `order` has no equal values. Each round lets in the rows that are the first undecided ones of
+    all their keys, and holds up those that share a key with one let in; so the first undecided row is always decided,
+    and rows that share no keys are decided side by side. Rounds grow with the longest chain of rows that decide each other.
     """
-    c = candidates.withColumn("_norm", F.nullif(normalize_url(F.col(url)), F.lit(""))).withColumn("_bill", identity_key(F.col(state), F.col(number)))
-    own = lambda key: F.coalesce(F.col(key), F.concat(F.lit("#"), F.col(order).cast("string")))  # rows without a key don't meet
-    first_url = F.min(order).over(Window.partitionBy(own("_norm")))
-    first_bill = F.min(order).over(Window.partitionBy(own("_bill")))
-    c = c.withColumn("_u", first_url).withColumn("_b", first_bill)
-    later = (F.col("_norm").isNotNull() & (F.col("_u") < F.col(order))) | (F.col("_bill").isNotNull() & (F.col("_b") < F.col(order)))
-    return c.withColumn("suppressed", later).drop("_norm", "_bill", "_u", "_b")
+    names = [f"_k{i}" for i in range(len(keys))]
+    left = written(rows.select(F.col(order).alias("_at"), *(k.alias(n) for k, n in zip(keys, names))), "undecided")
+    found = None
+    while left.limit(1).count():
+        marked = left
+        for n in names:
+            least = left.where(F.col(n).isNotNull()).groupBy(F.col(n).alias("_key")).agg(F.min("_at").alias("_least"))
+            marked = marked.join(least, F.col(n) == F.col("_key"), "left").withColumn(f"{n}_first", F.coalesce(F.col("_least") == F.col("_at"), F.lit(True))).drop("_key", "_least")
+        let_in = F.lit(True)
+        for n in names:
+            let_in = let_in & F.col(f"{n}_first")
+        marked = written(marked.select("_at", *names, let_in.alias("_in")), "marked")
+        held = marked.where("NOT _in")
+        touched = F.lit(False)
+        for n in names:
+            key = marked.where("_in").select(F.col(n).alias("_key")).where("_key IS NOT NULL").distinct().withColumn("_hit", F.lit(True))
+            held = held.join(key, F.col(n) == F.col("_key"), "left").withColumn(f"{n}_hit", F.coalesce("_hit", F.lit(False))).drop("_key", "_hit")
+            touched = touched | F.col(f"{n}_hit")
+        held = written(held.select("_at", *names, touched.alias("_out")), "held")
+        decided = marked.where("_in").select("_at", F.lit(False).alias("suppressed")).union(held.where("_out").select("_at", F.lit(True).alias("suppressed")))
+        found = decided if found is None else found.union(decided)
+        left = held.where("NOT _out").select("_at", *names)
+    if found is None:
+        return rows.withColumn("suppressed", F.lit(False))
+    return rows.join(found, F.col(order) == F.col("_at")).drop("_at")
+
+
+def within_run(candidates: DataFrame, order: str, url: str = "url", state: str = "state", number: str = "bill_number") -> DataFrame:
+    """`suppressed` for each candidate: whether its URL or its bill stands in an earlier row that is not suppressed itself."""
+    return first_of_both(candidates, order, F.nullif(normalize_url(F.col(url)), F.lit("")), identity_key(F.col(state), F.col(number)))
 
 
 def process_reason(batch: DataFrame, seen: DataFrame) -> DataFrame:

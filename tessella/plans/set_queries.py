@@ -35,7 +35,16 @@ def j1(t: Tables) -> DataFrame:
     return identity.not_known(t("in_batch"), *_known(t)).select("ord")
 
 
-@query("j2_within_run", f"WITH {BATCH} SELECT ord, min(ord) OVER (PARTITION BY norm) < ord OR coalesce(min(ord) OVER (PARTITION BY bill) < ord AND bill IS NOT NULL, false) AS suppressed FROM b")
+def folded(rows: str, order: str, x: str, y: str) -> str:
+    """The sequential rule: f(own, suppressed), a row after another, with the keys of those that were let in."""
+    hit = f"(coalesce(list_contains(f.xs, n.{x}), false) OR coalesce(list_contains(f.ys, n.{y}), false))"
+    kept = lambda held, key: f"CASE WHEN {hit} THEN f.{held} ELSE list_append(f.{held}, n.{key}) END"
+    return f"""n AS (SELECT *, row_number() OVER (ORDER BY {order}) AS i FROM {rows}), f AS (
+      SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS own, CAST([] AS VARCHAR[]) AS xs, CAST([] AS VARCHAR[]) AS ys, false AS suppressed
+      UNION ALL SELECT n.i, n.{order}, {kept('xs', x)}, {kept('ys', y)}, {hit} FROM f JOIN n ON n.i = f.i + 1)"""
+
+
+@query("j2_within_run", f"WITH RECURSIVE {BATCH}, {folded('b', 'ord', 'norm', 'bill')} SELECT own AS ord, suppressed FROM f WHERE i > 0")
 def j2(t: Tables) -> DataFrame:
     return identity.within_run(t("in_batch"), "ord").select("ord", "suppressed")
 
@@ -248,9 +257,9 @@ def ag7(t: Tables) -> DataFrame:
     return t("lineitem").select(F.expr("stack(2, 'flag', l_returnflag, 'status', l_linestatus) AS (field, value)")).groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
-@query("ag8_year_coverage", "WITH y AS (SELECT c_nationkey AS state, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0 GROUP BY 1, 2) SELECT state, array_to_string(list_sort(list(y)), ',') AS covered, array_to_string(list_filter(range(1992, 1999), lambda v: NOT list_contains(list(y), v)), ',') AS missing FROM y GROUP BY state")
+@query("ag8_year_coverage", "WITH y AS (SELECT c_nationkey AS state, year(o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT state, array_to_string(list_sort(list(y)), ',') AS covered, array_to_string(list_filter(range(1992, 1999), lambda v: NOT list_contains(list(y), v)), ',') AS missing FROM y GROUP BY state")
 def ag8(t: Tables) -> DataFrame:
-    o = t("orders").where("o_orderkey % 50 = 0").join(t("customer"), C("o_custkey") == C("c_custkey")).select(C("c_nationkey").alias("state"), F.year("o_orderdate").alias("y"))
+    o = t("orders").join(t("customer"), C("o_custkey") == C("c_custkey")).select(C("c_nationkey").alias("state"), F.year("o_orderdate").alias("y"))
     g = o.groupBy("state").agg(F.array_sort(F.collect_set("y")).alias("have"))
     every = F.sequence(F.lit(1992), F.lit(1998))
     return g.select("state", F.array_join(C("have").cast("array<string>"), ",").alias("covered"), F.array_join(F.array_except(every, "have").cast("array<string>"), ",").alias("missing"))
@@ -447,10 +456,10 @@ def st1(t: Tables) -> DataFrame:
     return one(0, t("pages"), "page_id").unionByName(one(1, t("in_batch"), "ord")).unionByName(one(2, t("in_records"), "id"))
 
 
-@query("st2_manifest_union", "SELECT id FROM (SELECT id, min(id) OVER (PARTITION BY source_id) AS a, min(id) OVER (PARTITION BY lower(rtrim(url, '/')), content_type) AS b FROM in_sources) WHERE a = id AND b = id")
+@query("st2_manifest_union", f"WITH RECURSIVE k AS (SELECT id, source_id, lower(rtrim(url, '/')) || ' ' || content_type AS place FROM in_sources), {folded('k', 'id', 'source_id', 'place')} SELECT own AS id FROM f WHERE i > 0 AND NOT suppressed")
 def st2(t: Tables) -> DataFrame:
-    s = t("in_sources").select("id", F.min("id").over(Window.partitionBy("source_id")).alias("a"), F.min("id").over(Window.partitionBy(F.lower(F.regexp_replace("url", "/+$", "")), "content_type")).alias("b"))
-    return s.where("a = id AND b = id").select("id")
+    place = F.concat_ws(" ", F.lower(F.regexp_replace("url", "/+$", "")), "content_type")
+    return identity.first_of_both(t("in_sources"), "id", C("source_id"), place).where("NOT suppressed").select("id")
 
 
 @query("st3_added_removed", "SELECT 'added' AS side, id FROM (SELECT id FROM in_new EXCEPT SELECT id FROM in_old) UNION ALL SELECT 'removed', id FROM (SELECT id FROM in_old EXCEPT SELECT id FROM in_new)")
@@ -467,10 +476,9 @@ def st4(t: Tables) -> DataFrame:
 SIGNIFICANT = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9'']+'), lambda w: length(w) > 3 AND w NOT IN ({STOP})))"
 
 
-@query("st5_word_overlap", f"WITH w AS (SELECT doc_id, {SIGNIFICANT.format('title')} AS a, {SIGNIFICANT.format('substr(substr(text, 1, 400), 100, 300)')} AS b FROM in_docs) SELECT doc_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) * 1.0 / len(a), 6) END AS overlap FROM w")
+@query("st5_word_overlap", f"WITH w AS (SELECT doc_id, {SIGNIFICANT.format('title')} AS a, {SIGNIFICANT.format('text')} AS b FROM in_docs) SELECT doc_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) * 1.0 / len(a), 6) END AS overlap FROM w")
 def st5(t: Tables) -> DataFrame:
-    half = F.substring("text", 1, 400)
-    return t("in_docs").select("doc_id", F.round(text.title_overlap(C("title"), F.substring(half, 100, 300)), 6).alias("overlap"))
+    return t("in_docs").select("doc_id", F.round(text.title_overlap(C("title"), C("text")), 6).alias("overlap"))
 
 
 @query("st6_missing_states", "SELECT n_name AS state FROM nation WHERE n_name NOT IN (SELECT state FROM in_sources WHERE content_type = 'executive_order')")

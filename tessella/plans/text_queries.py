@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import bills, coerce, matching, places, text, urls
-from tessella.operators import adjudicate, grounding
+from tessella.operators import adjudicate, grounding, work
 from tessella.sources import fetching, html, payloads, stores
 from tessella.streaming import incremental
 
@@ -20,10 +18,10 @@ HOST = r"regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^
 QUOTE = "CASE doc_id % 5 WHEN 0 THEN upper(substr(text, 11, 90)) WHEN 1 THEN concat(substr(text, 1, 70), ' and then something else that is not there at all') WHEN 2 THEN 'nowhere' WHEN 3 THEN '' ELSE concat('“', substr(text, 30, 40), '”') END"
 
 
-@query("g1_title_overlap", f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(title || ' zebra'), '[a-z0-9'']+'), lambda w: length(w) > 3 AND w NOT IN ({STOP}))) AS a, regexp_extract_all(lower(substr(text, 40, 2000)), '[a-z0-9'']+') AS b FROM in_docs)
+@query("g1_title_overlap", f"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(title || ' zebra'), '[a-z0-9'']+'), lambda w: length(w) > 3 AND w NOT IN ({STOP}))) AS a, regexp_extract_all(lower(text), '[a-z0-9'']+') AS b FROM in_docs)
 SELECT doc_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE round(len(list_filter(a, lambda x: list_contains(b, x))) * 1.0 / len(a), 9) END AS overlap FROM w""")
 def g1(t: Tables) -> DataFrame:
-    return t("in_docs").select("doc_id", F.round(text.title_overlap(F.concat("title", F.lit(" zebra")), F.substring("text", 40, 2000)), 9).alias("overlap"))
+    return t("in_docs").select("doc_id", F.round(text.title_overlap(F.concat("title", F.lit(" zebra")), C("text")), 9).alias("overlap"))
 
 
 NUMBERED = "CASE id % 8 WHEN 0 THEN concat('see H. B. 0', CAST(id % 97 AS varchar(20)), ' here') WHEN 1 THEN concat('house hr', CAST(id % 97 AS varchar(20))) WHEN 2 THEN concat('S.', CAST(id % 97 AS varchar(20)), ' x') WHEN 4 THEN concat(CAST(id % 97 AS varchar(20)), ' was read IN ASSEMBLY') WHEN 5 THEN concat('Administrative Order No. ', CAST(id % 97 AS varchar(20))) ELSE 'no number' END"
@@ -96,7 +94,7 @@ def g8(t: Tables) -> DataFrame:
 def g9(t: Tables) -> DataFrame:
     d = t("documents").where("instr(substr(text, 21), ' ') > 1").where(F.substring("text", 1, 60).rlike("^[A-Za-z]+ [a-z ]+$"))
     first = F.trim(F.expr("substr(text, 1, instr(substr(text, 21), ' ') + 19)"))
-    return d.select("doc_id", matching.source_span(F.upper(first), F.substring("text", 1, 200)).alias("span"))
+    return d.select("doc_id", matching.source_span(F.upper(first), C("text")).alias("span"))
 
 
 @query("g10_repaired_quotes")
@@ -110,7 +108,7 @@ def g10(t: Tables) -> DataFrame:
 @query("g12_quote_establishes", "WITH q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'The office shall establish a program' WHEN 1 THEN 'currently investing in training' WHEN 2 THEN 'an Annual Report is due' ELSE title END AS q FROM in_docs) SELECT doc_id, regexp_matches(lower(q), 'shall (establish|create|implement|develop|submit|maintain|report|appoint)|is created|are created|must develop|directs the|annual report') AS establishes, regexp_matches(lower(q), 'has developed|has launched|currently|we are|created a new unit|investing in|expanding funding') AS mentions FROM q")
 def g12(t: Tables) -> DataFrame:
     q = F.when(C("doc_id") % 4 == 0, "The office shall establish a program").when(C("doc_id") % 4 == 1, "currently investing in training").when(C("doc_id") % 4 == 2, "an Annual Report is due").otherwise(C("title"))
-    return t("in_docs").select("doc_id", q.rlike(adjudicate.OBLIGES).alias("establishes"), q.rlike(adjudicate.MENTIONS).alias("mentions"))
+    return t("in_docs").select("doc_id", adjudicate.says(q, adjudicate.PHRASES.obliges).alias("establishes"), adjudicate.says(q, adjudicate.PHRASES.recounts).alias("mentions"))
 
 
 def _cases(t: Tables) -> DataFrame:
@@ -163,7 +161,7 @@ def j9(t: Tables) -> DataFrame:
     name = lambda c: F.lower(F.trim(bills.without_middle_initial(F.trim(F.substring_index(bills.strip_title(c), ",", 1)))))
     s = t("in_sponsors").select(name(F.substring_index("sponsors", ",", 1)).alias("name")).distinct()
     s = s.select(F.xxhash64("name").alias("id"), F.substring_index("name", " - ", 1).alias("name")).withColumn("key", bills.roster_key(C("name"))).dropDuplicates(["id"])
-    roster = t("customer").where("c_custkey % 10 = 0").select(F.lower(F.concat(F.lit("Anne "), "c_mktsegment", (C("c_custkey") % 50).cast("string"))).alias("roster_name"), "c_custkey")
+    roster = t("customer").select(F.lower(F.concat(F.lit("Anne "), "c_mktsegment", (C("c_custkey") % 50).cast("string"))).alias("roster_name"), "c_custkey")
     roster = roster.groupBy("roster_name").agg(F.min("c_custkey").alias("roster_id")).withColumn("roster_key", bills.roster_key(C("roster_name")))
     return matching.match_names(s, roster).join(s.select("id", "name"), "id").select("name", "roster_id", "score")
 
@@ -175,10 +173,10 @@ def g16(t: Tables) -> DataFrame:
     return pairs.select("n_nationkey", matching.believed_score("a", "b", F.regexp_replace("a", " ", ""), F.regexp_replace("b", " ", "")).alias("score"))
 
 
-INTRO = "CASE c_custkey % 4 WHEN 0 THEN concat('Ann is a citizen of the ', initcap(c_mktsegment), ' Nation and a lawyer.') WHEN 1 THEN 'She is a member of the Blue River Band, of Oneida descent, born in the north and raised by her aunts there.' WHEN 2 THEN 'A Native American politician.' ELSE 'Nothing to see.' END"
+INTRO = "CASE c_custkey % 4 WHEN 0 THEN concat('Ann is a citizen of the ', initcap(c_mktsegment), ' Nation and a lawyer.') WHEN 1 THEN 'She is a member of the Blue River Band, of Oneida descent, born in the north and raised by her aunts there.' WHEN 2 THEN 'A Native American politician.' ELSE 'Bo is a citizen of the Cree and Mohawk tribes, and farms the land by the river that the family has held since long ago.' END"
 
 
-@query("g17_name_extraction", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) WHEN 1 THEN 'Blue River / Oneida' ELSE '' END AS names, CASE c_custkey % 4 WHEN 0 THEN 'intro_too_short' WHEN 1 THEN '' ELSE 'generic_only' END AS refused FROM customer")
+@query("g17_name_extraction", "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) WHEN 1 THEN 'Blue River / Oneida' WHEN 3 THEN 'Cree / Mohawk' ELSE '' END AS names, CASE c_custkey % 4 WHEN 0 THEN 'intro_too_short' WHEN 2 THEN 'generic_only' ELSE '' END AS refused FROM customer")
 def g17(t: Tables) -> DataFrame:
     found = grounding.extracted(F.expr(INTRO), ["Oneida", "Blue River", "Band"])
     return t("customer").select(C("c_custkey").alias("id"), F.array_join(found, " / ").alias("names"), grounding.proposal(F.array_join(found, " / "), F.expr(INTRO)).alias("refused"))
@@ -209,7 +207,7 @@ def g20(t: Tables) -> DataFrame:
 
 @query("g21_annotated_sponsors")
 def g21(t: Tables) -> DataFrame:
-    roster = t("customer").where("c_custkey % 4 = 0").select(bills.roster_key(F.concat(F.lit("Ann "), "c_mktsegment", (C("c_custkey") % 50).cast("string"))).alias("rkey")).distinct().withColumn("ethnicity", F.lit("Oneida"))
+    roster = t("customer").select(bills.roster_key(F.concat(F.lit("Ann "), "c_mktsegment", (C("c_custkey") % 50).cast("string"))).alias("rkey")).distinct().withColumn("ethnicity", F.lit("Oneida"))
     each = t("in_sponsors").select("id", "offices", F.posexplode(bills.split_sponsors(C("sponsors"))).alias("i", "line")).select("id", "i", "offices", bills.sponsor_parts(C("line")).alias("p"))
     j = each.join(roster, bills.roster_key(bills.without_middle_initial(bills.strip_title(C("p.name")))) == C("rkey"), "left")
     name = F.when(C("ethnicity").isNotNull(), F.concat("p.name", F.lit(" ("), "ethnicity", F.lit(")"))).otherwise(C("p.name"))
@@ -340,9 +338,9 @@ def src6(t: Tables) -> DataFrame:
     return first.select("q", "page_id", urls.search_url(F.lit("https://x.gov/s?q={query}"), C("q")).alias("via"))
 
 
-@query("src7_feed_items", "SELECT o_orderkey AS feed_id, CASE o_orderkey % 3 WHEN 0 THEN 'https://x/' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'https://y/' || CAST(o_orderkey AS VARCHAR) ELSE 'guid-' || CAST(o_orderkey AS VARCHAR) END AS url, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE o_orderpriority END AS snippet FROM orders WHERE o_orderkey % 20 = 0")
+@query("src7_feed_items", "SELECT o_orderkey AS feed_id, CASE o_orderkey % 3 WHEN 0 THEN 'https://x/' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'https://y/' || CAST(o_orderkey AS VARCHAR) ELSE 'guid-' || CAST(o_orderkey AS VARCHAR) END AS url, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE o_orderpriority END AS snippet FROM orders")
 def src7(t: Tables) -> DataFrame:
-    o = t("orders").where("o_orderkey % 20 = 0")
+    o = t("orders")
     item = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN concat('<rss><channel><item><title>', o_orderpriority, '</title><link>https://x/', o_orderkey, '</link></item></channel></rss>')
       WHEN 1 THEN concat('<feed><entry><title>', o_orderpriority, '</title><link href="https://y/', o_orderkey, '"/><summary>', o_orderstatus, '</summary></entry></feed>')
       ELSE concat('<rss><channel><item><title>', o_orderpriority, '</title><guid>guid-', o_orderkey, '</guid></item></channel></rss>') END""")
@@ -432,7 +430,7 @@ def p15(t: Tables) -> DataFrame:
 
 @query("p18_table_links")
 def p18(t: Tables) -> DataFrame:
-    rows = t("pages").select("page_id", F.concat(F.lit("<table><tr><td>2021-"), F.lpad((C("page_id") % 100).cast("string"), 2, "0"), F.lit("*</td><td> </td><td>Title</td></tr></table>"), F.substring("html", 1, 3000)).alias("html"))
+    rows = t("pages").select("page_id", F.concat(F.lit("<table><tr><td>2021-"), F.lpad((C("page_id") % 100).cast("string"), 2, "0"), F.lit("*</td><td> </td><td>Title</td></tr></table>"), F.coalesce("html", F.lit(""))).alias("html"))
     return html.table_links(rows, "https://x.gov/{number}.pdf").select("page_id", "link", "context")
 
 
@@ -446,10 +444,7 @@ def src13(t: Tables) -> DataFrame:
 
 
 def _folder(t: Tables, name: str) -> str:
-    import uuid
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return work.folder(t.spark, name)
 
 
 @query("snk3_move_log", "SELECT 'to_live' AS direction, url, page_id FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'to_pending', url, page_id FROM pages WHERE page_id % 3 = 0")
@@ -532,11 +527,11 @@ def stm3(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{at}/decided").groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("stm2_interval_runs", "SELECT count(*) AS n, 1 AS versions FROM pages")
+@query("stm2_interval_runs", "SELECT count(*) AS n, 1 AS versions FROM in_batch")
 def stm2(t: Tables) -> DataFrame:
     """Runs at an interval, one at a time, until nothing is left to do."""
     at = _folder(t, "interval")
-    b = t("in_batch").where("ord < 1000000000")
+    b = t("in_batch")
     b.coalesce(1).write.parquet(f"{at}/in")
     running = incremental.maintain_seen(incremental.arrivals(t.spark, f"{at}/in", b.schema), f"{at}/state", f"{at}/decided", f"{at}/checkpoint", interval="1 second")
     running.processAllAvailable()

@@ -38,13 +38,14 @@ def read_through(requests: DataFrame, valid: DataFrame, remote: DataFrame, budge
 def robots_allow(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """urls with `allowed`: no rule of the host's readable robots file forbids a prefix of the path; the longest rule that fits decides, allow before disallow. Hosts without readable rules are unrestricted.
 
-    rules: (host, prefix, allow). Prefixes of a path are few, so they are joined as equal keys.
+    rules: (host, prefix, allow). A path is cut to each length that a rule of its host has, so rules meet it by equal keys.
     """
-    u = urls.withColumn("_host", host(F.col(url))).withColumn("_path", path(F.col(url))).withColumn("_row", F.xxhash64(url))
-    each = u.select("_row", "_host", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("_path"), F.lit(2000)))), lambda n: F.substring(F.col("_path"), F.lit(1), n))).alias("_prefix")).distinct()
-    fit = each.join(rules.select(F.col("host").alias("_h"), "prefix", "allow"), (F.col("_host") == F.col("_h")) & (F.col("_prefix") == F.col("prefix")))
-    said = fit.groupBy("_row").agg(F.max_by("allow", F.struct(F.length("prefix").alias("n"), "allow")).alias("_said"))
-    return u.join(said, "_row", "left").withColumn("allowed", F.coalesce("_said", F.lit(True))).drop("_host", "_path", "_row", "_said")
+    u = urls.withColumn("_host", host(F.col(url))).withColumn("_path", path(F.col(url)))
+    r = rules.select(F.col("host").alias("_h"), "prefix", "allow", F.length("prefix").alias("_n"))
+    each = u.select("_host", "_path").distinct().join(r.select("_h", "_n").distinct(), (F.col("_host") == F.col("_h")) & (F.length("_path") >= F.col("_n"))).select("_host", "_path", F.expr("substring(_path, 1, _n)").alias("_prefix"))
+    fit = each.join(r, (F.col("_host") == F.col("_h")) & (F.col("_prefix") == F.col("prefix")))
+    said = fit.groupBy(F.col("_host").alias("_of"), F.col("_path").alias("_at")).agg(F.max_by("allow", F.struct("_n", "allow")).alias("_said"))
+    return u.join(said, (F.col("_host") == F.col("_of")) & (F.col("_path") == F.col("_at")), "left").withColumn("allowed", F.coalesce("_said", F.lit(True))).drop("_host", "_path", "_of", "_at", "_said")
 
 
 def schedule(urls: DataFrame, order: str, delay: float = 2.0, url: str = "url") -> DataFrame:

@@ -180,3 +180,60 @@ def test_urls_like_the_standard_library(spark):
     parts = [["http://", "https://", "HTTPS://"], ["a.gov", "WWW.B.Gov", "www.www.c.org", "justice.gov", "x.justice.gov:8080"], ["", "/", "/a", "/a/b/", "/archives/opa/1/", "/archives/", "/A//"], ["", "?", "?q=1", "?a=b&c=/d"], ["", "#", "#top?x=/"]]
     cases = ["".join(rng.choice(p) for p in parts) for _ in range(200)]
     assert one(spark, cases, urls.normalize_url) == [plain(c) for c in cases]
+
+
+def test_registration_in_order(spark):
+    """A row that is held up holds up no other: as a pass over the rows says."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, *(f"u{k}" for k in range(40))]), rng.choice([None, *(f"b{k}" for k in range(40))])) for i in rng.sample(range(1000), 150)]
+    rows += [(2000, "x1", "y1"), (2001, "x1", "y2"), (2002, "x3", "y2")]
+    df = spark.createDataFrame(rows, "o long, u string, b string")
+    seen, want = set(), {}
+    for o, u, b in sorted(rows):
+        keys = {("u", u), ("b", b)} - {("u", None), ("b", None)}
+        want[o] = bool(keys & seen)
+        if not want[o]:
+            seen |= keys
+    got = {r["o"]: r["suppressed"] for r in identity.first_of_both(df, "o", F.col("u"), F.col("b")).collect()}
+    assert got == want and not got[2002]
+    assert identity.first_of_both(df.limit(0), "o", F.col("u"), F.col("b")).count() == 0
+
+
+def test_names_are_matched_as_by_all_pairs(spark):
+    rng = random.Random(5)
+    first, last = ["kristina", "christina", "ann", "anne", "jo", "al", "running", "maria"], ["mcdonaldson", "macdonaldson", "wolf", "wolfe", "peltola", "lee", "smith-jones"]
+    spoil = lambda w: w[: (k := rng.randrange(len(w)))] + rng.choice(["", "x", w[k]]) + w[k + 1 :] if rng.random() < 0.4 else w
+    make = lambda: " ".join([spoil(rng.choice(first)), *rng.choice([[], ["b"]]), spoil(rng.choice(last))]).strip()
+    names, roster = [(i, make()) for i in range(120)] + [(500, "kristina mcdonaldson"), (501, ""), (502, "x")], [(i, make()) for i in range(100)] + [(900, "christina macdonaldson"), (901, "")]
+    key = lambda n: n.replace(" ", "")
+    got = {r["id"]: (r["roster_id"], r["score"]) for r in matching.match_names(spark.createDataFrame([(i, n, key(n)) for i, n in names], "id long, name string, key string"), spark.createDataFrame([(i, n, key(n)) for i, n in roster], "roster_id long, roster_name string, roster_key string")).collect()}
+    want = {}
+    for i, a in names:
+        scored = [(-matching.name_score(a, b), j) for j, b in roster if matching.confident(a, b, key(a), key(b))]
+        if scored:
+            want[i] = (min(scored)[1], -min(scored)[0])
+    assert got == want and 500 in got
+
+
+def test_normal_form_is_that_of_single_texts(spark):
+    texts = ["", "  A  b\n", "re-\n port", "“q” ‘x’ – —", "ﬁne ½", "ÀÉ x​y", "tab\tnew\r\nline", "İ", None, "plain ASCII -\nword", "日本　語"]
+    got = one(spark, texts, matching.normalized)
+    assert got == [matching.plain(t) for t in texts]
+
+
+def test_running_sum_between_quantiles(spark, monkeypatch):
+    """One value far away does not put the others into one range."""
+    monkeypatch.setattr(changes, "RANGE_ROWS", 10)
+    values = [*range(95), 10**15]
+    df = spark.createDataFrame([(v,) for v in values], "o long")
+    got = {r["o"]: r["n"] for r in changes.running_sum(df, F.col("o") % 3, "o", "n").collect()}
+    total, want = 0, {}
+    for v in values:
+        total += v % 3
+        want[v] = total
+    assert got == want
+
+
+def test_states_of_districts(spark):
+    texts = ["Texas: the Western District of Washington", "District of Alaska and Ohio", "in Ohio, then Utah", "Southern District of West Virginia", "district of nowhere"]
+    assert one(spark, texts, places.state_in_text) == ["WA", "AK", "OH", "WV", None]

@@ -105,3 +105,16 @@ def test_read_through_and_robots(spark):
     pages = spark.createDataFrame([("https://a.gov/x/y",), ("https://a.gov/x/open/1",), ("https://b.gov/x",), ("https://a.gov",)], "url string")
     rules = spark.createDataFrame([("a.gov", "/x", False), ("a.gov", "/x/open", True)], "host string, prefix string, allow boolean")
     assert {r["url"]: r["allowed"] for r in fetching.robots_allow(pages, rules).collect()} == {"https://a.gov/x/y": False, "https://a.gov/x/open/1": True, "https://b.gov/x": True, "https://a.gov": True}
+
+
+def test_records_around_links():
+    """The widest record that is short and has few links, within some steps; none in the frame."""
+    row = "<li>Order 1 <span><a href='/1'>one</a></span> signed</li>"
+    assert [x[2:] for x in html.page_links("https://a.gov/", f"<body class='menu'><ul>{row}</ul></body>")] == [("Order 1 one signed", False)]
+    assert [x[2:] for x in html.page_links("https://a.gov/", f"<div id='side-Menu'><ul>{row}</ul></div><footer>{row}</footer>")] == [("", True), ("", True)]
+    assert html.page_links("https://a.gov/", f"<section>{'long text ' * 50}<div>{row}</div></section>")[0][2] == "Order 1 one signed"
+    many = "".join(f"<a href='/{i}'>{i}</a>" for i in range(5))
+    assert html.page_links("https://a.gov/", f"<li>{many}</li>")[0][2] == ""
+    deep = "<p>top " + "<b>" * 7 + "<a href='/x'>x</a>" + "</b>" * 7 + "</p>"
+    assert html.page_links("https://a.gov/", deep)[0][2] == ""
+    assert html.page_links("https://a.gov/", deep, html.Layout(steps=9))[0][2] == "top x"
