@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -133,11 +134,13 @@ caches: dict[str, Callable[[], None]] = {}
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES, cache: str = "") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes in `column` at most, but one row at least.
 
-    A worker forgets what it remembers for other operators than `cache` first.
+    A worker forgets what it remembers for other operators than `cache` first, and gives unused memory back to the system
+    then and at the end: workers live on between tasks and operators, and share their executor's memory.
     """
     for name, forget in caches.items():
         if name != cache:
             forget()
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -147,6 +150,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Unused memory of Arrow's pool, and of the C library where it can, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

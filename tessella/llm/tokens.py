@@ -12,7 +12,7 @@ import numpy as np
 from .common import caches
 
 #: Words that a worker remembers; beyond that, new words are encoded each time they come.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bytes of a longer word are not worth remembering.
 LONGEST = 64
 
