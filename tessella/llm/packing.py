@@ -67,7 +67,7 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], int]:
     return windows, offsets, used
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int, remembered: int | None) -> Iterator[pa.RecordBatch]:
     end, first = np.array([end_id], np.uint32), TaskContext.get().partitionId() << 32
     held: list[tuple] = []
     count = 0
@@ -84,7 +84,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int)
         first, held, count = first + used, [], 0
 
     for batch in pieces(batches, "text", 2 * CHUNK_BYTES, "tokens"):
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, remembered).encode([t or "" for t in batch.column("text").to_pylist()])):
             ids = np.concatenate((ids, end))
             held.extend((doc_id, k, len(ids), ids[k : k + size]) for k in range(0, len(ids), size))
             count += len(ids)
@@ -94,7 +94,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int)
         yield from flush()
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:
     """Pieces of the documents' ids, packed: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
     A document's ids are those of its text, then end_id. One longer than `size` is cut into full windows and a rest;
@@ -102,7 +102,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = 2048, id_col:
     A task packs what it reads, HELD_IDS at a time, so nothing is shuffled; sequence ids are unique, with gaps between
     tasks; offsets in a sequence have no gaps. ids are little-endian unsigned 32-bit integers. A null or empty text is
     end_id alone; a null doc_id stays null; rows that repeat a document are packed as often. An empty table gives no piece.
+    `remembered`: words whose ids a worker keeps, which bounds its memory (tokens.REMEMBERED if not given).
     """
     bounded(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return spread(docs).mapInArrow(partial(_pack, path=path, end_id=end_id, size=size), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return spread(docs).mapInArrow(partial(_pack, path=path, end_id=end_id, size=size, remembered=remembered), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

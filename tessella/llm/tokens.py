@@ -11,8 +11,8 @@ import numpy as np
 
 from .common import caches
 
-#: Words that a worker remembers; beyond that, new words are encoded each time they come.
-REMEMBERED = 300_000
+#: Words that a worker remembers unless told otherwise, at some 250 bytes each; beyond that, new words are encoded each time they come.
+REMEMBERED = 500_000
 #: Bytes of a longer word are not worth remembering.
 LONGEST = 64
 
@@ -33,7 +33,8 @@ class Encoder:
     The library finds the strings of added tokens inside texts, so a text with any of them is encoded whole by the library.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int | None = None) -> None:
+        self.remembered = remembered or REMEMBERED
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,7 +81,7 @@ class Encoder:
         known, past = self.known, []
         if new:
             learnt = self._learn(new)
-            room = REMEMBERED - len(known)
+            room = self.remembered - len(known)
             past = [w for w in learnt if len(w) > LONGEST] if len(learnt) <= room else list(learnt)[max(0, room) :]
             known.update(learnt)
         get = known.__getitem__
@@ -95,8 +96,8 @@ _encoders: dict[str, Encoder] = {}
 caches["tokens"] = _encoders.clear
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int | None = None) -> Encoder:
     """One encoder a worker process and path, kept between tasks."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, remembered)
     return _encoders[path]
