@@ -21,6 +21,8 @@ FARTHEST, SURE = 0.65, 0.9
 #: Shares of the mix's tokens by predicted quality.
 TARGETS = {"good": 0.98, "poor": 0.02}
 VOCABULARY, END_ID, WINDOW = "byte_bpe_50k.json", 1, 2048
+#: Words that a packing worker remembers: less than by default, as other stages left memory in use.
+REMEMBERED = 300_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +72,7 @@ def mix_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows' token ids, packed into windows: a row a piece, as packing.pack says, for nulls and empties too."""
-    return packing.pack(docs, vocabulary_path(VOCABULARY), END_ID, WINDOW)
+    return packing.pack(docs, vocabulary_path(VOCABULARY), END_ID, WINDOW, remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
