@@ -22,7 +22,7 @@ FARTHEST, SURE = 0.65, 0.9
 TARGETS = {"good": 0.98, "poor": 0.02}
 VOCABULARY, END_ID, WINDOW = "byte_bpe_50k.json", 1, 2048
 #: Words that a packing worker remembers: less than by default, as other stages left memory in use.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from .tokens import encoder
 
 #: Ids that a task holds before it packs them; bounds its memory, and windows of so many waste next to nothing.
 HELD_IDS = 1 << 22
+#: Pieces of a batch that a task gives back: at most 2 MB of ids at the usual window.
+GIVEN = 256
 
 
 class Capacities:
@@ -75,10 +77,10 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size: int,
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal first, held, count
         windows, offsets, used = best_fit([len(x[3]) for x in held], size)
-        for a in range(0, len(held), 2000):
-            ids, starts, totals, parts = zip(*held[a : a + 2000])
+        for a in range(0, len(held), GIVEN):
+            ids, starts, totals, parts = zip(*held[a : a + GIVEN])
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(totals, pa.int64()), pa.array([first + w for w in windows[a : a + 2000]], pa.int64()), pa.array(offsets[a : a + 2000], pa.int64())],
+                [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(totals, pa.int64()), pa.array([first + w for w in windows[a : a + GIVEN]], pa.int64()), pa.array(offsets[a : a + GIVEN], pa.int64())],
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
         first, held, count = first + used, [], 0
