@@ -28,14 +28,19 @@ def fold(ident: Column, n: int) -> Column:
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: The folder of a session of one machine, which can't set spark.checkpoint.dir once it runs.
+_local: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; in a session of one machine a fresh local one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
-        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if "root" not in _local:
+            _local["root"] = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        root = _local["root"]
     return f"{root.rstrip('/')}/tessella"
 
 
