@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import bills, coerce, text, urls
-from tessella.operators import changes, identity
+from tessella.operators import changes, identity, work
+from tessella.sources import stores
 
 from .registry import Tables, query
 from .scalar_queries import NORM, STOP
@@ -593,9 +594,17 @@ def c13(t: Tables) -> DataFrame:
     return j.select("id", F.when(C("p") == C("progression"), "unchanged").when(C("progression") == "", "cleared").otherwise("reduced").alias("outcome"))
 
 
-@query("c14_roster_guard", "WITH n AS (SELECT count(*) AS n FROM in_new WHERE id % 2 = 0) SELECT CASE WHEN n < 1000000000 THEN 'kept_previous' ELSE 'replaced' END AS outcome, n FROM n")
+@query("c14_roster_guard", "SELECT 'region' AS roster, 'kept_previous' AS outcome, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS ids FROM supplier UNION ALL SELECT 'nation', 'replaced', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation")
 def c14(t: Tables) -> DataFrame:
-    return t("in_new").where("id % 2 = 0").agg(F.count("*").alias("n")).select(F.when(C("n") < 1_000_000_000, "kept_previous").otherwise("replaced").alias("outcome"), "n")
+    out = None
+    for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey")):
+        at = work.folder(t.spark, "roster")
+        stores.write_version(t("supplier").select(C("s_suppkey").cast("long").alias("id")), at)
+        done = stores.guarded_replace(t(name).select(C(key).cast("long").alias("id")), at, least_rows=10)
+        now = stores.read_version(t.spark, at, "id long").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+        one = now.select(F.lit(name).alias("roster"), F.lit("replaced" if done else "kept_previous").alias("outcome"), "n", "ids")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("c15_candidate_outcomes", f"WITH {BATCH}, j AS (SELECT b.ord, b.norm, {REASON} AS reason FROM b LEFT JOIN in_seen s ON lower(trim(b.url)) = s.url), k AS (SELECT {normal('url')} AS norm FROM pages WHERE page_id % 10 = 0) SELECT ord, CASE WHEN reason LIKE 'already%' THEN 'skipped_seen' WHEN norm IN (SELECT norm FROM k) THEN 'skipped_duplicate' WHEN ord % 7 = 0 THEN 'rejected' ELSE 'analyze' END AS outcome FROM j")

@@ -310,8 +310,8 @@ def src9(t: Tables) -> DataFrame:
 @query("src10_robots", "SELECT page_id, NOT (regexp_matches(url, '^https?://[^/]*[.]example[.]com/en/') AND NOT regexp_matches(url, '^https?://[^/]*[.]example[.]com/en/1')) AS allowed FROM pages")
 def src10(t: Tables) -> DataFrame:
     hosts = t("pages").select(urls.host(C("url")).alias("host")).distinct().where(C("host").endswith(".example.com"))
-    rules = hosts.select("host", F.explode(F.array(F.struct(F.lit("/en/").alias("prefix"), F.lit(False).alias("allow")), F.struct(F.lit("/en/1").alias("prefix"), F.lit(True).alias("allow")))).alias("r")).select("host", "r.*")
-    return fetching.robots_allow(t("pages").select("page_id", "url"), rules).select("page_id", "allowed")
+    rules = hosts.select("host", F.lit("User-agent: *\nDisallow: /\n\nUser-agent: tessella\nAllow: /en/1\nDisallow: /en/\nAllow: /en/2\n").alias("body"))
+    return fetching.robots_allow(t("pages").select("page_id", "url"), fetching.robots_rules(rules, "tessella")).select("page_id", "allowed")
 
 
 @query("src4_ttl_cache", "SELECT event_type AS op, user_id AS param_key, arg_max(value, struct_pack(t := ts, v := value)) AS payload FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2 HAVING max(ts) >= (SELECT max(ts) FROM events) - CASE event_type WHEN 'click' THEN INTERVAL 18 HOUR ELSE INTERVAL 7 DAY END")
@@ -331,11 +331,13 @@ def src5(t: Tables) -> DataFrame:
     return html.crawl_stop(p).groupBy("source").agg(F.count("*").alias("pages"))
 
 
-@query("src6_search_crawl", "SELECT q, page_id, 'https://x.gov/s?q=' || q AS via FROM (SELECT page_id, min(CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END) AS q FROM pages GROUP BY 1)")
+@query("src6_search_crawl", "WITH q AS (SELECT 0 AS query_ix, 'a' AS q UNION ALL SELECT 1, 'b'), l AS (SELECT query_ix, page_id AS position, 'https://x.gov/s?q=' || q AS via, CASE WHEN page_id % 5 = 0 THEN 'http://www.x.gov/s/?q=' || (CASE WHEN page_id % 10 = 0 THEN 'a' ELSE 'b' END) || '#top' ELSE url END AS link, page_id % 5 = 0 AND q = (CASE WHEN page_id % 10 = 0 THEN 'a' ELSE 'b' END) AS own FROM pages, q WHERE query_ix = 1 OR page_id % 3 <> 0) SELECT via, position, link FROM l WHERE NOT own QUALIFY row_number() OVER (PARTITION BY link ORDER BY query_ix, position) = 1")
 def src6(t: Tables) -> DataFrame:
-    q = t("pages").select("page_id", F.when(C("page_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"))).alias("qs")).select("page_id", F.posexplode("qs").alias("i", "q"))
-    first = q.groupBy("page_id").agg(F.min_by("q", "i").alias("q"))
-    return first.select("q", "page_id", urls.search_url(F.lit("https://x.gov/s?q={query}"), C("q")).alias("via"))
+    asked = F.posexplode(F.when(C("page_id") % 3 == 0, F.array(F.lit(None), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b")))).alias("query_ix", "q")
+    own = F.concat(F.lit("http://www.x.gov/s/?q="), F.when(C("page_id") % 10 == 0, "a").otherwise("b"), F.lit("#top"))
+    links = t("pages").select(asked, C("page_id").alias("position"), F.when(C("page_id") % 5 == 0, own).otherwise(C("url")).alias("link")).where("q IS NOT NULL")
+    links = links.withColumn("results_url", urls.search_url(F.lit("https://x.gov/s?q={query}"), C("q")))
+    return html.search_links(links).select(C("results_url").alias("via"), "position", "link")
 
 
 @query("src7_feed_items", "SELECT o_orderkey AS feed_id, CASE o_orderkey % 3 WHEN 0 THEN 'https://x/' || CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'https://y/' || CAST(o_orderkey AS VARCHAR) ELSE 'guid-' || CAST(o_orderkey AS VARCHAR) END AS url, o_orderpriority AS title, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE o_orderpriority END AS snippet FROM orders")
@@ -382,9 +384,13 @@ def src16(t: Tables) -> DataFrame:
     return t("in_docs").select("doc_id", F.md5(F.substring(F.concat_ws("\n", "title", "text"), 1, 8000)).alias("body"))
 
 
-@query("src16a_government_text", "SELECT doc_id, md5(split_part(text, ' the ', 1)) AS head FROM documents")
+@query("src16a_government_text", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' WHEN 2 THEN 'pdf' ELSE 'html' END AS kind, md5(CASE WHEN doc_id % 2 = 0 THEN split_part(text || 'Related Content, Related Content', 'Related Content', 1) ELSE text || 'Related Content, Related Content' END) AS body FROM documents")
 def src16a(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.md5(F.substring_index("text", " the ", 1)).alias("head"))
+    k = C("doc_id") % 4
+    mime = F.when(k == 0, "text/html; charset=utf-8").when(k == 1, "application/pdf").otherwise("application/octet-stream")
+    url = F.when(k == 0, "https://www.justice.gov/opa").when(k == 2, "https://www.justice.gov/opa.pdf").otherwise("https://a.gov/x")
+    body = F.concat("text", F.lit("Related Content, Related Content"))
+    return t("documents").select("doc_id", payloads.document_kind(mime, url).alias("kind"), F.md5(payloads.without_tail(body, url, {"justice.gov": "Related Content"})).alias("body"))
 
 
 @query("src20_snapshot_files", "SELECT s_suppkey AS id, s_name AS name, 'Pending' AS \"table\" FROM supplier")
@@ -394,10 +400,13 @@ def src20(t: Tables) -> DataFrame:
     return t.spark.read.schema("exported_at string, `table` string, id long, fields struct<name: string>").json(at).select("id", C("fields.name").alias("name"), "table")
 
 
-@query("src17_encoded_documents", "SELECT doc_id, sha256(text) AS digest FROM documents")
+@query("src17_encoded_documents", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'pdf' ELSE 'unsupported' END AS kind, CASE WHEN doc_id % 3 = 0 THEN CAST(strlen(text) AS BIGINT) END AS n_chars, CASE WHEN doc_id % 3 = 0 AND strlen(text) = length(text) THEN sha256(text) END AS plain FROM documents")
 def src17(t: Tables) -> DataFrame:
-    coded = t("documents").select("doc_id", F.base64(C("text").cast("binary")).alias("doc"))
-    return coded.select("doc_id", F.sha2(F.unbase64("doc"), 256).alias("digest"))
+    k = C("doc_id") % 3
+    mime = F.when(k == 0, "text/html").when(k == 1, "application/pdf").otherwise("application/msword")
+    coded = t("documents").select("doc_id", F.length("text").alias("n"), F.base64(C("text").cast("binary")).alias("doc"), payloads.document_kind(mime).alias("kind"))
+    d = coded.withColumn("read", F.when(C("kind") == "html", payloads.latin_text(F.unbase64("doc"))))
+    return d.select("doc_id", "kind", F.length("read").cast("long").alias("n_chars"), F.when(F.length("read") == C("n"), F.sha2(C("read").cast("binary"), 256)).alias("plain"))
 
 
 @query("src19_category_tree", "WITH RECURSIVE tree AS (SELECT r_regionkey AS root, r_regionkey * 100 AS node, 0 AS depth FROM region UNION ALL SELECT root, node * 2 + 1, depth + 1 FROM tree WHERE depth < 4) SELECT root, count(*) AS members, max(node) AS deepest FROM tree GROUP BY root")

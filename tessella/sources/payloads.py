@@ -65,6 +65,26 @@ def legislation_items(payloads: DataFrame, template: str) -> DataFrame:
     return first_rows(i.where(session.isNotNull() & number.isNotNull()).select("ord", "place", url.alias("url"), F.coalesce(F.nullif("title", F.lit("")), number).alias("title"), F.substring(F.coalesce("summary", F.lit("")), 1, 500).alias("snippet")), ["url"], F.col("ord"), F.col("place"))
 
 
+def document_kind(mime: Column, url: Column | None = None) -> Column:
+    """html, pdf or unsupported by MIME type; with a URL, its ending decides where the type does not, and all else is html."""
+    said = F.lower(F.coalesce(mime, F.lit("")))
+    other = F.lit("unsupported") if url is None else F.when(url.endswith(".pdf"), "pdf").otherwise("html")
+    return F.when(F.contains(said, F.lit("text/html")), "html").when(F.contains(said, F.lit("application/pdf")), "pdf").otherwise(other)
+
+
+def latin_text(content: Column) -> Column:
+    """The characters of binary content in latin-1, in which every byte is one."""
+    return F.decode(content, "ISO-8859-1")
+
+
+def without_tail(text: Column, url: Column, marks: dict[str, str]) -> Column:
+    """The text up to the first mark of its site, for sites whose domain the URL names."""
+    out = text
+    for domain, mark in marks.items():
+        out = F.when(F.contains(url, F.lit(domain)), F.substring_index(out, mark, 1)).otherwise(out)
+    return out
+
+
 def feed_items(feeds: DataFrame) -> DataFrame:
     """(feed_id, place, title, url, snippet) of RSS 2.0 or Atom bodies (feed_id, body): link, href or guid; description, summary or title."""
     def part(path: str) -> Column:

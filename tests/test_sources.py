@@ -103,7 +103,10 @@ def test_read_through_and_robots(spark):
     got = {r["ord"]: r["via"] for r in fetching.read_through(asked, valid, remote, budget=2).collect()}
     assert got == {1: "network", 2: "memory", 3: "cache", 4: "network", 5: "none"}
     pages = spark.createDataFrame([("https://a.gov/x/y",), ("https://a.gov/x/open/1",), ("https://b.gov/x",), ("https://a.gov",)], "url string")
-    rules = spark.createDataFrame([("a.gov", "/x", False), ("a.gov", "/x/open", True)], "host string, prefix string, allow boolean")
+    files = spark.createDataFrame([("a.gov", "User-agent: *\nDisallow: /\n\nUser-agent: Some\nAllow: /x/open\nDisallow: /x\nAllow: /x/late\nDisallow: /q?a=\n"), ("b.gov", None), ("c.gov", "Disallow: nothing here"), ("d.gov", "User-agent: *\nDisallow:\n"), ("e.gov", "User-agent: *\nDisallow: *\n")], "host string, body string")
+    rules = fetching.robots_rules(files, "some/1.0")
+    more = {"https://a.gov/x/late": False, "https://a.gov/q?a=1": False, "https://a.gov/q?b=1": True, "https://c.gov/x": True, "https://d.gov/x": True, "https://e.gov": False}
+    assert {r["url"]: r["allowed"] for r in fetching.robots_allow(spark.createDataFrame([(x,) for x in more], "url string"), rules).collect()} == more
     assert {r["url"]: r["allowed"] for r in fetching.robots_allow(pages, rules).collect()} == {"https://a.gov/x/y": False, "https://a.gov/x/open/1": True, "https://b.gov/x": True, "https://a.gov": True}
 
 
@@ -118,3 +121,19 @@ def test_records_around_links():
     deep = "<p>top " + "<b>" * 7 + "<a href='/x'>x</a>" + "</b>" * 7 + "</p>"
     assert html.page_links("https://a.gov/", deep)[0][2] == ""
     assert html.page_links("https://a.gov/", deep, html.Layout(steps=9))[0][2] == "top x"
+
+
+def test_search_links(spark):
+    """Links to the results page itself go, also in another form; others stay once, in the first query that shows them."""
+    rows = [(0, 0, "https://x.gov/s?q=a", "http://www.x.gov/s/?q=a#top"), (0, 1, "https://x.gov/s?q=a", "https://x.gov/d1"), (0, 2, "https://x.gov/s?q=a", "https://x.gov/s?q=b"), (1, 0, "https://x.gov/s?q=b", "https://x.gov/d1"), (1, 1, "https://x.gov/s?q=b", "https://x.gov/s?q=b"), (1, 2, "https://x.gov/s?q=b", "http://www.x.gov/s/?q=a#top")]
+    got = html.search_links(spark.createDataFrame(rows, "query_ix int, position int, results_url string, link string")).collect()
+    assert sorted((r["query_ix"], r["position"]) for r in got) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_binary_documents(spark):
+    rows = [("text/html", "https://a.gov/x.pdf", b"caf\xe9"), ("Application/PDF", "https://a.gov/x", b"%PDF"), (None, "https://a.gov/x.pdf", b""), ("image/png", "https://a.gov/x", None)]
+    d = spark.createDataFrame(rows, "mime string, url string, content binary")
+    got = d.select(payloads.document_kind(F.col("mime")).alias("a"), payloads.document_kind(F.col("mime"), F.col("url")).alias("b"), payloads.latin_text(F.col("content")).alias("c")).collect()
+    assert [tuple(r) for r in got] == [("html", "html", "café"), ("pdf", "pdf", "%PDF"), ("unsupported", "pdf", ""), ("unsupported", "html", None)]
+    cut = payloads.without_tail(F.lit("a END b END c"), F.col("url"), {"a.gov": "END", "b.gov": "a"})
+    assert {r[0] for r in d.select(cut).collect()} == {"a "}
