@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from urllib.parse import unquote
 from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
@@ -48,7 +49,7 @@ def _rules(batches: Iterator[pa.RecordBatch], agent: str) -> Iterator[pa.RecordB
             robots.parse((body or "").splitlines())
             groups = [*robots.entries, *([robots.default_entry] if robots.default_entry else [])]
             entry = next((g for g in groups if g.applies_to(agent)), None)
-            rows += [(name, ord, "" if x.path == "*" else x.path, x.allowance) for ord, x in enumerate(entry.rulelines if entry else [])]
+            rows += [(name, ord, unquote(x.path), x.allowance) for ord, x in enumerate(entry.rulelines if entry else [])]
         kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
         yield pa.record_batch([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [()] * 4, kinds)], ["host", "ord", "prefix", "allow"])
 
