@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
@@ -23,8 +23,8 @@ BUCKETS, STYLE = 1 << 15, 8
 PASSES, PENALTY = 40, 1e-4
 #: Bytes of example texts whose words are counted at once.
 FIT_BYTES = 2 << 20
-#: Gradient steps at most, and the relative miss of the targets that ends them; so do three of the shortest steps without gain.
-STEPS, CLOSE = 25, 1e-6
+#: Steps towards targets out of reach, the lengths of gradient tried in each (powers of four), and the relative miss that ends all.
+STEPS, LENGTHS, CLOSE = 25, 7, 1e-6
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = _UPPER.copy()
@@ -155,44 +155,61 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], tot
 
     Minimises |sum over rows of rate * n_tokens * p - targets|^2 by projected gradient from rate 1, in the metric of the
     memberships' scatter over the rows that still have a rate, S = sum of n p p': rate = max(0, rate + p . S^-1 (targets -
-    sums)); where that does not near the targets, part of the scatter of all rows is added. A step is one aggregate of a
-    number for each pair of domains over two columns; the rows never leave their partitions, and a row's rate is computed
-    from its posteriors and the steps so far. Targets are shares of `total` tokens (all there are, if not given); a domain without a target has 0. Where targets can't be met with rates of 0 or more,
-    the steps end at the nearest mix. Rows without tokens keep the rate that their posteriors give.
+    sums)). Where that stalls, steps begin anew, each the one that comes nearest of two in that metric and of LENGTHS plain
+    gradient steps rate = max(0, rate + t p . (targets - sums)), the shortest of which always comes nearer; one aggregate
+    tries them all. An aggregate holds a few numbers for each pair of domains; the rows never leave their partitions, and
+    a row's rate is computed from its posteriors and the steps so far. Targets are shares of `total` tokens (all there
+    are, if not given); a domain without a target has 0. Targets out of reach are neared for STEPS steps, without a proof
+    of the optimum: the frame's `missed` holds what the sums lack of each domain's target, as a share of all tokens.
+    Rows without tokens keep the rate that their posteriors give; without any tokens, all rates are 1 and there is no `missed`.
     """
     k = len(domains)
-    at = lambda i: F.col("p")[i]
     n = F.col("n_tokens").cast("double")
-    active = F.when(F.col("rate") > 0, n).otherwise(0.0)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    total_now = [F.sum(F.col("rate") * n * at(i)).alias(f"t{i}") for i in range(k)]
-    scatter = [F.sum(active * at(i) * at(j)).alias(f"s{i}_{j}") for i, j in pairs]
-    now, want, whole = members.withColumn("rate", F.lit(1.0)), None, None
-    best, stalled, damping = float("inf"), 0, 0.0
-    for _ in range(STEPS):
-        row = now.agg(F.sum(n).alias("all"), *total_now, *scatter).first()
-        if not row["all"]:
-            break
-        if want is None:
-            weight = np.array([targets.get(d, 0.0) for d in domains])
-            want = weight / weight.sum() * (total or row["all"])
-        miss = want - np.array([row[f"t{i}"] for i in range(k)])
-        size = float(np.abs(miss).max() / row["all"])
+
+    def moved(g: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.col("rate") + sum(F.col("p")[i] * float(g[i]) for i in range(k)))
+
+    def sums(rate: Column, name: str) -> list[Column]:
+        active = F.when(rate > 0, n).otherwise(0.0)
+        return [*(F.sum(rate * n * F.col("p")[i]).alias(f"{name}t{i}") for i in range(k)), *(F.sum(active * F.col("p")[i] * F.col("p")[j]).alias(f"{name}s{i}_{j}") for i, j in pairs)]
+
+    def read(row: Row, name: str) -> tuple[np.ndarray, np.ndarray]:
         s = np.zeros((k, k))
         for i, j in pairs:
-            s[i, j] = s[j, i] = row[f"s{i}_{j}"]
-        whole = s if whole is None else whole
-        stalled = 0 if size < 0.9 * best else stalled + 1
-        best = min(best, size)
-        if stalled >= 3:  # rows that come back can make steps too long; those by the scatter of all rows never are
-            if damping == 1:
+            s[i, j] = s[j, i] = row[f"{name}s{i}_{j}"]
+        return want - np.array([row[f"{name}t{i}"] for i in range(k)]), s
+
+    scaled = lambda s, miss: np.linalg.pinv(s, rcond=1e-9, hermitian=True) @ miss
+    start = now = members.withColumn("rate", F.lit(1.0))
+    row = now.agg(F.sum(n).alias("all"), *sums(F.col("rate"), "")).first()
+    if not row["all"]:
+        return now
+    weight = np.array([targets.get(d, 0.0) for d in domains])
+    want = weight / weight.sum() * (total or row["all"])
+    size = lambda miss: float(np.abs(miss).max() / row["all"])
+    first = miss, scatter = read(row, "")
+    best, stalled = float("inf"), 0
+    while size(miss) > CLOSE and stalled < 3:
+        stalled = 0 if size(miss) < 0.9 * best else stalled + 1
+        best = min(best, size(miss))
+        now = now.withColumn("rate", moved(scaled(scatter, miss)))
+        miss, scatter = read(now.agg(*sums(F.col("rate"), "")).first(), "")
+    if size(miss) > CLOSE:  # out of reach, or steps too long: from the start again, by the best of several
+        now, (miss, scatter) = start, first
+        longest = np.linalg.eigvalsh(scatter)[-1]
+        for _ in range(STEPS):
+            steps = [scaled(scatter, miss), scaled(scatter, miss) / 2, *(miss * (4.0**j / longest) for j in range(LENGTHS))]
+            tried = now.select("n_tokens", "p", "rate", *(moved(g).alias(f"r{c}") for c, g in enumerate(steps)))
+            row_now = tried.agg(*(x for c in range(len(steps)) for x in sums(F.col(f"r{c}"), f"c{c}_"))).first()
+            found = [read(row_now, f"c{c}_") for c in range(len(steps))]
+            c = min(range(len(steps)), key=lambda c: np.linalg.norm(found[c][0]))
+            if np.linalg.norm(found[c][0]) >= np.linalg.norm(miss):
+                break
+            now, (miss, scatter) = now.withColumn("rate", moved(steps[c])), found[c]
+            if size(miss) <= CLOSE:
                 break
-            damping = min(1.0, damping + 0.5)
-            stalled = 0
-        if size <= CLOSE:
-            break
-        g = np.linalg.pinv((1 - damping) * s + damping * whole, rcond=1e-9, hermitian=True) @ miss
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + sum(at(i) * float(g[i]) for i in range(k))))
+    now.missed = dict(zip(domains, (miss / row["all"]).tolist()))
     return now
 
 

@@ -297,6 +297,36 @@ def test_rates_of_targets_out_of_reach(spark):
     assert {r["rate"] for r in none} == {1.0}
 
 
+def _nonnegative(a, b):
+    """Brute-force nonnegative least squares of a x = b, for few rows of a: the nearest of all mixes of independent columns."""
+    from itertools import combinations
+
+    best = np.zeros(len(b))
+    for k in range(1, len(b) + 1):
+        for some in combinations(range(a.shape[1]), k):
+            x = np.linalg.lstsq(a[:, some], b, rcond=None)[0]
+            if (x >= 0).all() and np.linalg.norm(a[:, some] @ x - b) < np.linalg.norm(best - b):
+                best = a[:, some] @ x
+    return best
+
+
+@pytest.mark.parametrize("targets", [(0.3, 0.4, 0.3), (0.9, 0.05, 0.05), (1.0, 0.0, 0.0), (0.0, 0.5, 0.5), (0.5, 0.5, 0.0)])
+def test_rates_are_least_squares(spark, targets):
+    """The mix comes within 0.01 of the distance of brute-force nonnegative least squares, and meets targets in reach; `missed` says what it lacks."""
+    rng = np.random.default_rng(5)
+    p, n = rng.dirichlet((2.0, 2.0, 2.0), 30), rng.integers(1, 300, 30)
+    members = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(30)], "id long, n_tokens long, p array<double>")
+    fitted = mixing.rates(members, ["a", "b", "c"], dict(zip("abc", targets)))
+    got = fitted.collect()
+    assert all(r["rate"] >= 0 for r in got)
+    want = np.array(targets)
+    a = (p * n[:, None] / n.sum()).T
+    mine = a @ [r["rate"] for r in sorted(got, key=lambda r: r["id"])]
+    assert np.allclose([fitted.missed[d] for d in "abc"], want - mine, atol=1e-9)
+    far = np.linalg.norm(_nonnegative(a, want) - want)
+    assert np.linalg.norm(mine - want) <= far + (0.01 if far > 1e-6 else 1e-5)
+
+
 def test_posteriors_on_held_out_texts():
     rng = random.Random(3)
     make = lambda words: " ".join(rng.choice(words) for _ in range(40))

@@ -164,3 +164,17 @@ def test_packed_table(spark, odd):
             assert o == at
             at += n
         assert at <= 64
+
+
+def test_work_folder_without_a_setting():
+    """A session of one machine keeps one local folder; any other needs the setting."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tessella.llm.common import work_dir
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master=master))
+    assert work_dir(session("local[2]")) == work_dir(session("local[2]")) and work_dir(session("local[2]")).startswith("file:///")
+    with pytest.raises(ValueError):
+        work_dir(session("spark://a:7077"))
