@@ -7,8 +7,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import spread, written
 
@@ -105,16 +108,111 @@ def fingerprints(recordings: DataFrame, id_col: str, audio_col: str, decode: Cal
     return spread(rows).mapInArrow(partial(_fingerprint, decode=decode), "id long, items array<long>")
 
 
-def align(prints: DataFrame, queries: DataFrame, least_overlap: int = 16, most_error: float = 0.25) -> DataFrame:
+#: Items of classes and of queries that are compared at once in a block; bounds a worker's memory.
+BLOCK_CLASSES, BLOCK_QUERIES = 1 << 18, 1 << 15
+#: Votes that are counted at once.
+VOTES = 1 << 20
+
+
+def _lists(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists and its n + 1 offsets."""
+    array = table.column(column).combine_chunks()
+    sizes = array.value_lengths().to_numpy(zero_copy_only=False)
+    return array.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _firsts(items: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, rows and places from 0 of the items that don't repeat the one before in their row."""
+    first = np.ones(len(items), bool)
+    first[1:] = items[1:] != items[:-1]
+    first[offs[:-1]] = True
+    at = np.flatnonzero(first)
+    rows = np.searchsorted(offs, at, "right") - 1
+    return items[at], rows, at - offs[rows]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _compared(key: tuple, asked: pa.Table, classes: pa.Table, least_overlap: int, most_error: float, schema: pa.Schema) -> pa.Table:
+    """The best class of a block for each of its queries: all of them hold the item `key`; pairs that share a smaller frequent item too are left to that one's block."""
+    if not asked.num_rows or not classes.num_rows:
+        return schema.empty_table()
+    classes = classes.sort_by("c")
+    y, y_offs = _lists(classes, "y")
+    keys, rows, places = _firsts(y, y_offs)
+    order = np.argsort(keys, kind="stable")
+    keys, rows, places = keys[order], rows[order], places[order]
+    x, x_offs = _lists(asked, "x")
+    sizes, span, low, out = np.diff(y_offs), len(x) + len(y), len(x), []
+    for j, (q, hot) in enumerate(zip(asked.column("q"), asked.column("hot").to_pylist())):
+        own = x[x_offs[j] : x_offs[j + 1]]
+        mine, _, at = _firsts(own, np.array([0, len(own)]))
+        open_ = pc.fill_null(pc.not_equal(classes.column("c"), q), True)
+        open_ = np.array(open_.to_numpy())
+        for h in hot:
+            if h < key[0].as_py():
+                open_[rows[np.searchsorted(keys, h) : np.searchsorted(keys, h, "right")]] = False
+        begins = np.searchsorted(keys, mine)
+        counts = np.searchsorted(keys, mine, "right") - begins
+        codes, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.cumsum(counts)
+        start = 0
+        while start < len(mine):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + VOTES, "right")))
+            met = _spans(begins[start:end], counts[start:end])
+            code = rows[met] * span + places[met] - np.repeat(at[start:end], counts[start:end]) + low
+            more, n = np.unique(code[open_[rows[met]]], return_counts=True)
+            codes, back = np.unique(np.concatenate((codes, more)), return_inverse=True)
+            votes = np.bincount(back, np.concatenate((votes, n)), len(codes)).astype(np.int64)
+            start = end
+        if not len(codes):
+            continue
+        row, offset = codes // span, codes % span - low
+        order = np.lexsort((offset, -votes, row))
+        order = order[np.concatenate(([True], row[order][1:] != row[order][:-1]))]
+        row, offset = row[order], offset[order]
+        skip_x, skip_y = np.maximum(0, -offset), np.maximum(0, offset)
+        overlap = np.minimum(len(own) - skip_x, sizes[row] - skip_y)
+        wide = overlap >= least_overlap
+        row, offset, skip_x, skip_y, overlap = row[wide], offset[wide], skip_x[wide], skip_y[wide], overlap[wide]
+        if not len(row):
+            continue
+        differ = np.bitwise_count((own[_spans(skip_x, overlap)] ^ y[_spans(y_offs[row] + skip_y, overlap)]).view(np.uint64))
+        error = np.add.reduceat(differ, np.cumsum(overlap) - overlap, dtype=np.int64) / (32.0 * overlap)
+        k = int(np.argmin(error))
+        if error[k] <= most_error:
+            out.append((q.as_py(), classes.column("c")[int(row[k])].as_py(), int(offset[k]), int(overlap[k]), float(error[k])))
+    return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
+
+
+def _by_blocks(left: DataFrame, every: DataFrame, hot: DataFrame, classes: DataFrame, compare: Callable, schema: StructType) -> DataFrame:
+    """The matches among pairs that share a frequent item: queries and classes of each such item are dealt into blocks by their items' number, and each block of queries meets each block of classes once."""
+    some = left.join(hot, "key").groupBy("q").agg(F.collect_set("key").alias("hot"))
+    asked = some.join(classes.select(F.col("class_id").alias("q"), F.col("items").alias("x")), "q").withColumn("key", F.explode("hot"))
+    held = every.join(hot.join(left.select("key").distinct(), "key", "left_semi"), "key").select("c", "key").distinct().join(classes.select(F.col("class_id").alias("c"), F.col("items").alias("y")), "c")
+    of = lambda df, items, most, name: df.groupBy("key").agg(F.ceil(F.sum(F.size(items)) / most).cast("int").alias(name))
+    blocks = written(of(asked, "x", BLOCK_QUERIES, "nq").join(of(held, "y", BLOCK_CLASSES, "nc"), "key"), "blocks")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(blocks, "key").select("key", own("q", "nq").alias("qb"), all_of("nc").alias("cb"), "q", "hot", "x")
+    held = held.join(blocks, "key").select("key", all_of("nq").alias("qb"), own("c", "nc").alias("cb"), "c", "y")
+    return asked.groupBy("key", "qb", "cb").cogroup(held.groupBy("key", "qb", "cb")).applyInArrow(compare, schema)
+
+
+def align(prints: DataFrame, queries: DataFrame, least_overlap: int = 16, most_error: float = 0.25, frequent: int = 1000) -> DataFrame:
     """A row for each recording: (id, n_items, class_id, is_query, match_id, offset, overlap, bit_error).
 
     Recordings with equal items form a class, named by its smallest id. A query's match is, if there is one, the smallest
     other id of its class, with offset 0 and error 0; else the class with the least share of differing bits at the offset
     that most equal items vote for (ties: the smaller offset; then the smaller class), if at least least_overlap items overlap and the
     error is at most most_error. Of equal items in a row, as in a steady passage or silence, the first votes, so that a
-    passage has one vote and not the square of its length. Of a query's different items the commonest has no vote, so that
-    silence alone brings no recordings together: any two recordings with two different items in common are compared, and
-    at eight flipped bits in a hundred most copies have some. offset is the match's place less the query's. A recording
+    passage has one vote and not the square of its length. Any two recordings with an item in common are compared; at
+    eight flipped bits in a hundred most copies have some. Items that stand at more than `frequent` places are not joined:
+    pairs that share one are compared in blocks, by all their items, with the same result. That work is the number of
+    queries times that of recordings which hold the item, but sends no row for a pair. offset is the match's place less the query's. A recording
     without items has no class and no match; one without id takes no part in matches; rows that repeat an id are rows of
     their own. Other columns are left out. An empty table gives an empty result.
     """
@@ -133,18 +231,24 @@ def align(prints: DataFrame, queries: DataFrame, least_overlap: int = 16, most_e
 
     left = written(keyed(classes.join(single, classes.class_id == F.col("single"), "left_semi"), "q"), "asked")
     every = keyed(classes, "c")
-    often = every.join(left.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    left = left.join(often, "key")
-    common = left.groupBy("q").agg(F.max_by("key", F.struct("n", "key")).alias("commonest"))
-    left = written(left.join(common, "q").where("key <> commonest").select("q", "key", "q_place"), "voters")
-    votes = left.join(every, "key").where("q <> c").groupBy("q", "c", (F.col("c_place") - F.col("q_place")).alias("offset")).agg(F.count("*").alias("votes"))
+    often = every.join(left.select("key").distinct(), "key", "left_semi").groupBy("key").count()
+    hot = written(often.where(F.col("count") > frequent).select("key"), "frequent")
+    some_hot = bool(hot.limit(1).count())
+    voters = left.join(hot, "key", "left_anti") if some_hot else left
+    votes = voters.join(every, "key").where("q <> c").groupBy("q", "c", (F.col("c_place") - F.col("q_place")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("q", "c").agg(F.max_by("offset", F.struct(F.col("votes"), -F.col("offset"))).alias("offset"))
     a, b = classes.select(F.col("class_id").alias("q"), F.col("items").alias("x")), classes.select(F.col("class_id").alias("c"), F.col("items").alias("y"))
     both = best.join(a, "q").join(b, "c")
+    if some_hot:
+        mine = left.join(hot, "key").groupBy("q").agg(F.collect_set("key").alias("hot"))
+        both = both.join(mine, "q", "left").where(F.col("hot").isNull() | ~F.arrays_overlap("y", "hot"))
     skip_x, skip_y = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
     overlap = F.least(F.size("x") - skip_x, F.size("y") - skip_y)
     bits = F.aggregate(F.zip_with(F.slice("x", skip_x + 1, overlap), F.slice("y", skip_y + 1, overlap), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
     scored = both.where(overlap >= least_overlap).select("q", "c", "offset", overlap.alias("overlap"), (bits / (32.0 * overlap)).alias("bit_error")).where(F.col("bit_error") <= most_error)
+    if some_hot:
+        compare = partial(_compared, least_overlap=least_overlap, most_error=most_error, schema=to_arrow_schema(scored.schema))
+        scored = scored.unionByName(_by_blocks(left, every, hot, classes, compare, scored.schema))
     match = scored.groupBy("q").agg(F.min(F.struct("bit_error", "c", "offset", "overlap")).alias("m"))
     match = written(match.select("q", "m.*"), "match")
     out = known.join(match, (F.col("class_id") == F.col("q")) & F.col("is_query") & (F.col("class_id") == F.col("next_id")), "left")

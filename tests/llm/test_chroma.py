@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -118,3 +120,51 @@ def test_noisy_copies_are_found(spark):
     got = {r["id"]: r for r in chroma.align(prints, prints.where("id % 2 = 0").select("id")).collect()}
     found = [got[2 * i]["match_id"] == 2 * i + 1 and got[2 * i]["offset"] == -(i % 9) and 0.03 < got[2 * i]["bit_error"] < 0.25 for i in range(30)]
     assert sum(found) >= 28 and all(got[2 * i]["match_id"] in (None, 2 * i + 1) for i in range(30))
+
+
+def best_of_all(held, queries, least_overlap=16, most_error=0.25):
+    """(match, offset, overlap, error) of each query, by all pairs with an item in common; no two recordings are equal."""
+    firsts = {k: [(x, i) for i, x in enumerate(v) if not i or v[i - 1] != x] for k, v in held.items()}
+    out = {}
+    for q in queries:
+        found = []
+        for c in held:
+            votes = Counter(j - i for x, i in firsts[q] for y, j in firsts[c] if x == y)
+            if c == q or not votes:
+                continue
+            offset = min(votes, key=lambda o: (-votes[o], o))
+            both = list(zip(held[q][max(0, -offset) :], held[c][max(0, offset) :]))
+            error = sum((x ^ y).bit_count() for x, y in both) / (32 * len(both))
+            if len(both) >= least_overlap and error <= most_error:
+                found.append((error, c, offset, len(both)))
+        out[q] = min(found)[1:] + (min(found)[0],) if found else None
+    return out
+
+
+def test_recordings_that_share_only_their_commonest_item_are_compared(spark):
+    rows = [(1, [7] * 40 + [1, 2]), (2, [7] * 40 + [4, 8]), (3, [9] * 30), (4, [9] * 31)]
+    prints = spark.createDataFrame(rows, "id long, items array<long>")
+    for frequent in (1000, 0):
+        got = {r["id"]: (r["match_id"], r["offset"], r["overlap"]) for r in chroma.align(prints, prints.select("id"), frequent=frequent).collect()}
+        assert got == {1: (2, 0, 42), 2: (1, 0, 42), 3: (4, 0, 30), 4: (3, 0, 30)}
+
+
+def test_frequent_items_lose_no_match(spark, monkeypatch):
+    """Joined or compared in blocks, many small ones as well, the matches are those of all pairs that share an item."""
+    rng = np.random.default_rng(5)
+    few = rng.integers(0, 1 << 32, 6)
+    held = {}
+    for i in range(40):
+        parts = [np.repeat(few[rng.integers(0, 6, 3)], rng.integers(1, 15, 3)), rng.integers(0, 1 << 32, rng.integers(0, 6)), np.repeat(few[:1], rng.integers(0, 12))]
+        held[i] = np.concatenate([parts[k] for k in rng.permutation(3)]).tolist()
+    prints = spark.createDataFrame(list(held.items()), "id long, items array<long>")
+    asked = [i for i in held if i % 2 == 0]
+    expected = best_of_all(held, asked)
+    assert sum(m is not None for m in expected.values()) > 5
+    for frequent, most, votes in ((1000, 1 << 18, 1 << 20), (12, 1 << 18, 1 << 20), (0, 200, 3)):
+        monkeypatch.setattr(chroma, "BLOCK_CLASSES", most)
+        monkeypatch.setattr(chroma, "BLOCK_QUERIES", most // 2)
+        monkeypatch.setattr(chroma, "VOTES", votes)
+        rows = chroma.align(prints, prints.where("id % 2 = 0").select("id"), frequent=frequent).where("is_query").collect()
+        got = {r["id"]: (r["match_id"], r["offset"], r["overlap"], r["bit_error"]) if r["match_id"] is not None else None for r in rows}
+        assert got == expected, frequent
