@@ -110,7 +110,7 @@ def fingerprints(recordings: DataFrame, id_col: str, audio_col: str, decode: Cal
 
 #: Items of classes and of queries that are compared at once in a block; bounds a worker's memory.
 BLOCK_CLASSES, BLOCK_QUERIES = 1 << 18, 1 << 15
-#: Votes that are counted at once.
+#: Votes, or overlapping items, that are handled at once.
 VOTES = 1 << 20
 
 
@@ -157,34 +157,33 @@ def _compared(key: tuple, asked: pa.Table, classes: pa.Table, least_overlap: int
                 open_[rows[np.searchsorted(keys, h) : np.searchsorted(keys, h, "right")]] = False
         begins = np.searchsorted(keys, mine)
         counts = np.searchsorted(keys, mine, "right") - begins
-        codes, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes = np.zeros(0, np.int64)
         ends = np.cumsum(counts)
         start = 0
         while start < len(mine):
             end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + VOTES, "right")))
             met = _spans(begins[start:end], counts[start:end])
             code = rows[met] * span + places[met] - np.repeat(at[start:end], counts[start:end]) + low
-            more, n = np.unique(code[open_[rows[met]]], return_counts=True)
-            codes, back = np.unique(np.concatenate((codes, more)), return_inverse=True)
-            votes = np.bincount(back, np.concatenate((votes, n)), len(codes)).astype(np.int64)
+            codes = np.unique(np.concatenate((codes, code[open_[rows[met]]])))
             start = end
-        if not len(codes):
-            continue
         row, offset = codes // span, codes % span - low
-        order = np.lexsort((offset, -votes, row))
-        order = order[np.concatenate(([True], row[order][1:] != row[order][:-1]))]
-        row, offset = row[order], offset[order]
         skip_x, skip_y = np.maximum(0, -offset), np.maximum(0, offset)
         overlap = np.minimum(len(own) - skip_x, sizes[row] - skip_y)
         wide = overlap >= least_overlap
         row, offset, skip_x, skip_y, overlap = row[wide], offset[wide], skip_x[wide], skip_y[wide], overlap[wide]
-        if not len(row):
-            continue
-        differ = np.bitwise_count((own[_spans(skip_x, overlap)] ^ y[_spans(y_offs[row] + skip_y, overlap)]).view(np.uint64))
-        error = np.add.reduceat(differ, np.cumsum(overlap) - overlap, dtype=np.int64) / (32.0 * overlap)
-        k = int(np.argmin(error))
-        if error[k] <= most_error:
-            out.append((q.as_py(), classes.column("c")[int(row[k])].as_py(), int(offset[k]), int(overlap[k]), float(error[k])))
+        found, ends = [], np.cumsum(overlap)
+        start = 0
+        while start < len(row):
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + VOTES, "right")))
+            n = overlap[start:end]
+            differ = np.bitwise_count((own[_spans(skip_x[start:end], n)] ^ y[_spans((y_offs[row] + skip_y)[start:end], n)]).view(np.uint64))
+            error = np.add.reduceat(differ, np.cumsum(n) - n, dtype=np.int64) / (32.0 * n)
+            k = int(np.argmin(error))
+            found.append((float(error[k]), start + k))
+            start = end
+        if found and min(found)[0] <= most_error:
+            least, k = min(found)
+            out.append((q.as_py(), classes.column("c")[int(row[k])].as_py(), int(offset[k]), int(overlap[k]), least))
     return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
 
 
@@ -206,11 +205,11 @@ def align(prints: DataFrame, queries: DataFrame, least_overlap: int = 16, most_e
     """A row for each recording: (id, n_items, class_id, is_query, match_id, offset, overlap, bit_error).
 
     Recordings with equal items form a class, named by its smallest id. A query's match is, if there is one, the smallest
-    other id of its class, with offset 0 and error 0; else the class with the least share of differing bits at the offset
-    that most equal items vote for (ties: the smaller offset; then the smaller class), if at least least_overlap items overlap and the
-    error is at most most_error. Of equal items in a row, as in a steady passage or silence, the first votes, so that a
-    passage has one vote and not the square of its length. Any two recordings with an item in common are compared; at
-    eight flipped bits in a hundred most copies have some. Items that stand at more than `frequent` places are not joined:
+    other id of its class, with offset 0 and error 0; else the class with the least share of differing bits at one of the
+    offsets that equal items vote for (ties: the smaller class, then the smaller offset), if at least least_overlap items overlap and
+    the error is at most most_error. Of equal items in a row, as in a steady passage or silence, the first votes, so that a
+    passage has one vote and not the square of its length. Any two recordings with an item in common are compared, at each
+    of their offsets with a vote, so that a silence that both hold outvotes no other item; at eight flipped bits in a hundred most copies have some. Items that stand at more than `frequent` places are not joined:
     pairs that share one are compared in blocks, by all their items, with the same result. That work is the number of
     queries times that of recordings which hold the item, but sends no row for a pair. offset is the match's place less the query's. A recording
     without items has no class and no match; one without id takes no part in matches; rows that repeat an id are rows of
@@ -235,13 +234,14 @@ def align(prints: DataFrame, queries: DataFrame, least_overlap: int = 16, most_e
     hot = written(often.where(F.col("count") > frequent).select("key"), "frequent")
     some_hot = bool(hot.limit(1).count())
     voters = left.join(hot, "key", "left_anti") if some_hot else left
-    votes = voters.join(every, "key").where("q <> c").groupBy("q", "c", (F.col("c_place") - F.col("q_place")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("q", "c").agg(F.max_by("offset", F.struct(F.col("votes"), -F.col("offset"))).alias("offset"))
+    votes = voters.join(every, "key").where("q <> c").select("q", "c", (F.col("c_place") - F.col("q_place")).alias("offset"))
+    pairs = votes.groupBy("q", "c").agg(F.collect_set("offset").alias("offsets"))
     a, b = classes.select(F.col("class_id").alias("q"), F.col("items").alias("x")), classes.select(F.col("class_id").alias("c"), F.col("items").alias("y"))
-    both = best.join(a, "q").join(b, "c")
+    both = pairs.join(a, "q").join(b, "c")
     if some_hot:
         mine = left.join(hot, "key").groupBy("q").agg(F.collect_set("key").alias("hot"))
         both = both.join(mine, "q", "left").where(F.col("hot").isNull() | ~F.arrays_overlap("y", "hot"))
+    both = both.select("q", "c", "x", "y", F.explode("offsets").alias("offset"))
     skip_x, skip_y = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
     overlap = F.least(F.size("x") - skip_x, F.size("y") - skip_y)
     bits = F.aggregate(F.zip_with(F.slice("x", skip_x + 1, overlap), F.slice("y", skip_y + 1, overlap), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)

@@ -1,5 +1,3 @@
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -129,14 +127,11 @@ def best_of_all(held, queries, least_overlap=16, most_error=0.25):
     for q in queries:
         found = []
         for c in held:
-            votes = Counter(j - i for x, i in firsts[q] for y, j in firsts[c] if x == y)
-            if c == q or not votes:
-                continue
-            offset = min(votes, key=lambda o: (-votes[o], o))
-            both = list(zip(held[q][max(0, -offset) :], held[c][max(0, offset) :]))
-            error = sum((x ^ y).bit_count() for x, y in both) / (32 * len(both))
-            if len(both) >= least_overlap and error <= most_error:
-                found.append((error, c, offset, len(both)))
+            for o in {j - i for x, i in firsts[q] for y, j in firsts[c] if x == y} if c != q else ():
+                both = list(zip(held[q][max(0, -o) :], held[c][max(0, o) :]))
+                error = sum((x ^ y).bit_count() for x, y in both) / (32 * len(both))
+                if len(both) >= least_overlap and error <= most_error:
+                    found.append((error, c, o, len(both)))
         out[q] = min(found)[1:] + (min(found)[0],) if found else None
     return out
 
@@ -149,6 +144,18 @@ def test_recordings_that_share_only_their_commonest_item_are_compared(spark):
         assert got == {1: (2, 0, 42), 2: (1, 0, 42), 3: (4, 0, 30), 4: (3, 0, 30)}
 
 
+def test_a_shared_silence_outvotes_no_other_item(spark):
+    rng = np.random.default_rng(2)
+    own = rng.integers(0, 1 << 32, 80)
+    noisy = own[9:] ^ 1
+    noisy[30] ^= 1
+    rows = [(1, [7] * 3 + own.tolist() + [7] * 3 + [5]), (2, [7] * 3 + noisy.tolist() + [7] * 12 + [5])]
+    prints = spark.createDataFrame(rows, "id long, items array<long>")
+    for frequent in (1000, 0):
+        got = {r["id"]: (r["match_id"], r["offset"]) for r in chroma.align(prints, prints.select("id"), frequent=frequent).collect()}
+        assert got == {1: (2, -9), 2: (1, 9)}
+
+
 def test_frequent_items_lose_no_match(spark, monkeypatch):
     """Joined or compared in blocks, many small ones as well, the matches are those of all pairs that share an item."""
     rng = np.random.default_rng(5)
