@@ -19,8 +19,10 @@ TOKENS = 128
 #: Rows up to which a node is compared exhaustively; larger nodes branch.
 LEAF = 512
 #: Trees of the first pass, which joins large groups, and of the first turn of the second, which searches between groups that
-#: are still apart; further turns add the trees that the depth reached asks for.
-TREES = (3, 8)
+#: are still apart; these suffice for nine levels at 0.85, further turns add the trees that a greater depth asks for.
+TREES = (3, 12)
+#: Levels by which a node that is still too large branches at once, so that deep trees need few rounds over written tables.
+LEVELS = 2
 #: The chance to find a link at the threshold, at least, that sets the number of trees.
 RECALL = 0.999
 #: Rows up to which ids are broadcast (8 bytes each); more are joined by a shuffle.
@@ -186,7 +188,7 @@ def _leaves(rows: DataFrame, seeds: list[int], threshold: float, deal: bool) ->
     a cost in proportion to their rows. Else such a node branches on until at most LEAF of its rows are outside its
     largest group, and these are then compared with all of that group, which is dealt out.
     """
-    spark, schema, leaves, steps, levels = rows.sparkSession, "key long, label long, node long", [], 1, 1
+    spark, schema, leaves, rounds, levels = rows.sparkSession, "key long, label long, node long", [], 1, 1
     front = written(rows.mapInArrow(partial(_branch, roots=seeds, steps=1, threshold=threshold), schema), "front")
     while True:
         by = front.groupBy("node", "label").agg(F.count("*").alias("c"), F.min("key").alias("lo"), F.max("key").alias("hi"))
@@ -202,9 +204,10 @@ def _leaves(rows: DataFrame, seeds: list[int], threshold: float, deal: bool) ->
         if not large.limit(1).count():
             break
         held = front.join(large, "node").select("key", "node").join(rows.select("key", "label", "sig"), "key")
-        steps += 1
-        levels += 1 + steps // 6
-        front, past = written(held.mapInArrow(partial(_branch, roots=None, steps=1 + steps // 6, threshold=threshold), schema), "front"), front
+        rounds += 1
+        steps = LEVELS + rounds // 6
+        levels += steps
+        front, past = written(held.mapInArrow(partial(_branch, roots=None, steps=steps, threshold=threshold), schema), "front"), front
         drop(spark, past.path, sized.path)
     out = leaves[0]
     for x in leaves[1:]:

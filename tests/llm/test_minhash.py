@@ -132,6 +132,20 @@ def test_links_at_the_threshold_in_deep_trees(spark, monkeypatch):
     assert max(levels for levels, _ in deepest) >= 8 and sum(n for _, n in deepest[1:]) > minhash.TREES[1]
 
 
+def test_few_rounds_and_turns_for_deep_trees(spark, monkeypatch):
+    """Each round and turn is a fixed number of jobs: levels are branched two at a time, and trees of nine levels need no further turn."""
+    monkeypatch.setattr(minhash, "LEAF", 90)
+    depths, names, old, write = [], [], minhash._leaves, minhash.written
+    monkeypatch.setattr(minhash, "_leaves", lambda *a, **k: (lambda x: depths.append(x[1]) or x)(old(*a, **k)))
+    monkeypatch.setattr(minhash, "written", lambda df, name: names.append(name) or write(df, name))
+    template = [f"t{i}" for i in range(84)]
+    rows = [(i, " ".join(template + [f"o{i}x{k}" for k in range(20)])) for i in range(160)]
+    rows += [(1000 + 2 * j + b, " ".join(template + [f"p{j}x{k}" for k in range(38)] + [f"q{j}{b}x{k}" for k in range(9)])) for j in range(30) for b in (0, 1)]
+    check(spark, rows)
+    assert len(depths) == 2 and 5 <= depths[1] <= 9
+    assert names.count("front") - 1 <= 1 + depths[1] // 2
+
+
 def test_sets_of_one_first_key_stay_apart(spark, corpus, monkeypatch):
     """Classes are told apart by both keys: where the first is the same for all, nothing is joined wrongly."""
     keys = minhash._set_keys
