@@ -144,19 +144,25 @@ class Model:
     def rows(self) -> np.ndarray:
         return np.column_stack((self.vectors, self.bias, self.past, self.met))
 
-    def _update(self, at: np.ndarray, grad: np.ndarray, bias: np.ndarray | None, rate: float) -> None:
-        """Adds up the gradients of each row and steps by them, each row by its own history."""
+    def _update(self, at: np.ndarray, source: np.ndarray, rate: float, of: np.ndarray | None = None, weight: np.ndarray | None = None, bias: np.ndarray | None = None) -> None:
+        """Adds up the gradients of each row and steps by them, each row by its own history.
+
+        The gradients are the rows of source; else its rows `of`, times weight, which are made in the order of the sums only.
+        """
         order = np.argsort(at.astype(np.uint16) if len(self.bias) <= 1 << 16 else at, kind="stable")
         sorted_at = at[order]
         first = np.flatnonzero(np.diff(sorted_at, prepend=-1))
         rows = sorted_at[first]
-        g = np.add.reduceat(grad[order], first, axis=0)
+        grad = source.take(order if of is None else of.take(order), axis=0)
+        if weight is not None:
+            grad *= weight.take(order)[:, None]
+        g = np.add.reduceat(grad.view(np.complex64), first, axis=0).view(np.float32)  # pairs of numbers as one: half the sums
         past = self.past[rows] + np.einsum("ij,ij->i", g, g) / SIZE
         scale = rate / np.sqrt(past)
         self.past[rows] = past
         self.vectors[rows] += g * scale[:, None]
         if bias is not None:
-            self.bias[rows] += np.add.reduceat(bias[order], first) * np.minimum(scale, 0.05)
+            self.bias[rows] += np.add.reduceat(bias.take(order), first) * np.minimum(scale, 0.05)
         self.met[rows] += np.diff(np.append(first, len(at)))
 
     def _noise(self, unit: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -176,35 +182,38 @@ class Model:
         """One step: the next units' classes are told from NOISE_CLASSES classes, drawn by their frequency for all examples
         alike, and the units from NOISE others of their class, by s - ln(draws * frequency)."""
         p, n, u = self.parts, len(unit), len(self.known.share)
-        r = self.vectors[context.ravel()].reshape(n, -1)
+        r = self.vectors.take(context.ravel(), axis=0).reshape(n, -1)
         c = self.vectors[p[3] :]
         h = r @ c
         noise = u + np.minimum(np.searchsorted(self.edge, rng.random(NOISE_CLASSES) * self.edge[-1]), len(self.edge) - 1)
         own = unit // self.known.width
-        q, k = self.vectors[p[1] + noise], self.vectors[p[2] + own]
+        q, k = self.vectors[p[1] + noise], self.vectors.take(p[2] + own, axis=0)
         f = h @ q.T
         f += self.bias[p[1] + noise] - self.less[noise]
         f = _sigmoid(f, -1)
-        e = _sigmoid(np.einsum("ij,ij->i", h, k) + self.bias[p[2] + own] - self.less[u + own], 1)
+        e = _sigmoid(np.einsum("ij,ij->i", h, k) + self.bias.take(p[2] + own) - self.less.take(u + own), 1)
         gh = f @ q
         gh += e[:, None] * k
         at = np.concatenate((unit[:, None], self._noise(unit, own, rng)), 1)
-        q = self.vectors[p[1] + at.ravel()].reshape(n, NOISE + 1, SIZE)
+        q = self.vectors.take(p[1] + at.ravel(), axis=0).reshape(n, NOISE + 1, SIZE)
         g = np.matmul(q, h[:, :, None])[:, :, 0]
-        g += self.bias[p[1] + at] - self.less[at]
+        g += self.bias.take(p[1] + at) - self.less.take(at)
         g = _sigmoid(g, -1)
         g[:, 0] += 1
         gh += np.matmul(g[:, None], q)[:, 0]
         back = gh @ c.T
-        self._update(p[1] + np.concatenate((at.ravel(), u + own, noise)), np.concatenate(((g[:, :, None] * h[:, None]).reshape(-1, SIZE), e[:, None] * h, f.T @ h)), np.concatenate((g.ravel(), e, f.sum(0))), rate)
-        self._update(context.ravel(), back.reshape(-1, SIZE), None, rate)
-        self._update(np.arange(p[3], p[4]), r.T @ gh, None, 0.1 * rate)
+        each, g = np.arange(n), g.ravel()
+        of = np.concatenate((np.repeat(each, NOISE + 1), each, np.arange(n, n + NOISE_CLASSES)))
+        ones = np.ones(NOISE_CLASSES, np.float32)
+        self._update(p[1] + np.concatenate((at.ravel(), u + own, noise)), np.concatenate((h, f.T @ h)), rate, of, np.concatenate((g, e, ones)), np.concatenate((g, e, f.sum(0))))
+        self._update(context.ravel(), back.reshape(-1, SIZE), rate)
+        self._update(np.arange(p[3], p[4]), r.T @ gh, 0.1 * rate)
 
     def train(self, unit: np.ndarray, context: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         order = rng.permutation(len(unit))
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
-            self.step(unit[some], context[some], rate, rng)
+            self.step(unit.take(some), context.take(some, axis=0), rate, rng)
 
     def logs(self, unit: np.ndarray, context: np.ndarray) -> np.ndarray:
         """ln p(unit | context), normalised over all classes and all units of the class."""
@@ -212,15 +221,15 @@ class Model:
         h = np.empty((len(unit), SIZE + 1), np.float32)
         h[:, SIZE] = 1
         for k in range(0, len(unit), 4096):
-            h[k : k + 4096, :SIZE] = self.vectors[context[k : k + 4096].ravel()].reshape(-1, CONTEXT * SIZE) @ self.vectors[p[3] :]
+            h[k : k + 4096, :SIZE] = self.vectors.take(context[k : k + 4096].ravel(), axis=0).reshape(-1, CONTEXT * SIZE) @ self.vectors[p[3] :]
         full = np.column_stack((self.vectors[p[1] : p[3]], self.bias[p[1] : p[3]]))
         own = unit // width
-        out = np.einsum("ij,ij->i", h, full[unit]) + np.einsum("ij,ij->i", h, full[u + own])
+        out = np.einsum("ij,ij->i", h, full.take(unit, axis=0)) + np.einsum("ij,ij->i", h, full.take(u + own, axis=0))
         classes = full[u:].T.copy()
         for k in range(0, len(unit), 4096):
             out[k : k + 4096] -= _log_sum(h[k : k + 4096] @ classes)
         order = np.argsort(own.astype(np.uint16) if self.known.classes <= 1 << 16 else own, kind="stable")
-        h, edge = h[order], np.concatenate(([0], np.cumsum(np.bincount(own, minlength=self.known.classes))))
+        h, edge = h.take(order, axis=0), np.concatenate(([0], np.cumsum(np.bincount(own, minlength=self.known.classes))))
         sums = np.empty(len(unit), np.float32)
         for k in np.flatnonzero(np.diff(edge)).tolist():
             units = full[k * width : min((k + 1) * width, u)].T
@@ -247,7 +256,7 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
         low = s.max(1)
         s -= low[:, None]
     np.exp(s, out=s)
-    total = np.log(s.sum(1))
+    total = np.log(s @ np.ones(s.shape[1], s.dtype))
     return total if low is None else total + low
 
 

@@ -252,6 +252,24 @@ def test_scores_are_the_model_s(spark, seen):
     assert all(abs(sum((c + 1) / mass[u] for w, c in counts.items() if unit(w) == u) + (u in m.known.kinds) / mass[u] - 1) < 1e-9 for u in mass)
 
 
+@pytest.mark.parametrize("weighted", [True, False])
+def test_gradients_of_a_row_add_up(weighted):
+    """Gradients are made from rows and weights in the order of their sums; the sums are those of a loop."""
+    rng = np.random.default_rng(3)
+    known = lm.Known(*(np.zeros(0, np.int64),) * 5, np.full(40, 1 / 40), 7)
+    model, past = lm.Model(known), lm.Model(known)
+    at = rng.integers(0, 50, 300)
+    of = rng.integers(0, 90, 300) if weighted else np.arange(300)
+    source, weight, bias = (rng.normal(size=x).astype(np.float32) for x in ((90 if weighted else 300, lm.SIZE), 300, 300))
+    model._update(at, source, 0.1, of, weight, bias) if weighted else model._update(at, source, 0.1)
+    for row in range(len(past.bias)):
+        some = at == row
+        g = (source[of[some]].astype(float) * (weight[some, None] if weighted else 1)).sum(0)
+        total = past.past[row] + (g**2).sum() / lm.SIZE
+        assert np.allclose(model.vectors[row], past.vectors[row] + 0.1 * g / total**0.5, atol=1e-5) and np.isclose(model.past[row], total, rtol=1e-4)
+        assert np.isclose(model.bias[row], past.bias[row] + (bias[some].sum() * min(0.1 / total**0.5, 0.05) if weighted else 0), atol=1e-4) and model.met[row] == some.sum()
+
+
 def test_training_in_several_tasks(spark, small, monkeypatch):
     """Tasks that are averaged learn, too."""
     docs = spark.read.parquet(f"{small.removesuffix('0.001')}0.01/documents.parquet").repartition(4)
