@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -87,6 +88,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     bounded(spark)
     df.write.parquet(path)
+    driver_gives_back(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.path = path
     return out
@@ -117,6 +119,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
     travels once.
     """
     bounded(docs.sparkSession)
+    driver_gives_back(docs.sparkSession)
     kept = [F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")] if keep else []
     inside = text_col in keep
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), *kept, *([] if inside else [F.col(f"`{text_col}`").cast("string").alias("text")]))
@@ -166,6 +169,25 @@ def give_back() -> None:
         trim(0)
 
 
+def driver_gives_back(spark: SparkSession) -> None:
+    """Unused memory of the driver goes back to the system: that of its Python, as after a fit, and of its JVM's C library.
+
+    The C library keeps freed memory of each of many threads, beside all that the heap may take.
+    A JVM without that command (it is one of Linux, and of Java 17.0.9 or 21.0.1 on) keeps it as before.
+    """
+    give_back()
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        values = array(jvm.java.lang.Object, 4)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        values[2], values[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        # the server's own class is not open to Py4J, its interface is
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        pass
+
+
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array and its n + 1 offsets; a null is empty."""
     kind = pa.large_binary()

@@ -1,10 +1,12 @@
 import json
+import re
 import subprocess
 import sys
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import queries
@@ -74,6 +76,25 @@ def test_odd_documents(spark, odd, small):
         assert stage(spark, empty, small).count() == 0
 
 
+def test_the_driver_gives_back_unused_native_memory(spark):
+    """Freed blocks of the C library that the last one keeps in place leave the driver's memory with the next table written."""
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    if not status.exists():
+        pytest.skip("no /proc here")
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) / 1024
+    memory = jvm.org.apache.spark.unsafe.Platform
+    blocks = [memory.allocateMemory(100_000) for _ in range(1500)]
+    for block in blocks:
+        memory.setMemory(block, 1, 100_000)
+    for block in blocks[:-1]:
+        memory.freeMemory(block)
+    before = held()
+    written(spark.range(1).toDF("id"), "few")
+    assert held() < before - 70
+    memory.freeMemory(blocks[-1])
+
+
 def test_sql(spark, small):
     con = duckdb.connect()
     for t in ("documents", "pages"):
